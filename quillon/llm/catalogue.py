@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokenizer
+from . import ranking, splitting, tokenizer
 
-_MODULES = (tokenizer,)
+_MODULES = (tokenizer, splitting, ranking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
