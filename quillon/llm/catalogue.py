@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranking, splitting, tokenizer
+from . import near_duplicates, ranking, splitting, tokenizer
 
-_MODULES = (tokenizer, splitting, ranking)
+_MODULES = (near_duplicates, ranking, splitting, tokenizer)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
