@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, packing, ranking, splitting, tokenizer
+from . import languages, near_duplicates, packing, ranking, splitting, tokenizer
 
-_MODULES = (near_duplicates, packing, ranking, splitting, tokenizer)
+_MODULES = (languages, near_duplicates, packing, ranking, splitting, tokenizer)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
