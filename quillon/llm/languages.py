@@ -52,7 +52,7 @@ def prepared(sentence: str) -> tuple[str, bool]:
     if not t.isascii():
         t = unicodedata.normalize("NFKC", _STRAY.sub("", _QUOTED.sub(" ", t)))
         wide = (len(t.encode("utf-8", "surrogatepass")) - len(t)) // 2
-        t = _LATIN.sub(" ", t) if wide * 4 >= len(t) else _WIDE.sub("", t)
+        t = _LATIN.sub(" ", t) if wide * 6 >= len(t) else _WIDE.sub("", t)
     elif '"' in t or "[" in t or "=" in t:
         t = _STRAY.sub("", _QUOTED.sub(" ", t))
     t = _SPACES.sub(" ", _DIGITS.sub("0", t)).strip().lower()
