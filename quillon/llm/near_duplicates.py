@@ -2,8 +2,8 @@
 
 Candidates: the occurrence-labelled k-mers of a text are dealt to ``SAMPLES`` samples by an independent
 hash; of each sample the minima are kept in the order of the text, and the sequence is the sample's
-sketch.  Texts that share a sketch are candidates.  A second reading of the same samples, with more
-minima and without their order, keeps the pairs whose parts were moved.  Verification: a banded
+sketch.  Texts that share a sketch are candidates.  A second reading of the first deal's samples, with
+more minima and without their order, keeps the pairs whose parts were moved.  Verification: a banded
 alignment bounds the edit distance d from above; d edits touch at most k*d k-mers, which certifies most
 pairs; the exact Jaccard similarity of the k-mer sets decides the rest.
 """
@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from quillon.session import durable
 #: Fixed values of the data's statement: substring length, similarity and least length of a text.
 K, THRESHOLD, LEAST_CHARS = 5, 0.7, 100
 #: Deals and samples a deal; minima kept in order, and kept without order; least k-mers of a sample in use.
-DEALS, CLASSES, ORDERED, UNORDERED, LEAST_KMERS = 2, 16, 6, 8, 4
+DEALS, CLASSES, ORDERED, UNORDERED, LEAST_KMERS = 2, 16, 7, 8, 4
 #: Half width of the alignment band, and pairs aligned side by side.
-BAND, SIDE_BY_SIDE = 64, 256
+BAND, SIDE_BY_SIDE = 32, 256
 #: A bucket's rows are paired in blocks of this many, so that no task pairs a whole hot bucket.
 BLOCK = 64
 
@@ -41,8 +42,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def labelled_kmers(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all k-mers of all texts: hash labelled by occurrence, text number, position."""
+def labelled_kmers(texts: list[str], k: int = K, label: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all k-mers of all texts: hash (labelled by occurrence, unless told not to), text number, position."""
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     sizes = np.array([len(r) // 4 for r in raw])
     codes = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64)
@@ -55,10 +56,13 @@ def labelled_kmers(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray
     h = _mix(h)
     own = np.flatnonzero(pos[:full] <= (sizes - k)[text[:full].astype(np.int64)])
     h, text, pos = h[own], text[own], pos[own]
-    order = np.lexsort((h, text))
-    hs, ts, n = h[order], text[order], np.arange(len(order))
+    if not label:
+        return h, text, pos
+    packed = (text << np.uint64(40)) | (h >> np.uint64(24))
+    order = np.argsort(packed)
+    packed, n = packed[order], np.arange(len(order))
     new = np.ones(len(order), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])
+    new[1:] = packed[1:] != packed[:-1]
     seen = np.empty(len(order), np.uint64)
     seen[order] = (n - np.maximum.accumulate(np.where(new, n, 0))).astype(np.uint64)
     return h + seen * _C, text, pos
@@ -81,44 +85,56 @@ def sketches(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         number = np.repeat(np.arange(len(starts)), size)
         usable = size >= LEAST_KMERS
         salt = _mix(group[starts] % np.uint64(CLASSES) + np.uint64(1000 * deal + 17))
-        for keep, ordered in ((ORDERED, True), (UNORDERED, False)):
+        owner = (group[starts] // np.uint64(CLASSES)).astype(np.int64)[usable]
+        for keep, ordered in ((ORDERED, True), (UNORDERED, False))[: 2 if deal == 0 else 1]:
             kept = rank < keep
             at, own = order[kept], number[kept]
-            by = np.lexsort((pos[at] if ordered else label[at], own))
-            at, own = at[by], own[by]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            place = np.arange(len(own)) - np.repeat(first, np.diff(np.concatenate((first, [len(own)]))))
-            terms = _mix(label[at] + (place.astype(np.uint64) + np.uint64(1)) * _C)
-            key = _mix(np.add.reduceat(terms, first) + np.uint64(ordered)) ^ salt
+            first = np.cumsum(np.minimum(size, keep)) - np.minimum(size, keep)
+            terms = label[at]
+            if ordered:
+                by = np.argsort((own.astype(np.uint64) << np.uint64(32)) | pos[at].astype(np.uint64))
+                place = np.arange(len(own)) - np.repeat(first, np.minimum(size, keep))
+                terms = terms[by] + (place.astype(np.uint64) + np.uint64(1)) * _C
+            key = _mix(np.add.reduceat(_mix(terms), first) + np.uint64(ordered)) ^ salt
             keys.append((key >> np.uint64(8))[usable])
-            owners.append((group[starts] // np.uint64(CLASSES)).astype(np.int64)[usable])
+            owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def banded_distances(a: list[np.ndarray], b: list[np.ndarray], band: int = BAND) -> np.ndarray:
-    """Upper bounds of the edit distances of pairs of code arrays: exact within the band around the diagonal."""
+def banded_distances(a: list[np.ndarray], b: list[np.ndarray], limits: np.ndarray, band: int = BAND) -> np.ndarray:
+    """Edit distances of pairs of code arrays as far as the band around the diagonal and the limits reach.
+
+    An upper bound of the distance, exact where the best path keeps to the band; -1 where it is over the
+    pair's limit.  Pairs are aligned side by side and dropped once their whole row is over the limit.
+    """
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    rows, width, far = int(n.max(initial=0)), 2 * band + 1, np.int32(1 << 20)
+    rows, width = int(n.max(initial=0)), 2 * band + 1
+    kind, far = (np.int16, 1 << 14) if rows + band < 1 << 13 else (np.int32, 1 << 28)
     left = np.full((rows, len(a)), 0xFFFFFFFF, np.uint32)
     right = np.full((len(a), rows + width + 1), 0xFFFFFFFE, np.uint32)
     for i, (x, y) in enumerate(zip(a, b)):
         left[: len(x), i] = x
         y = y[: rows + band]
         right[i, band : band + len(y)] = y
-    col = np.arange(width, dtype=np.int32)
-    d = np.where(col >= band, col - band, far)[None, :].repeat(len(a), 0).astype(np.int32)
-    out = np.maximum(n, m).astype(np.int32)
+    col = np.arange(width, dtype=kind)
+    d = np.where(col >= band, col - band, far)[None, :].repeat(len(a), 0).astype(kind)
+    out = np.full(len(a), -1, np.int32)
     at = m - n + band
-    inside = (at >= 0) & (at < width)
-    pick = np.clip(at, 0, width - 1)
-    lines = np.arange(len(a))
+    live = np.flatnonzero((at >= 0) & (at < width) & (limits >= 0))
+    left, right, d = left[:, live], right[live], d[live]
     for i in range(rows + 1):
-        done = inside & (n == i)
-        out[done] = np.minimum(out[done], d[lines[done], pick[done]])
-        if i == rows:
-            break
-        cost = (right[:, i : i + width] != left[i][:, None]).astype(np.int32)
-        best = d + cost
+        ended = n[live] == i
+        if ended.any():
+            own = live[ended]
+            got = d[ended, at[own]].astype(np.int32)
+            out[own] = np.where(got <= limits[own], got, -1)
+        if i % 16 == 0 or ended.any():
+            stay = ~ended & (d.min(1, initial=far) <= limits[live])
+            if not stay.any():
+                break
+            if not stay.all():
+                live, left, right, d = live[stay], left[:, stay], right[stay], d[stay]
+        best = d + (right[:, i : i + width] != left[i][:, None])
         best[:, :-1] = np.minimum(best[:, :-1], d[:, 1:] + 1)
         if i < band:
             best[:, band - i - 1] = i + 1
@@ -127,68 +143,109 @@ def banded_distances(a: list[np.ndarray], b: list[np.ndarray], band: int = BAND)
     return out
 
 
+def jaccards(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of texts: sizes of both sets of k-mers (as 64-bit hashes) and of their intersection."""
+    sides, pair_of = [], []
+    for side in (left, right):
+        texts = list(dict.fromkeys(side))
+        h, owner, _ = labelled_kmers(texts, K, label=False)
+        cut = np.searchsorted(owner, np.arange(len(texts) + 1, dtype=np.uint64))
+        at = {t: i for i, t in enumerate(texts)}
+        parts = [h[cut[at[t]] : cut[at[t] + 1]] for t in side]
+        key = np.concatenate(parts) >> np.uint64(12) | np.repeat(np.arange(len(side), dtype=np.uint64), [len(p) for p in parts]) << np.uint64(52)
+        key = np.unique(key)
+        sides.append(key)
+        pair_of.append(np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=len(side)))
+    both = np.sort(np.concatenate(sides))
+    twice = both[1:][both[1:] == both[:-1]]
+    return pair_of[0], pair_of[1], np.bincount((twice >> np.uint64(52)).astype(np.int64), minlength=len(left))
+
+
 def _similar(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Of pairs of texts: {similarity (null: certified to reach the threshold), edit distance bound}."""
-    a, b = left.to_pylist(), right.to_pylist()
-    codes: dict[str, np.ndarray] = {}
-    sets: dict[str, set[str]] = {}
-    code = lambda t: codes[t] if t in codes else codes.setdefault(t, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
-    grams = lambda t: sets[t] if t in sets else sets.setdefault(t, {t[i : i + K] for i in range(len(t) - K + 1)})
-    similarity, bound = np.zeros(len(a)), np.full(len(a), -1, np.int32)
-    todo = []
-    for i in sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i]))):
-        x, y = grams(a[i]), grams(b[i])
-        if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
-            continue
-        todo.append(i)
-    for s in range(0, len(todo), SIDE_BY_SIDE):
-        part = todo[s : s + SIDE_BY_SIDE]
-        bound[part] = banded_distances([code(a[i]) for i in part], [code(b[i]) for i in part])
-    for i in todo:
-        x, y = grams(a[i]), grams(b[i])
-        least = max(len(x), len(y)) - K * int(bound[i])
-        if least > 0 and least >= THRESHOLD * (len(x) + len(y) - least):
-            similarity[i] = 1.0
-        else:
-            both = len(x & y)
-            similarity[i] = both / (len(x) + len(y) - both)
-    return pa.StructArray.from_arrays([pa.array(similarity >= THRESHOLD), pa.array(bound, pa.int32())], ["similar", "distance"])
-
-
-def _keys(df: DataFrame) -> DataFrame:
+    """Of pairs of texts: whether they reach the similarity, and the bound of the edit distance (null: not aligned)."""
+    a, b = np.array(left.to_pylist(), object), np.array(right.to_pylist(), object)
+    similar, bound = np.zeros(len(a), bool), np.full(len(a), -1, np.int32)
+    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    order = np.argsort([len(x) for x in a], kind="stable")
+    for s in range(0, len(order), SIDE_BY_SIDE):
+        own = order[s : s + SIDE_BY_SIDE]
+        x, y, shared = jaccards(list(a[own]), list(b[own]))
+        both, most = x + y, np.maximum(x, y)
+        limits = np.floor((most - THRESHOLD * both / (1 + THRESHOLD)) / K).astype(np.int64)
+        bound[own] = banded_distances([code(t) for t in a[own]], [code(t) for t in b[own]], limits)
+        least = most - K * bound[own].astype(np.int64)
+        certified = (bound[own] >= 0) & (least >= THRESHOLD * (both - least))
+        similar[own] = certified | (shared >= THRESHOLD * (both - shared))
+    return pa.StructArray.from_arrays([pa.array(similar), pa.array(bound, pa.int32(), mask=bound < 0)], ["similar", "distance"])
+
+
+def normal(text: str | None) -> str | None:
+    """Lower case without white space; null where too short to be compared."""
+    if text is None or len(text) < LEAST_CHARS:
+        return None
+    text = text.lower()
+    for space in " \t\n\r":
+        text = text.replace(space, "")
+    return text if len(text) >= LEAST_CHARS else None
+
+
+def _hashes(batch: pa.RecordBatch, column: int) -> tuple[list[str | None], list[bytes | None]]:
+    texts = [normal(t) for t in batch.column(column).to_pylist()]
+    return texts, [None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+
+
+def _short(hashes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(h[:8] for h in hashes), "<i8")
+
+
+def _keys(df: DataFrame, text_col: str) -> DataFrame:
+    """``key, c``: the sketches of each text (once a task) and its short hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            ids, texts = [], []
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if c not in seen:
-                    seen.add(c)
-                    ids.append(c)
-                    texts.append(t)
-            at = 0
+            new = {h: t for t, h in zip(*_hashes(batch, 0)) if h is not None and h not in seen}
+            seen.update(new)
+            hashes, texts, at = list(new), list(new.values()), 0
             while at < len(texts):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= 2_000_000):
+                while end < len(texts) and (end == at or chars + len(texts[end]) <= 400_000):
                     chars += len(texts[end])
                     end += 1
                 keys, owner = sketches(texts[at:end])
-                own = np.array(ids[at:end], np.int64)[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(own)], ["key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(_short(hashes[at:end])[owner])], ["key", "c"])
                 at = end
 
-    return df.select("c", "norm").mapInArrow(run, "key bigint, c bigint")
+    return df.select(text_col).mapInArrow(run, "key bigint, c bigint")
+
+
+def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, h``: the long hash of each row's normalised text, null where it is too short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hashes(batch, 1)[1], pa.binary())], ["id", "h"])
 
+    return df.select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, h binary")
+
+
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    """``c, h, norm`` of each text that is long enough (once a task)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = {h: t for t, h in zip(*_hashes(batch, 0)) if h is not None and h not in seen}
+            seen.update(new)
+            hashes = list(new)
+            yield pa.RecordBatch.from_arrays([pa.array(_short(hashes)), pa.array(hashes, pa.binary()), pa.array(list(new.values()), pa.string())], ["c", "h", "norm"])
 
-def normalised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, norm, c, h``: text in lower case without white space, its short and its long hash; short texts have null."""
-    norm = F.lower(F.translate(F.col(text_col), " \t\n\r", ""))
-    norm = F.when(F.length(norm) >= LEAST_CHARS, norm)
-    return df.select(F.col(id_col).alias("id"), norm.alias("norm")).select("id", "norm", F.xxhash64("norm").alias("c"), F.md5("norm").alias("h"))
+    return df.select(text_col).mapInArrow(run, "c bigint, h binary, norm string")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
+def candidates(df: DataFrame, text_col: str) -> DataFrame:
     """Pairs ``a < b`` of text hashes that share a sketch, once each."""
-    keyed = _keys(texts.where(F.col("norm").isNotNull())).repartition("key").dropDuplicates(["key", "c"])
+    keyed = _keys(df, text_col).repartition("key").dropDuplicates(["key", "c"])
     w = W.partitionBy("key")
     shared = keyed.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1")
     shared = durable(shared)
@@ -204,11 +261,11 @@ def candidates(texts: DataFrame) -> DataFrame:
     return few.unionByName(many).distinct()
 
 
-def links(texts: DataFrame) -> DataFrame:
+def links(df: DataFrame, text_col: str) -> DataFrame:
     """Verified links ``ha, hb, distance`` between different texts (long hashes, ``ha < hb``), once each."""
-    pairs = durable(candidates(texts))
+    pairs = durable(candidates(df, text_col))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    rep = texts.where(F.col("norm").isNotNull()).join(wanted, "c", "left_semi").select("c", "h", "norm").dropDuplicates(["c", "h"])
+    rep = _texts(df, text_col).join(wanted, "c", "left_semi").dropDuplicates(["c", "h"])
     x = rep.select(F.col("c").alias("a"), F.col("h").alias("hx"), F.col("norm").alias("nx"))
     y = rep.select(F.col("c").alias("b"), F.col("h").alias("hy"), F.col("norm").alias("ny"))
     verdict = F.arrow_udf(_similar, "struct<similar: boolean, distance: int>")
@@ -222,9 +279,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame
     Null, blank and short texts (under ``LEAST_CHARS`` normalised characters) and null ids pair with
     nothing; repeated rows of an id count once; an empty table gives no pairs; other columns aren't read.
     """
-    texts = normalised(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    members = texts.where(F.col("norm").isNotNull()).select("id", "h").distinct()
-    found = durable(links(texts)).select("ha", "hb")
+    df = df.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    members = durable(_members(df, id_col, text_col).where("h is not null").distinct())
+    found = durable(links(df, text_col)).select("ha", "hb")
     m, o = members.alias("m"), members.alias("o")
     apart = found.join(m, F.col("ha") == F.col("m.h")).join(o, F.col("hb") == F.col("o.h")).select(F.col("m.id").alias("i"), F.col("o.id").alias("j"))
     alike = m.join(o, (F.col("m.h") == F.col("o.h")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("i"), F.col("o.id").alias("j"))
@@ -253,15 +310,15 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str) -> DataFram
 
     Null and short texts are a group of their own (class null, no links, one copy).
     """
-    texts = normalised(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    found = durable(links(texts))
+    df = df.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    found = durable(links(df, text_col))
     roots = components(found.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
     degree = found.select(F.explode(F.array("ha", "hb")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
-    ids = texts.select("id", F.when(F.col("norm").isNotNull(), F.col("h")).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
+    ids = _members(df, id_col, text_col).groupBy("id").agg(F.max("h").alias("h"))
     copies = ids.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
     of_text = copies.join(degree, "h", "left").join(roots.withColumnRenamed("node", "h"), "h", "left")
     return ids.join(of_text, "h", "left").select(
-        "id", F.coalesce("root", "h").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")
+        "id", F.lower(F.hex(F.coalesce("root", "h"))).alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")
     )
 
 
