@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_defects, languages, near_duplicates, packing, ranking, splitting, tokenizer
+from . import answer_defects, languages, near_duplicates, packing, page_noise, ranking, splitting, tokenizer
 
-_MODULES = (answer_defects, languages, near_duplicates, packing, ranking, splitting, tokenizer)
+_MODULES = (answer_defects, page_noise, near_duplicates, ranking, splitting, tokenizer, packing, languages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
