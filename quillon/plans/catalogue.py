@@ -1,21 +1,575 @@
-"""The registered queries of the core and their SQL."""
+"""The registered queries of the core and their SQL, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillon.functions import replies, scores, text
+from quillon.operators import chunking, knn, layout, models, pages, retrieval, slides
+from quillon.sources import files
+from quillon.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+#: The queries of a search are the rows whose id this divides.
+ASKED = 50
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _rules(rules, column: str) -> str:
+    for pattern, to in rules:
+        column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
+    return column
+
+
+class _Template(str):
+    """SQL with one place for an expression; other braces belong to patterns."""
+
+    def format(self, expression: str) -> str:  # type: ignore[override]
+        return self.replace("{}", expression)
+
+
+_SP = text.SPACE
+_STRIP = _Template(f"regexp_replace({{}}, '^{_SP}+|{_SP}+$', '', 'g')")
+_FILLED = _Template(f"regexp_matches({{}}, '[^{_SP[1:-1]}]')")
+_PAGES = "p AS (SELECT doc_id, page, max(text) AS text, max(layout_type) AS layout_type, max(column_count) AS column_count FROM pages GROUP BY doc_id, page)"
+_MARKED = "chr(10) || '--- PAGE ' || page || ' ---' || chr(10) || text || chr(10)"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.distinct_pages(table(spark, sf_dir, "pages"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a report: of those ingested twice the values of the greater."""
+    r = table(spark, sf_dir, "reports")
+    return r.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("file_path", "sha1_name", "filename", "document_type", "pages_amount", "tables_amount")])
+
+
+_REPORTS = "r AS (SELECT doc_id, max(file_path) AS file_path, max(sha1_name) AS sha1_name, max(filename) AS filename, max(document_type) AS document_type, max(pages_amount) AS pages_amount, max(tables_amount) AS tables_amount FROM reports GROUP BY doc_id)"
+
+# ---- cleaning
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, page, {_rules(text.NUMBER_RULES, 'text')} AS text FROM p WHERE text IS NOT NULL")
+def clean_numbers(spark, sf_dir):
+    return _pages(spark, sf_dir).where("text is not null").select("doc_id", "page", text.clean_numbers(F.col("text")).alias("text"))
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, page, {_rules(text.SPACING_RULES, 'text')} AS text FROM p WHERE text IS NOT NULL")
+def clean_spacing(spark, sf_dir):
+    return _pages(spark, sf_dir).where("text is not null").select("doc_id", "page", text.clean_spacing(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, translate(text, '＄％（）', '$%()') AS text FROM documents WHERE text IS NOT NULL")
+def clean_symbols(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.clean_symbols(F.col("text")).alias("text"))
+
+
+_DIRTY = "'NT$ ' || l_quantity::INT || ' , ' || lpad((l_partkey % 1000)::VARCHAR, 3, '0') || ' . ' || l_linenumber || ' ％ － 5' || chr(10) || '1 o 5 exam-' || chr(10) || 'ple   （x）'"
+
+
+def _dirty() -> F.Column:
+    n = F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0")
+    return F.concat(F.lit("NT$ "), F.col("l_quantity").cast("int").cast("string"), F.lit(" , "), n, F.lit(" . "), F.col("l_linenumber").cast("string"), F.lit(" ％ － 5\n1 o 5 exam-\nple   （x）"))
+
+
+@query(f"SELECT DISTINCT translate({_rules((*text.NUMBER_RULES, *text.SPACING_RULES), _DIRTY)}, '＄％（）', '$%()') AS text, {_DIRTY} AS raw FROM lineitem")
+def clean_dirty_text(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(_dirty().alias("raw")).distinct().select(text.clean_text(F.col("raw")).alias("text"), "raw")
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE {_FILLED.format('text')}) AS kept, sum(length({_STRIP.format('text')}))::BIGINT AS chars FROM p GROUP BY doc_id")
+def clean_pages_report(spark, sf_dir):
+    t = F.col("text")
+    return _pages(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(text.filled(t)).alias("kept"), F.sum(F.length(text.strip(t)).cast("long")).alias("chars"))
+
+
+# ---- files and reports
+
+
+@query(
+    """SELECT doc_id, lower(regexp_extract(regexp_extract(file_path, '[^/]*$'), '(\\.[^.]+)$', 1)) AS suffix,
+  CASE lower(regexp_extract(regexp_extract(file_path, '[^/]*$'), '(\\.[^.]+)$', 1)) WHEN '.pdf' THEN 'pdf' WHEN '.pptx' THEN 'pptx' WHEN '.ppt' THEN 'pptx' WHEN '.xlsx' THEN 'excel' WHEN '.xls' THEN 'excel' END AS reader,
+  regexp_extract(file_path, '[^/]*$') AS name, regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]*$', '') AS stem
+FROM (SELECT DISTINCT doc_id, file_path FROM reports)"""
+)
+def route_by_extension(spark, sf_dir):
+    p = F.col("file_path")
+    return table(spark, sf_dir, "reports").select("doc_id", "file_path").distinct().select("doc_id", text.suffix(p).alias("suffix"), files.route(p).alias("reader"), text.basename(p).alias("name"), text.stem(p).alias("stem"))
+
+
+@query(f"WITH {_REPORTS} SELECT count(*) AS reports, count(*) FILTER (WHERE document_type <> 'failed') AS parsed, count(*) FILTER (WHERE document_type = 'failed') AS failed FROM r")
+def ingest_counts(spark, sf_dir):
+    return _reports(spark, sf_dir).agg(F.count(F.lit(1)).alias("reports"), F.count_if(F.col("document_type") != "failed").alias("parsed"), F.count_if(F.col("document_type") == "failed").alias("failed"))
+
+
+@query(
+    f"""WITH {_PAGES}, {_REPORTS}, n AS (SELECT doc_id, count(*) FILTER (WHERE {_FILLED.format('text')}) AS kept FROM p GROUP BY doc_id)
+SELECT coalesce(r.doc_id, n.doc_id) AS doc_id, r.document_type, coalesce(r.pages_amount, 0) AS stated, coalesce(n.kept, 0) AS kept, r.doc_id IS NULL AS report_missing FROM r FULL JOIN n ON r.doc_id = n.doc_id"""
+)
+def report_pages(spark, sf_dir):
+    """Reports against their pages: what each states, what there is, and which have no report."""
+    n = _pages(spark, sf_dir).groupBy("doc_id").agg(F.count_if(text.filled(F.col("text"))).alias("kept"))
+    r = _reports(spark, sf_dir).select("doc_id", "document_type", "pages_amount", F.lit(True).alias("known"))
+    j = r.join(n, "doc_id", "full")
+    return j.select("doc_id", "document_type", F.coalesce("pages_amount", F.lit(0)).alias("stated"), F.coalesce("kept", F.lit(0)).alias("kept"), F.col("known").isNull().alias("report_missing"))
+
+
+# ---- pages and documents
+
+
+@query(
+    f"""WITH {_PAGES}, k AS (SELECT doc_id, page, length({_MARKED}) AS n FROM p WHERE {_FILLED.format('text')}),
+s AS (SELECT doc_id, page, n, sum(n) OVER (PARTITION BY doc_id ORDER BY page) AS e FROM k) SELECT doc_id, page, (e - n)::BIGINT AS start, e::BIGINT AS "end" FROM s"""
+)
+def page_bounds(spark, sf_dir):
+    return pages.page_bounds(_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PAGES}, b AS (SELECT doc_id, (page - 1) // 500 AS block, string_agg({_MARKED}, '' ORDER BY page) AS text FROM p WHERE {_FILLED.format('text')} GROUP BY ALL)
+SELECT doc_id, block, text, (sum(length(text)) OVER (PARTITION BY doc_id ORDER BY block) - length(text))::BIGINT AS start FROM b"""
+)
+def combine_pages(spark, sf_dir):
+    return pages.combine_pages(_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PAGES}, b AS (SELECT doc_id, (page - 1) // 500 AS block, string_agg({_MARKED}, '' ORDER BY page) AS text FROM p WHERE {_FILLED.format('text')} GROUP BY ALL)
+SELECT doc_id, block, regexp_replace(text, '\\n--- PAGE [0-9]+ ---\\n', chr(10), 'g') AS text FROM b"""
+)
+def strip_page_markers(spark, sf_dir):
+    return pages.combine_pages(_pages(spark, sf_dir)).select("doc_id", "block", text.without_page_marks(F.col("text")).alias("text"))
+
+
+@query(
+    f"""WITH {_PAGES}, k AS (SELECT doc_id, page, length({_MARKED}) AS n FROM p WHERE {_FILLED.format('text')}),
+s AS (SELECT doc_id, page, n, sum(n) OVER (PARTITION BY doc_id ORDER BY page) AS e FROM k), d AS (SELECT doc_id, max(e) AS n FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, i AS chunk, i * 1000 AS a, least(i * 1000 + 1200, n) AS z FROM d, unnest(range(0, ((n + 999) // 1000)::BIGINT)) AS u(i))
+SELECT c.doc_id, c.chunk::BIGINT AS chunk, list_sort(list(s.page)) AS pages FROM c JOIN s ON c.doc_id = s.doc_id AND c.a < s.e AND c.z > s.e - s.n GROUP BY ALL"""
+)
+def chunk_page_range(spark, sf_dir):
+    """Pages under each stretch of 1,200 characters, one every 1,000, of each combined document."""
+    bounds = pages.page_bounds(_pages(spark, sf_dir))
+    total = bounds.groupBy("doc_id").agg(F.max("end").alias("n"))
+    each = total.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 1000) - 1)).alias("chunk"))
+    spans = each.select("doc_id", "chunk", (F.col("chunk") * 1000).alias("start"), F.least(F.col("chunk") * 1000 + 1200, F.col("n")).alias("end"))
+    return pages.covered_pages(spans, bounds)
+
+
+@query("SELECT doc_id, page, arg_max(text, ingested_at) AS text FROM (SELECT DISTINCT doc_id, page, text, ingested_at FROM pages WHERE text IS NOT NULL) GROUP BY doc_id, page")
+def page_content_map(spark, sf_dir):
+    return retrieval.page_content_map(table(spark, sf_dir, "pages").where("text is not null"))
+
+
+@query("SELECT page, arg_max(text, doc_id || chr(0) || text) AS text FROM pages WHERE text IS NOT NULL GROUP BY page")
+def page_content_map_compat(spark, sf_dir):
+    return retrieval.page_content_map(table(spark, sf_dir, "pages").where("text is not null"), compat=True)
+
+
+# ---- chunks
+
+
+@query(
+    """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, t, unnest(range(0, greatest(ceil((len(t) - 100) / 300.0), 1)::BIGINT)) AS i FROM t WHERE len(t) > 0)
+SELECT doc_id, (i + 1)::INT AS chunk, array_to_string(t[1 + 300 * i : 300 * i + 400], ' ') AS text FROM c"""
+)
+def window_chunks(spark, sf_dir):
+    return chunking.window_chunks(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    each = _pages(spark, sf_dir).select("doc_id", "page", F.posexplode(chunking.recursive_chunks(F.col("text"))).alias("chunk", "text"))
+    return each.withColumn("tokens", text.token_count(F.col("text")))
+
+
+@query(
+    f"""WITH {_PAGES}, {_REPORTS} SELECT p.doc_id, p.page, {_STRIP.format('text')} AS page_content,
+CASE document_type WHEN 'excel' THEN 'excel_full_sheet' ELSE 'pptx_full_slide' END AS content_type, CASE document_type WHEN 'pptx' THEN p.page END AS slide_number,
+CASE document_type WHEN 'excel' THEN coalesce({_STRIP.format("replace(list_filter(string_split(text, chr(10)), lambda x: x[1:6] = 'Sheet:')[1], 'Sheet:', '')")}, 'Unknown Sheet') END AS sheet_name
+FROM p JOIN r ON p.doc_id = r.doc_id WHERE document_type IN ('excel', 'pptx') AND {_FILLED.format('text')}"""
+)
+def whole_page_chunks(spark, sf_dir):
+    typed = _pages(spark, sf_dir).join(_reports(spark, sf_dir).select("doc_id", "document_type"), "doc_id")
+    both = [chunking.whole_pages(typed.where(F.col("document_type") == k), k) for k in ("excel", "pptx")]
+    return both[0].unionByName(both[1]).select("doc_id", "page", "page_content", "content_type", "slide_number", "sheet_name")
+
+
+@query(
+    f"""WITH {_PAGES}, c AS (SELECT doc_id, page, string_split(text, '||COLUMN||') AS c FROM p WHERE text IS NOT NULL), e AS (SELECT doc_id, page, unnest(c) AS t, generate_subscripts(c, 1) AS column_no FROM c)
+SELECT doc_id, page, column_no::INT AS column_no, {_STRIP.format('t')} AS text, row_number() OVER (PARTITION BY doc_id, page ORDER BY column_no)::INT AS chunk, count(*) OVER (PARTITION BY doc_id, page) AS total FROM e WHERE {_FILLED.format('t')}"""
+)
+def split_columns(spark, sf_dir):
+    page = W.partitionBy("doc_id", "page")
+    each = chunking.split_columns(_pages(spark, sf_dir).where("text is not null")).withColumnRenamed("column", "column_no")
+    return each.withColumn("chunk", F.row_number().over(page.orderBy("column_no"))).withColumn("total", F.count(F.lit(1)).over(page))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    """All chunks of all reports, by kind of document."""
+    return chunking.chunk_documents(_pages(spark, sf_dir), _reports(spark, sf_dir))
+
+
+@query()
+def cross_page_chunks(spark, sf_dir):
+    return chunking.cross_page_chunks(_pages(spark, sf_dir))
+
+
+@query("SELECT content_type, coalesce(document_type, 'unknown') AS document_type, count(DISTINCT chunk_id) AS chunks, count(DISTINCT doc_id) AS documents FROM chunks GROUP BY ALL")
+def chunk_types(spark, sf_dir):
+    c = table(spark, sf_dir, "chunks").withColumn("document_type", F.coalesce("document_type", F.lit("unknown")))
+    return c.groupBy("content_type", "document_type").agg(F.countDistinct("chunk_id").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+
+
+# ---- layout: users' event values stand for the positions of a page's characters
+
+_CHARS = "w AS (SELECT user_id AS page, max(value) AS width FROM events GROUP BY user_id), x AS (SELECT user_id AS page, value AS x, width FROM events JOIN w ON user_id = page WHERE value IS NOT NULL AND width > 0)"
+_HIST = f"""{_CHARS}, c AS (SELECT page, least(greatest(floor(x * 50 / width), 0), 49)::INT AS bin, count(*) AS n FROM x GROUP BY ALL),
+h AS (SELECT g.page, b AS bin, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT page FROM c) g CROSS JOIN unnest(range(0, 50)) AS u(b) LEFT JOIN c ON c.page = g.page AND c.bin = b),
+m AS (SELECT page, bin, n, avg(n) OVER (PARTITION BY page ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth, sum(n) OVER (PARTITION BY page) AS total FROM h),
+l AS (SELECT page, bin, bin - row_number() OVER (PARTITION BY page ORDER BY bin) AS run FROM m WHERE smooth <= 0.1 * total / 50),
+g AS (SELECT page, min(bin)::INT AS first_bin, max(bin)::INT AS last_bin FROM l GROUP BY page, run HAVING count(*) >= 2)"""
+
+
+def _histogram(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("value").alias("x"))
+    return layout.histogram(e.join(e.groupBy("page").agg(F.max("x").alias("width")), "page"))
+
+
+@query(f"WITH {_HIST} SELECT page, bin::INT AS bin, n FROM h")
+def column_histogram(spark, sf_dir):
+    return _histogram(spark, sf_dir)
+
+
+@query(f"WITH {_HIST} SELECT page, bin::INT AS bin, round(smooth, 6) AS smooth FROM m")
+def smoothed_histogram(spark, sf_dir):
+    return layout.smoothed(_histogram(spark, sf_dir)).select("page", "bin", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"WITH {_HIST} SELECT page, first_bin, last_bin FROM g")
+def column_gaps(spark, sf_dir):
+    return layout.gaps(_histogram(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_HIST}, k AS (SELECT page, count(*) AS g FROM g GROUP BY page), t AS (SELECT page, sum(n) AS chars FROM h GROUP BY page)
+SELECT t.page, CASE WHEN coalesce(g, 0) > 0 THEN 'multi_column' WHEN chars > 1000 THEN 'complex' ELSE 'single_column' END AS layout_type, (coalesce(g, 0) + 1)::INT AS column_count,
+CASE WHEN coalesce(g, 0) > 0 THEN 'coordinate_based' WHEN chars > 1000 THEN 'fallback' ELSE 'standard' END AS extraction_method FROM t LEFT JOIN k ON t.page = k.page"""
+)
+def layout_types(spark, sf_dir):
+    return layout.layouts(_histogram(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_HIST}, y AS (SELECT g.page, width, list([first_bin * width / 50, CASE WHEN last_bin = 49 THEN width ELSE (last_bin + 1) * width / 50 END]) AS y FROM g JOIN w ON g.page = w.page GROUP BY g.page, width),
+e AS (SELECT page, list_sort(list_distinct(list_concat([0.0, width], flatten(y)))) AS e FROM y),
+i AS (SELECT page, e, unnest(range(0, len(e) - 1, 2)) AS i FROM e) SELECT page, (i // 2 + 1)::INT AS column_no, round(e[i + 1], 6) AS "left", round(e[i + 2], 6) AS "right" FROM i"""
+)
+def column_pairs(spark, sf_dir):
+    widths = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("page")).agg(F.max("value").alias("width"))
+    pairs = layout.column_pairs(layout.gaps(_histogram(spark, sf_dir)), widths)
+    return pairs.select("page", F.col("column").alias("column_no"), F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+# ---- sheets, tables and slides
+
+
+@query("SELECT n_regionkey AS sheet, 'Sheet: ' || r_name || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey, r_name")
+def sheet_text(spark, sf_dir):
+    """Nations as the rows of a sheet for each region."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("cells"))
+    grid = text.format_table(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["cells"]))
+    return n.groupBy(F.col("n_regionkey").alias("sheet"), "r_name").agg(grid.alias("g")).select("sheet", F.concat(F.lit("Sheet: "), "r_name", F.lit("\n"), "g").alias("text"))
+
+
+@query("SELECT p_brand, p_size, string_agg(p_name || ' | ' || p_type || ' | ' || CASE WHEN p_retailprice < 1000 THEN '' ELSE p_brand END, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand, p_size")
+def table_format(spark, sf_dir):
+    """Parts of each brand and size as a table, with null cells."""
+    cells = F.array("p_name", F.concat(F.lit(" "), "p_type"), F.when(F.col("p_retailprice") >= 1000, F.col("p_brand")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", cells.alias("cells")))), lambda x: x["cells"])
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(text.format_table(rows).alias("text"))
+
+
+_SHAPES = """s AS (SELECT o_custkey % 97 AS doc_id, (o_custkey % 13)::INT AS slide, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'table' WHEN 'O' THEN 'text' ELSE 'other' END AS kind,
+CASE WHEN o_totalprice > 300000 THEN NULL WHEN o_totalprice > 200000 THEN '  ' ELSE o_orderpriority END AS text FROM orders)"""
+
+
+def _shapes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "table").when(F.col("o_orderstatus") == "O", "text").otherwise("other")
+    body = F.when(F.col("o_totalprice") > 300000, None).when(F.col("o_totalprice") > 200000, "  ").otherwise(F.col("o_orderpriority"))
+    return o.select((F.col("o_custkey") % 97).alias("doc_id"), (F.col("o_custkey") % 13).cast("int").alias("slide"), F.col("o_orderkey").alias("ord"), kind.alias("kind"), F.lit("X").alias("type_info"), body.alias("text"))
+
+
+@query(
+    f"""WITH {_SHAPES}, k AS (SELECT doc_id, slide, string_agg(CASE kind WHEN 'table' THEN 'Table' WHEN 'text' THEN 'Text Frame' ELSE 'Other' END || ' (type: X):' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY ord) AS t
+FROM s WHERE kind = 'table' OR trim(coalesce(text, '')) <> '' GROUP BY ALL) SELECT doc_id, slide, {_STRIP.format('t')} AS text FROM k"""
+)
+def slide_texts(spark, sf_dir):
+    """Orders as the shapes of slides."""
+    return slides.slide_texts(_shapes(spark, sf_dir))
+
+
+@query(f"WITH {_SHAPES} SELECT doc_id, count(*) FILTER (WHERE kind = 'table') AS tables, 0::BIGINT AS charts, 0::BIGINT AS images, count(*) FILTER (WHERE kind = 'other') AS other_objects FROM s GROUP BY doc_id")
+def shape_counts(spark, sf_dir):
+    return slides.shape_counts(_shapes(spark, sf_dir))
+
+
+# ---- search
+
+_DIST = "sum((list_extract(q.embedding, i)::DOUBLE - list_extract(v.embedding, i)::DOUBLE) ** 2)"
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % ASKED == 0)
+
+
+@query("SELECT v.vec_id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2, 6) AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q ORDER BY list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id LIMIT 30")
+def knn_topk(spark, sf_dir):
+    """The 30 nearest vectors to the first."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.orderBy("vec_id").select("embedding").first()
+    return knn.top_k(e, q[0] if q else []).withColumn("distance", F.round("distance", 6))
+
+
+_BATCH = """d AS (SELECT q.vec_id AS qid, v.vec_id, list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2 AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id)::INT AS rank FROM d QUALIFY rank <= 30)"""
+
+
+@query(f"WITH {_BATCH} SELECT qid, rank, vec_id, round(distance, 6) AS distance FROM k")
+def knn_batch(spark, sf_dir):
+    return knn.knn_batch(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def knn_lists_recall(spark, sf_dir):
+    """Recall at 30 of the inverted lists against the exact search."""
+    e, asked = table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)
+    fitted = knn.Lists.fit(e, 16)
+    near, exact = knn.knn_lists(e, asked, fitted, 11), knn.knn_batch(e, asked)
+    both = exact.join(near.select("qid", "vec_id", F.lit(1).alias("hit")), ["qid", "vec_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("wanted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+
+
+def _hits(spark, sf_dir):
+    """The logged candidates of each question, once each, with the document of their file."""
+    r = table(spark, sf_dir, "reranked")
+    plain = ["text", "page", "page_range", "spans_pages", "distance", "source_file", "document_type", "llm_score"]
+    return r.groupBy("qid", F.col("rank_no").alias("rank")).agg(*[F.max(c).alias(c) for c in plain], F.max(F.col("metadata")["chunk_id"]).alias("chunk_id"))
+
+
+_HITS = "h AS (SELECT qid, rank_no AS rank, max(text) AS text, max(page) AS page, max(page_range) AS page_range, max(spans_pages) AS spans_pages, max(distance) AS distance, max(source_file) AS source_file, max(document_type) AS document_type, max(llm_score) AS llm_score, max(metadata['chunk_id']) AS chunk_id FROM reranked GROUP BY ALL)"
+_COVER = "CASE WHEN coalesce(spans_pages, false) AND page_range IS NOT NULL AND len(list_filter(list_transform(string_split(page_range, ','), lambda x: try_cast(trim(x) AS INT)), lambda x: x IS NOT NULL)) > 0 THEN list_sort(list_distinct(list_filter(list_transform(string_split(page_range, ','), lambda x: try_cast(trim(x) AS INT)), lambda x: x IS NOT NULL))) ELSE [page] END"
+_PARENTS = f"{_HITS}, v AS (SELECT *, {_COVER} AS pages FROM h), f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY qid, {{}}pages ORDER BY rank) = 1), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS position FROM f)"
+
+
+@query(f"WITH {_HITS} SELECT qid, rank, coalesce(page, 0) AS page, 1 AS chunk, coalesce(source_file, '') AS source_file, coalesce(document_type, 'unknown') AS document_type FROM h")
+def hit_projection(spark, sf_dir):
+    hits = retrieval.project_hits(_hits(spark, sf_dir).withColumn("chunk", F.lit(None).cast("int")))
+    return hits.select("qid", "rank", "page", "chunk", "source_file", "document_type")
+
+
+@query(f"WITH {_PARENTS.format('source_file, ')} SELECT qid, rank, pages, position FROM o")
+def parent_pages(spark, sf_dir):
+    hits = _hits(spark, sf_dir).withColumn("doc_id", F.col("source_file"))
+    return retrieval.parent_pages(hits).select("qid", "rank", "pages", "position")
+
+
+@query(f"WITH {_PARENTS.format('')} SELECT qid, rank, pages, position FROM o")
+def parent_pages_compat(spark, sf_dir):
+    return retrieval.parent_pages(_hits(spark, sf_dir), compat=True).select("qid", "rank", "pages", "position")
+
+
+def _with_doc(spark, sf_dir):
+    docs = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.max("doc_id").alias("doc_id"))
+    return _hits(spark, sf_dir).join(docs, "chunk_id")
+
+
+_DOCS = "c AS (SELECT chunk_id, max(doc_id) AS doc_id FROM chunks GROUP BY chunk_id)"
+
+
+@query(
+    f"""WITH {_HITS}, {_DOCS}, {_PAGES}, j AS (SELECT h.*, c.doc_id FROM h JOIN c ON h.chunk_id = c.chunk_id), v AS (SELECT *, {_COVER} AS pages FROM j),
+f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY qid, doc_id, pages ORDER BY rank) = 1), e AS (SELECT qid, rank, doc_id, len(pages) AS k, unnest(pages) AS pg FROM f),
+t AS (SELECT qid, rank, pg, CASE WHEN k = 1 THEN coalesce(p.text, '') WHEN {_FILLED.format('p.text')} THEN '[Page ' || pg || ']' || chr(10) || p.text END AS t FROM e LEFT JOIN p ON p.doc_id = e.doc_id AND p.page = e.pg)
+SELECT qid, rank, coalesce(string_agg(t, chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY pg), '') AS text FROM t GROUP BY qid, rank"""
+)
+def parent_content(spark, sf_dir):
+    parents = retrieval.parent_pages(_with_doc(spark, sf_dir))
+    return retrieval.parent_content(parents, _pages(spark, sf_dir))
+
+
+# ---- reranking
+
+_PLACED = f"{_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS n FROM h), b AS (SELECT *, (n // 2)::INT AS batch, (n % 2)::INT AS slot FROM n), z AS (SELECT *, count(*) OVER (PARTITION BY qid, batch)::INT AS blocks FROM b)"
+
+
+@query(f"WITH {_PLACED} SELECT qid, rank, batch, slot, blocks FROM z")
+def rerank_batches(spark, sf_dir):
+    return retrieval.batches(_hits(spark, sf_dir)).select("qid", "rank", "batch", "slot", "blocks")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > CASE WHEN doc_id % 3 = 0 THEN 1200 ELSE 800 END THEN text[1 : CASE WHEN doc_id % 3 = 0 THEN 1200 ELSE 800 END] || '...' ELSE text END AS block FROM documents")
+def truncate_blocks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("blocks", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(2))
+    return retrieval.blocks(d).select("doc_id", "block")
+
+
+@query(f"WITH {_PLACED}, t AS (SELECT *, CASE WHEN blocks = 1 THEN 1200 ELSE 800 END AS m FROM z) SELECT qid, batch, max(blocks) AS blocks, string_agg(chr(10) || 'Block ' || (slot + 1) || ':' || chr(10) || CASE WHEN length(text) > m THEN text[1 : m] || '...' ELSE text END || chr(10), '' ORDER BY slot) AS prompt FROM t GROUP BY ALL")
+def block_prompts(spark, sf_dir):
+    return retrieval.block_prompts(retrieval.batches(_hits(spark, sf_dir)))
+
+
+_SIM = "greatest(0.0, least(1.0, CASE WHEN distance = -1 THEN 1.0 ELSE 1 / (1 + coalesce(distance, 0.5)) END))"
+
+
+@query(f"WITH {_HITS} SELECT qid, rank, round({_SIM}, 6) AS similarity FROM h")
+def similarity_scores(spark, sf_dir):
+    return _hits(spark, sf_dir).select("qid", "rank", F.round(scores.similarity(F.col("distance")), 6).alias("similarity"))
+
+
+def _scored(spark, sf_dir):
+    """Candidates with a score from a model's score of two decimals, so that both sides round alike."""
+    h = _hits(spark, sf_dir)
+    s = F.round(F.coalesce("llm_score", F.lit(0.5)), 2)
+    return h.withColumn("combined_score", F.round(F.lit(0.7) * s + F.lit(0.3) * scores.similarity(F.col("distance")), 3))
+
+
+_SCORED = f"{_HITS}, s AS (SELECT *, round(0.7 * round(coalesce(llm_score, 0.5), 2) + 0.3 * {_SIM}, 3) AS combined_score FROM h)"
+_BEST = f"{_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY combined_score DESC NULLS LAST, rank)::INT AS position FROM s QUALIFY position <= 10)"
+
+
+@query(f"WITH {_SCORED} SELECT qid, rank, combined_score FROM s")
+def combined_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("qid", "rank", "combined_score")
+
+
+@query(f"WITH {_BEST} SELECT qid, rank, position, combined_score FROM o")
+def rerank_topn(spark, sf_dir):
+    return retrieval.best(_scored(spark, sf_dir)).select("qid", "rank", "position", "combined_score")
+
+
+@query(f"WITH {_BEST} SELECT qid, string_agg('Document ' || position || ' (Page ' || page || ', ' || source_file || '):' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY position) AS context FROM o GROUP BY qid")
+def assemble_context(spark, sf_dir):
+    return retrieval.context(retrieval.best(_scored(spark, sf_dir)))
+
+
+@query(f"WITH {_BEST} SELECT qid, round(avg(combined_score), 4) AS avg_score, round(max(combined_score), 4) AS max_score, round(max(combined_score) - min(combined_score), 4) AS score_range, count(*) AS final_results FROM o GROUP BY qid")
+def retrieval_metrics(spark, sf_dir):
+    return retrieval.retrieval_metrics(retrieval.best(_scored(spark, sf_dir)))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN [(event_id % 100) / 100.0] WHEN 1 THEN [(event_id % 10) / 10.0, 1.0] WHEN 4 THEN [0.25, 0.5] ELSE [0.5, 0.5] END::DOUBLE[] AS scores FROM events")
+def parse_rankings(spark, sf_dir):
+    """Replies of five shapes made from the events, for two blocks each."""
+    i = F.col("event_id")
+    whole = F.concat(F.lit('{"block_rankings": [{"reasoning": "r", "relevance_score": '), ((i % 100) / 100.0).cast("string"), F.lit("}]}"))
+    near = F.concat(F.lit("Score: 0."), (i % 10).cast("string"), F.lit(" relevance 7"))
+    reply = F.when(i % 5 == 0, whole).when(i % 5 == 1, near).when(i % 5 == 2, "no idea").when(i % 5 == 3, "[1, 2]").otherwise("maybe .25 of 3")
+    return table(spark, sf_dir, "events").select("event_id", replies.parse_rankings(reply, F.lit(2)).alias("scores"))
+
+
+@query(
+    """WITH a AS (SELECT answer_id, max(final_answer) AS f, max(confidence_level) AS c FROM structured_answer GROUP BY answer_id)
+SELECT answer_id, CASE answer_id % 3 WHEN 2 THEN coalesce(left('raw ' || f, 1000), '') ELSE f END AS final_answer, CASE answer_id % 3 WHEN 0 THEN c ELSE 'low' END AS confidence_level,
+CASE answer_id % 3 WHEN 0 THEN 'Summary not available' WHEN 1 THEN 'Extracted response' ELSE 'Fallback parsing used due to malformed JSON' END AS reasoning_summary FROM a WHERE f IS NOT NULL AND NOT contains(f, '{') AND NOT contains(f, '}') AND NOT contains(f, '```')"""
+)
+def parse_answers(spark, sf_dir):
+    """Answers put into whole JSON, into JSON amid text, and into plain text, and read back."""
+    a = table(spark, sf_dir, "structured_answer").groupBy("answer_id").agg(F.max("final_answer").alias("f"), F.max("confidence_level").alias("c"))
+    a = a.where(F.col("f").isNotNull() & ~F.contains("f", F.lit("{")) & ~F.contains("f", F.lit("}")) & ~F.contains("f", F.lit("```")))
+    options = {"ignoreNullFields": "false"}
+    whole = F.to_json(F.struct(F.col("f").alias("final_answer"), F.col("c").alias("confidence_level")), options)
+    amid = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(F.col("f").alias("final_answer")), options), F.lit("\n```"))
+    k = F.col("answer_id") % 3
+    got = a.select("answer_id", replies.parse_answer(F.when(k == 0, whole).when(k == 1, amid).otherwise(F.concat(F.lit("raw "), "f"))).alias("a"))
+    return got.select("answer_id", "a.final_answer", "a.confidence_level", "a.reasoning_summary")
+
+
+# ---- tokens, batches and the store
+
+
+@query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '" + text.TOKEN.replace("sc=", "") + "'))::INT AS tokens FROM documents")
+def token_counts(spark, sf_dir):
+    """Built-in token counts of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice - 100000 <= 0 THEN 0.0 ELSE round(o_custkey / (o_totalprice - 100000), 2) END AS rate FROM orders")
+def throughput(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scores.throughput(F.col("o_custkey"), F.col("o_totalprice") - 100000).alias("rate"))
+
+
+@query("SELECT label, count(*) AS vectors, count(*) FILTER (WHERE embedding IS NULL) AS missing, max(len(embedding))::INT AS dimensions FROM embeddings GROUP BY label")
+def store_stats(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).alias("dimensions"))
+
+
+@query()
+def text_embeddings(spark, sf_dir):
+    """Hashed vectors of all distinct chunks."""
+    c = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.max("page_content").alias("t"))
+    return c.select("chunk_id", models.embedded(F.col("t")).alias("embedding"))
+
+
+# ---- end to end
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector hits of all questions, their parent pages, scores and the best ten as a context each.
+
+    The vectors stand for chunks: four consecutive ids are a page, their label its file.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    near = knn.knn_batch(e, _asked(spark, sf_dir), retrieval.TOP_K)
+    facts = e.select("vec_id", F.floor(F.col("vec_id") / 4).cast("int").alias("page"), F.col("label").cast("string").alias("source_file"))
+    hits = near.join(facts, "vec_id").withColumns({"doc_id": F.col("source_file"), "page_range": F.lit(None).cast("string"), "spans_pages": F.lit(False), "text": F.concat(F.lit("vector "), F.col("vec_id").cast("string"))})
+    placed = retrieval.batches(retrieval.parent_pages(hits))
+    own = placed.groupBy("qid", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", (1 / (1 + F.col("page") % 7)).alias("s")))), lambda x: x["s"]).alias("scores"))
+    return retrieval.context(retrieval.best(retrieval.with_scores(placed, own)))
+
+
+_QUERIES["flagship"] = flagship
+
+
+@query()
+def answer_questions(spark, sf_dir):
+    """All logged questions answered from their logged candidates by the stand-ins for scorer and generator."""
+    asked = table(spark, sf_dir, "structured_answer").groupBy("qid").agg(F.max("question").alias("question"))
+    placed = retrieval.batches(_hits(spark, sf_dir))
+    cut = retrieval.blocks(placed)
+    prompts = cut.groupBy("qid", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "block"))), lambda x: x["block"]).alias("texts"))
+    judged = models.scored(prompts.join(asked, "qid"))
+    best = retrieval.best(retrieval.with_scores(placed.join(asked.select("qid"), "qid", "left_semi"), judged))
+    contexts = retrieval.context(best).join(asked, "qid")
+    read = models.generated(contexts).select("qid", replies.parse_answer(F.col("reply")).alias("a"))
+    total = text.token_count(F.concat_ws("\n", "context", "question")) + text.token_count(F.col("a.final_answer"))
+    return contexts.join(read, "qid").join(retrieval.retrieval_metrics(best), "qid").select("qid", F.col("a.final_answer").alias("answer"), F.col("a.confidence_level").alias("confidence_level"), "avg_score", "max_score", "final_results", total.alias("total_tokens"))
