@@ -69,7 +69,7 @@ def blocks(placed: DataFrame) -> DataFrame:
 
 def block_prompts(placed: DataFrame) -> DataFrame:
     """``qid, batch, blocks, prompt``: the numbered blocks of each batch."""
-    line = F.concat(F.lit("\nBlock "), (F.col("slot") + 1).cast("string"), F.lit(":\n"), F.col("block"), F.lit("\n"))
+    line = F.concat(F.lit("\nBlock "), (F.col("slot") + 1).cast("string"), F.lit(":\n"), F.coalesce("block", F.lit("")), F.lit("\n"))
     parts = F.array_sort(F.collect_list(F.struct("slot", line.alias("t"))))
     return blocks(placed).groupBy("qid", "batch").agg(F.max("blocks").alias("blocks"), F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("prompt"))
 

@@ -443,7 +443,7 @@ def truncate_blocks(spark, sf_dir):
     return retrieval.blocks(d).select("doc_id", "block")
 
 
-@query(f"WITH {_PLACED}, t AS (SELECT *, CASE WHEN blocks = 1 THEN 1200 ELSE 800 END AS m FROM z) SELECT qid, batch, max(blocks) AS blocks, string_agg(chr(10) || 'Block ' || (slot + 1) || ':' || chr(10) || CASE WHEN length(text) > m THEN text[1 : m] || '...' ELSE text END || chr(10), '' ORDER BY slot) AS prompt FROM t GROUP BY ALL")
+@query(f"WITH {_PLACED}, t AS (SELECT *, CASE WHEN blocks = 1 THEN 1200 ELSE 800 END AS m FROM z) SELECT qid, batch, max(blocks) AS blocks, string_agg(chr(10) || 'Block ' || (slot + 1) || ':' || chr(10) || CASE WHEN length(text) > m THEN text[1 : m] || '...' ELSE coalesce(text, '') END || chr(10), '' ORDER BY slot) AS prompt FROM t GROUP BY ALL")
 def block_prompts(spark, sf_dir):
     return retrieval.block_prompts(retrieval.batches(_hits(spark, sf_dir)))
 
