@@ -246,6 +246,11 @@ def train(docs: DataFrame, known: dict[str, str], id_col: str, text_col: str, la
     """Cleaned training text per language from ``SAMPLE_ROWS`` labelled rows each, chosen by the hash of their ids."""
     rows = docs.select(labelled(F.col(label_col), known).alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, SAMPLE_ROW_CHARS).alias("text"))
     rows = rows.where("lang is not null and length(text) >= 40")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # at most one row a language of the label table
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, int(min(1.0, (1.5 * SAMPLE_ROWS + 100) / n) * (1 << 30)))])
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")])  # so that tasks pass on no more rows at any size
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= SAMPLE_ROWS)
     return cleaned([(r["lang"], r["text"]) for r in first.orderBy("lang", "n").select("lang", "text").collect()])
 
