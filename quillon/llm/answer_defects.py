@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.sampling import hash_sample
+
 #: The defects, in the order in which they outrank each other.
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 #: Bound of the training sample in rows, size of the feature space, epochs and share held out for calibration.
@@ -374,7 +376,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rows.select(
         F.col("answer_id").alias("id"), "question", F.col("final_answer").alias("answer"), F.col("confidence_level").alias("level"), F.when(F.col("relevant_sources").isNotNull(), F.size("relevant_sources")).otherwise(0).alias("sources")
     )
-    sample = pairs.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).drop("id").distinct().collect()
+    sample = hash_sample(pairs, ["id"], SAMPLE_ROWS).drop("id").distinct().collect()
     return flag_answers(pairs, train(sorted((tuple(r) for r in sample), key=repr)))
 
 
