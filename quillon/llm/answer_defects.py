@@ -300,7 +300,7 @@ def _synthetic(pairs: list[tuple], rng: random.Random) -> list[tuple[tuple, int]
 def _fit(made: list[tuple[tuple, int]], rng: random.Random) -> Classifier:
     rng.shuffle(made)
     xs = [features(*p) for p, _ in made]
-    ys = np.array([[label == k for k in range(len(DEFECTS))] for _, label in made], np.float32)
+    ys = np.array([[label == k for k in range(len(DEFECTS))] for _, label in made], np.float32).reshape(-1, len(DEFECTS))
     ys[:, 4] = [label == 4 or label in (1, 2) and foreign(p[1]) for p, label in made]
     held = int(len(made) * HELD_OUT)
     w, g2 = np.zeros((len(DEFECTS), SPACE), np.float32), np.full((len(DEFECTS), SPACE), 1e-2, np.float32)

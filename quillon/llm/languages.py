@@ -152,10 +152,10 @@ class Judge:
         rest = total[:at] + total[at + 1 :]
         return self.names[at], min(rest) / (best + min(rest)) if rest else 1.0
 
-    def claims(self, text: str, lang: str) -> bool:
-        """Whether the language needs fewer phrases than any other."""
+    def allows(self, text: str, lang: str) -> bool:
+        """Whether no language needs fewer phrases than this one."""
         found, sure = self.language(text)
-        return found == lang and sure > 0.5
+        return found == lang or sure == 0.5 and lang in self.names
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, str, bool]]:
@@ -203,12 +203,24 @@ def _pick(per: dict[str, list[str]], chars: int) -> dict[str, str]:
 
 
 def cleaned(sample: list[tuple[str, str]], chars: int = AUTOMATON_CHARS) -> dict[str, str]:
-    """Training text per language from ``(lang, text)`` rows, without the sentences another language claims."""
+    """Training text per language from ``(lang, text)`` rows, without what another language claims.
+
+    A sentence that occurs under several labels counts for the one it occurs under most; then the automata
+    of each half of the rows judge the other half, twice.
+    """
     halves: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
     turn: Counter[str] = Counter()
     for lang, text in sample:
         turn[lang] += 1
         halves[turn[lang] % 2][lang] += [s for _, _, s, complete in sentences(text) if complete]
+    votes: dict[str, Counter[str]] = defaultdict(Counter)
+    for half in halves:
+        for lang, parts in half.items():
+            for s in parts:
+                votes[s][lang] += 1
+    for half in halves:
+        for lang, parts in half.items():
+            half[lang] = [s for s in parts if all(n < votes[s][lang] for k, n in votes[s].items() if k != lang)]
     for _ in range(2):
         judges = [Judge(_pick(h, chars // 2)) for h in halves]
         kept: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
@@ -219,7 +231,7 @@ def cleaned(sample: list[tuple[str, str]], chars: int = AUTOMATON_CHARS) -> dict
                 for s in parts:
                     if size >= chars:
                         break
-                    if lang not in other.roots or other.claims(s, lang):
+                    if lang not in other.roots or other.allows(s, lang):
                         kept[i][lang].append(s)
                         size += len(s)
         halves = kept

@@ -51,7 +51,7 @@ def cut_points(codes: np.ndarray, limit: int) -> list[int]:
             ends.append(hi)
             continue
         mid, quarter = (lo + hi) // 2, (hi - lo) // 4
-        a, b = np.searchsorted(at, (lo + quarter, hi - quarter + 1))
+        a, b = np.searchsorted(at, (max(lo + 1, lo + quarter), min(hi - 1, hi - quarter) + 1))
         if a == b:
             a, b = np.searchsorted(at, (lo + 1, hi))
             near = np.abs(at[a:b] - mid)
@@ -95,7 +95,7 @@ def split_oversized(items: DataFrame) -> DataFrame:
     pieces.  Only oversized texts reach Python and nothing is shuffled.
     """
     spans = F.arrow_udf(_spans, "struct<forced: boolean, ends: array<int>>")
-    size = F.greatest(F.col("max_size"), F.lit(1))
+    size = F.when(F.col("max_size").isNotNull(), F.greatest(F.col("max_size"), F.lit(1)))
     over = items.select("item_kind", "item_id", "text", "pages", size.alias("max_size"), F.when((F.col("overlap") > 0) & (F.col("overlap") < size), F.col("overlap")).otherwise(0).alias("overlap")).where(F.col("max_size").isNotNull() & (F.length("text") > F.col("max_size")))
     cut = over.withColumn("spans", spans("text", "max_size", "overlap"))
     each = cut.select("*", F.size("spans.ends").alias("pieces"), F.posexplode("spans.ends").alias("piece", "end"))
