@@ -152,10 +152,11 @@ class Judge:
         rest = total[:at] + total[at + 1 :]
         return self.names[at], min(rest) / (best + min(rest)) if rest else 1.0
 
-    def allows(self, text: str, lang: str) -> bool:
-        """Whether no language needs fewer phrases than this one."""
-        found, sure = self.language(text)
-        return found == lang or sure == 0.5 and lang in self.names
+    def fewest(self, text: str) -> set[str]:
+        """The languages that need the fewest phrases."""
+        each = [self.memo.get(c) or self.counts(c) for c in _CLAUSES.split(text) if c]
+        total = list(map(sum, zip(*each))) if each and self.names else []
+        return {k for k, n in zip(self.names, total) if n == min(total)}
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, str, bool]]:
@@ -205,8 +206,9 @@ def _pick(per: dict[str, list[str]], chars: int) -> dict[str, str]:
 def cleaned(sample: list[tuple[str, str]], chars: int = AUTOMATON_CHARS) -> dict[str, str]:
     """Training text per language from ``(lang, text)`` rows, without what another language claims.
 
-    A sentence that occurs under several labels counts for the one it occurs under most; then the automata
-    of each half of the rows judge the other half, twice.
+    A sentence that occurs under several labels counts for the one it occurs under most.  Then the automata
+    of each half of the rows judge the other half, twice: a sentence stays if its language alone needs the
+    fewest phrases.
     """
     halves: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
     turn: Counter[str] = Counter()
@@ -231,7 +233,8 @@ def cleaned(sample: list[tuple[str, str]], chars: int = AUTOMATON_CHARS) -> dict
                 for s in parts:
                     if size >= chars:
                         break
-                    if lang not in other.roots or other.allows(s, lang):
+                    tied = other.fewest(s)
+                    if lang not in other.roots or tied == {lang}:
                         kept[i][lang].append(s)
                         size += len(s)
         halves = kept
