@@ -374,7 +374,7 @@ def knn_lists_recall(spark, sf_dir):
     """Recall at 30 of the inverted lists against the exact search."""
     e, asked = table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)
     fitted = knn.Lists.fit(e, 16)
-    near, exact = knn.knn_lists(e, asked, fitted, 11), knn.knn_batch(e, asked)
+    near, exact = knn.knn_lists(e, asked, fitted, 13), knn.knn_batch(e, asked)
     both = exact.join(near.select("qid", "vec_id", F.lit(1).alias("hit")), ["qid", "vec_id"], "left")
     return both.agg(F.count(F.lit(1)).alias("wanted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
 
