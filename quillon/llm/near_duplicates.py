@@ -25,9 +25,9 @@ from quillon.session import durable
 #: Fixed values of the data's statement: substring length, similarity and least length of a text.
 K, THRESHOLD, LEAST_CHARS = 5, 0.7, 100
 #: Deals and samples a deal; minima kept in order, and kept without order; least k-mers of a sample in use.
-DEALS, CLASSES, ORDERED, UNORDERED, LEAST_KMERS = 2, 16, 7, 8, 4
+DEALS, CLASSES, ORDERED, UNORDERED, LEAST_KMERS = 2, 16, 6, 8, 4
 #: Half width of the alignment band, and pairs aligned side by side.
-BAND, SIDE_BY_SIDE = 32, 256
+BAND, SIDE_BY_SIDE = 16, 256
 #: A bucket's rows are paired in blocks of this many, so that no task pairs a whole hot bucket.
 BLOCK = 64
 
