@@ -2,8 +2,8 @@
 
 Candidates: the occurrence-labelled k-mers of a text are dealt to ``SAMPLES`` samples by an independent
 hash; of each sample the minima are kept in the order of the text, and the sequence is the sample's
-sketch.  Texts that share a sketch are candidates.  A second reading of the first deal's samples, with
-more minima and without their order, keeps the pairs whose parts were moved.  Verification: a banded
+sketch.  Texts that share a sketch are candidates.  A second reading of the samples, with more minima
+and without their order, keeps the pairs whose parts were moved.  Verification: a banded
 alignment bounds the edit distance d from above; d edits touch at most k*d k-mers, which certifies most
 pairs; the exact Jaccard similarity of the k-mer sets decides the rest.
 """
@@ -86,7 +86,7 @@ def sketches(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         usable = size >= LEAST_KMERS
         salt = _mix(group[starts] % np.uint64(CLASSES) + np.uint64(1000 * deal + 17))
         owner = (group[starts] // np.uint64(CLASSES)).astype(np.int64)[usable]
-        for keep, ordered in ((ORDERED, True), (UNORDERED, False))[: 2 if deal == 0 else 1]:
+        for keep, ordered in ((ORDERED, True), (UNORDERED, False)):
             kept = rank < keep
             at, own = order[kept], number[kept]
             first = np.cumsum(np.minimum(size, keep)) - np.minimum(size, keep)

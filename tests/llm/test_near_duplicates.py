@@ -100,3 +100,25 @@ def test_order_counts_in_ordered_sketches():
     keys, owner = n.sketches([a, moved, edited(rng, a, 0.01)])
     of = [set(keys[owner == i].tolist()) for i in range(3)]
     assert 0 < len(of[0] & of[1]) < len(of[0] & of[2])
+
+
+def test_moved_parts_share_a_sketch():
+    def moved(rng, size=600, part=60):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size))
+        parts = [a[i : i + part] for i in range(0, size, part)]
+        rng.shuffle(parts)
+        b = "".join(parts)
+        while True:
+            i = rng.randrange(size)
+            c = b[:i] + "#" + b[i + 1 :]
+            x, y, both = n.jaccards([a], [c])
+            if both[0] < 0.76 * (x[0] + y[0] - both[0]):
+                return a, b
+            b = c
+
+    rng = random.Random(11)
+    keys, owners = n.sketches([t for _ in range(150) for t in moved(rng)])
+    held = [set() for _ in range(300)]
+    for key, owner in zip(keys.tolist(), owners.tolist()):
+        held[owner].add(key)
+    assert sum(not held[2 * i] & held[2 * i + 1] for i in range(150)) <= 3
