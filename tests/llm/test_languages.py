@@ -57,6 +57,22 @@ def test_quoted_names_and_numbers_are_no_sentences(judge):
     assert [g[2] for g in l.segments("Oskquell Precision的營業收入將於下一季回升。", judge)] == ["zh-Hant"]
 
 
+def test_counts_are_whole_whatever_was_seen_before():
+    texts = {"a": "abcdefghij", "b": "klmnopqrst"}
+    for seen in ([], ["klmnopqrst"], ["abcdefghij"]):
+        judge = l.Judge(texts)
+        for clause in seen:
+            judge.counts(clause)
+        clause = "abcdefghij" * 4
+        assert judge.counts(clause) == tuple(l.phrases(clause, judge.roots[k]) for k in ("a", "b"))
+        best, other = judge.counts(clause)
+        assert judge.language(clause) == ("a", other / (best + other))
+    judge = l.Judge(texts)
+    first, second = "k" * 20 + "l", "abcdefghij"
+    whole = [l.phrases(first, judge.roots[k]) + l.phrases(second, judge.roots[k]) for k in ("a", "b")]
+    assert judge.language(f"{first}, {second}")[0] == ("a" if whole[0] <= whole[1] else "b")
+
+
 def test_wrong_labels_are_cleaned():
     rng = random.Random(1)
     parts = {k: [v[a:b] for a, b, _, _ in l.sentences(v)] for k, v in TEXT.items()}
