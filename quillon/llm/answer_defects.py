@@ -117,6 +117,14 @@ def remainder(answer: str, question: str) -> tuple[int, str]:
     return n, a
 
 
+def given_back(answer: str, question: str) -> bool:
+    """Whether an answer ends with its question, with at most a few words and no figure before it."""
+    a, q = bare(answer), bare(question)
+    lead, held, after = a.rpartition(q) if q else (a, "", "")
+    lead = lead.replace(q, "") if held else lead
+    return bool(held) and not after and len(lead) <= 20 and not any(map(str.isdigit, lead))
+
+
 def ending(answer: str) -> list[str]:
     """Facts about how an answer ends."""
     text = answer.rstrip()
@@ -197,6 +205,8 @@ def features(question: str | None, answer: str | None, level: str | None, source
         flags.append("placeholder")
     if times and not rest:
         flags.append("copied")
+    if times:
+        flags.append(f"given back:{given_back(a, q)}")
     ends = ending(a)
     flags += ends
     cut = [e for e in ends if e in CUTS]
@@ -229,17 +239,17 @@ class Classifier:
     def defect(self, question: str | None, answer: str | None, level: str | None, sources: int | None) -> tuple[str | None, float]:
         """The defect that outranks the others of those over their thresholds, with its margin.
 
-        Exact facts settle what a linear score can't: no letters at all is empty, only the question is a copy;
-        neither label is given without its fact, nor is a cut or another language where nothing stays open or
-        no other script is seen.
+        Exact facts settle what a linear score can't: no letters at all is empty, only the question is a copy.
+        Else the score decides and a wide fact checks it: few letters and no figure for an empty answer, nothing
+        after the question for a copy, something left open for a cut, another script for a language.
         """
         times, rest = remainder(answer or "", question or "")
         letters = bare(answer or "")
         hollow, copied = not letters or letters in PLACEHOLDERS, bool(times) and not rest
         margin = self.scores(features(question, answer, level, sources)) - self.thresholds
-        facts = {"truncated": bool(CUTS & {*ending(answer or "")}), "language": foreign(answer or "")}
+        facts = {"empty": len(letters) <= 12 and not any(map(str.isdigit, letters)), "copy": given_back(answer or "", question or ""), "truncated": bool(CUTS & {*ending(answer or "")}), "language": foreign(answer or "")}
         for k, name in enumerate(DEFECTS):
-            if hollow if name == "empty" else copied if name == "copy" else margin[k] > 0 and facts.get(name, True):
+            if name == "empty" and hollow or name == "copy" and copied or not (hollow or copied) and margin[k] > 0 and facts.get(name, True):
                 return name, float(margin[k])
         return None, float(margin.max())
 
@@ -277,7 +287,7 @@ def _synthetic(pairs: list[tuple], rng: random.Random) -> list[tuple[tuple, int]
         if which < 0.1:
             out.append(((q, rng.choice((None, "", " ", "　", "\n", "-", "—", "***", "...", "。", "[]", "{}", "N/A", "TBD", "無", "待補", "（空白）", "None", '""', "Answer not available")), rng.choice(("low", level)), n), 0))
         elif which < 0.25:
-            shape = rng.choice(("{}", "{}", "{}{}", "您的問題是：{}", "「{}」", "問題：{}\n回答：{}", " {} "))
+            shape = rng.choice(("{}", "{}", "{}{}", "您的問題是：{}", "「{}」", "問題：{}\n回答：{}", " {} ", "請問{}", "來信詢問：{}", "客戶提出的是：{}"))
             out.append(((q, shape.replace("{}", q or "?"), level, n), 1))
         elif which < 0.55:
             words = rng.choice(POLITE) + rng.choice(REFUSALS).replace("{}", topic)

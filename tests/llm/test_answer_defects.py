@@ -61,3 +61,10 @@ def test_rows(spark, make, judge):
 
 def test_empty_sample():
     assert d.train([]).defect("q", None, None, None)[0] == "empty"
+
+
+@pytest.mark.parametrize("lead", ["想請教：", "想知道的是"])
+def test_copy_under_words_outside_the_list(judge, lead):
+    q = "翊岫光學2019年第一季的毛利率是多少？"
+    assert judge.defect(q, lead + q, "high", 2)[0] == "copy"
+    assert judge.defect(q, lead + q + "毛利率是12.5%。", "high", 2)[0] is None
