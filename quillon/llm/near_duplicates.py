@@ -3,9 +3,10 @@
 Candidates: the occurrence-labelled k-mers of a text are dealt to ``SAMPLES`` samples by an independent
 hash; of each sample the minima are kept in the order of the text, and the sequence is the sample's
 sketch.  Texts that share a sketch are candidates.  A second reading of the samples, with more minima
-and without their order, keeps the pairs whose parts were moved.  Verification: a banded
-alignment bounds the edit distance d from above; d edits touch at most k*d k-mers, which certifies most
-pairs; the exact Jaccard similarity of the k-mer sets decides the rest.
+and without their order, keeps the pairs whose parts were moved.  Verification: pairs are aligned first,
+without their common beginning and end, in a band and under the limit that their set sizes give: d edits
+touch at most k*d k-mers, and none outside the stretch that differs, which certifies most of the links.
+Only of the pairs that stay uncertified is the exact Jaccard similarity of the k-mer sets computed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.session import durable
+from quillon.session import durable, stored
 
 #: Fixed values of the data's statement: substring length, similarity and least length of a text.
 K, THRESHOLD, LEAST_CHARS = 5, 0.7, 100
@@ -28,75 +29,87 @@ K, THRESHOLD, LEAST_CHARS = 5, 0.7, 100
 DEALS, CLASSES, ORDERED, UNORDERED, LEAST_KMERS = 2, 16, 6, 8, 4
 #: Half width of the alignment band, and pairs aligned side by side.
 BAND, SIDE_BY_SIDE = 16, 256
-#: A bucket's rows are paired in blocks of this many, so that no task pairs a whole hot bucket.
-BLOCK = 64
+#: A group's rows are paired in blocks of this many, and a text meets its partners in blocks of so many, so that no task pairs a whole hot group.
+BLOCK, PARTNERS = 64, 1024
+#: Characters sketched at once, pairs and their characters verified at once, and bits of a hash that give way to a text's number.
+SKETCH_CHARS, MOST_AT_ONCE, PAIR_CHARS, _ROOM = 60_000, 2_000, 2_000_000, 12
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
+_PRIME, _A, _B, _C = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h * _B
     h ^= h >> np.uint64(29)
-    h = h * _A
+    h *= _A
     h ^= h >> np.uint64(32)
     return h
 
 
-def labelled_kmers(texts: list[str], k: int = K, label: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all k-mers of all texts: hash (labelled by occurrence, unless told not to), text number, position."""
+def kmer_hashes(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Of all k-mers of all texts, in order: hash and text number."""
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
-    sizes = np.array([len(r) // 4 for r in raw])
+    sizes = np.array([len(r) // 4 for r in raw], np.int64)
     codes = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64)
-    text = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
-    pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     full = max(0, len(codes) - k + 1)
-    h = np.zeros(full, np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0x100000001B3) + codes[i : full + i]
-    h = _mix(h)
-    own = np.flatnonzero(pos[:full] <= (sizes - k)[text[:full].astype(np.int64)])
-    h, text, pos = h[own], text[own], pos[own]
-    if not label:
-        return h, text, pos
-    packed = (text << np.uint64(40)) | (h >> np.uint64(24))
-    order = np.argsort(packed)
-    packed, n = packed[order], np.arange(len(order))
-    new = np.ones(len(order), bool)
-    new[1:] = packed[1:] != packed[:-1]
-    seen = np.empty(len(order), np.uint64)
-    seen[order] = (n - np.maximum.accumulate(np.where(new, n, 0))).astype(np.uint64)
-    return h + seen * _C, text, pos
+    h = codes[:full].copy()
+    for i in range(1, k):
+        h *= _PRIME
+        h += codes[i : full + i]
+    own = np.ones(full, bool)
+    ends = np.cumsum(sizes)
+    over = (ends[:, None] - np.arange(1, k)[None, :]).ravel()  # k-mers that would run into the next text
+    own[over[(over >= 0) & (over < full)]] = False
+    count = np.maximum(sizes - k + 1, 0)
+    return _mix(h[own]), np.repeat(np.arange(len(texts), dtype=np.uint64), count)
+
+
+def _packed(number: np.ndarray, h: np.ndarray, most: int) -> tuple[np.ndarray, np.uint64]:
+    """Number (at most ``most``), then the leading bits of a 32-bit hash for which there is room, then the place, sorted; and the place's width."""
+    low = len(h).bit_length()
+    lead = min(32, 64 - low - most.bit_length())
+    return np.sort(number << np.uint64(lead + low) | (h >> np.uint64(32 - lead)) << np.uint64(low) | np.arange(len(h), dtype=np.uint64)), np.uint64(low)
+
+
+def labelled_kmers(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Of all k-mers of all texts, in order: hash, labelled by how often the k-mer stood in its text before, and text number."""
+    h, text = kmer_hashes(texts, k)
+    if not len(h):
+        return h, text
+    packed, low = _packed(text, h >> np.uint64(32), len(texts))
+    again = np.flatnonzero(packed[1:] >> low == packed[:-1] >> low) + 1
+    if len(again):
+        first = np.flatnonzero(np.diff(again, prepend=-1) != 1)
+        nth = np.arange(len(again)) - np.repeat(first, np.diff(first, append=len(again))) + 1
+        h[(packed[again] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)] += nth.astype(np.uint64) * _C
+    return h, text
 
 
 def sketches(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all samples of all texts and the number of the text each belongs to (at most 2**28 texts)."""
-    label, text, pos = labelled_kmers(texts, k)
+    """Keys of all samples of all texts and the number of the text each belongs to."""
+    label, text = labelled_kmers(texts, k)
     keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     if not len(label):
         return keys[0], owners[0]
+    most = max(ORDERED, UNORDERED)
     for deal in range(DEALS):
         g = _mix(label ^ _mix(np.array([deal * 7919 + 1], np.uint64)))
-        group = (text * np.uint64(CLASSES)) + (g >> np.uint64(32)) % np.uint64(CLASSES)
-        order = np.argsort((group << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF)))
-        group = group[order]
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        size = np.diff(np.concatenate((starts, [len(order)])))
-        rank = np.arange(len(order)) - np.repeat(starts, size)
-        number = np.repeat(np.arange(len(starts)), size)
-        usable = size >= LEAST_KMERS
-        salt = _mix(group[starts] % np.uint64(CLASSES) + np.uint64(1000 * deal + 17))
-        owner = (group[starts] // np.uint64(CLASSES)).astype(np.int64)[usable]
+        group = text * np.uint64(CLASSES) + (g & np.uint64(CLASSES - 1))
+        packed, low = _packed(group, g >> np.uint64(32), len(texts) * CLASSES)
+        place = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        own = group[place]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(starts, append=len(own))
+        starts, size = starts[size >= LEAST_KMERS], size[size >= LEAST_KMERS]
+        salt = _mix(own[starts] % np.uint64(CLASSES) + np.uint64(1000 * deal + 17))
+        owner = (own[starts] // np.uint64(CLASSES)).astype(np.int64)
+        held = np.arange(most)[None, :] < size[:, None]
+        minima = np.where(held, place[np.minimum(starts[:, None] + np.arange(most)[None, :], len(place) - 1)], len(label))
+        padded = np.append(label, np.uint64(0))
         for keep, ordered in ((ORDERED, True), (UNORDERED, False)):
-            kept = rank < keep
-            at, own = order[kept], number[kept]
-            first = np.cumsum(np.minimum(size, keep)) - np.minimum(size, keep)
-            terms = label[at]
-            if ordered:
-                by = np.argsort((own.astype(np.uint64) << np.uint64(32)) | pos[at].astype(np.uint64))
-                place = np.arange(len(own)) - np.repeat(first, np.minimum(size, keep))
-                terms = terms[by] + (place.astype(np.uint64) + np.uint64(1)) * _C
-            key = _mix(np.add.reduceat(_mix(terms), first) + np.uint64(ordered)) ^ salt
-            keys.append((key >> np.uint64(8))[usable])
+            at = np.sort(minima[:, :keep], axis=1) if ordered else minima[:, :keep]
+            terms = padded[at] + ((np.arange(keep, dtype=np.uint64) + np.uint64(1)) * _C if ordered else np.uint64(0))
+            key = _mix((_mix(terms) * (at < len(label))).sum(1) + np.uint64(ordered)) ^ salt
+            keys.append(key >> np.uint64(8))
             owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -143,39 +156,94 @@ def banded_distances(a: list[np.ndarray], b: list[np.ndarray], limits: np.ndarra
     return out
 
 
-def jaccards(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs of texts: sizes of both sets of k-mers (as 64-bit hashes) and of their intersection."""
-    sides, pair_of = [], []
-    for side in (left, right):
-        texts = list(dict.fromkeys(side))
-        h, owner, _ = labelled_kmers(texts, K, label=False)
-        cut = np.searchsorted(owner, np.arange(len(texts) + 1, dtype=np.uint64))
-        at = {t: i for i, t in enumerate(texts)}
-        parts = [h[cut[at[t]] : cut[at[t] + 1]] for t in side]
-        key = np.concatenate(parts) >> np.uint64(12) | np.repeat(np.arange(len(side), dtype=np.uint64), [len(p) for p in parts]) << np.uint64(52)
-        key = np.unique(key)
-        sides.append(key)
-        pair_of.append(np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=len(side)))
-    both = np.sort(np.concatenate(sides))
+def kmer_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted k-mer hashes of each text, once each, end to end, and where each text's begin."""
+    h, text = kmer_hashes(texts)
+    h >>= np.uint64(_ROOM)
+    h |= text << np.uint64(64 - _ROOM)
+    h.sort()
+    if len(h):
+        h = h[np.concatenate(([True], h[1:] != h[:-1]))]
+    return h & np.uint64((1 << (64 - _ROOM)) - 1), np.searchsorted(h, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(64 - _ROOM))
+
+
+def shared_kmers(sets: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of pairs of text numbers: the size of the intersection of their k-mer sets."""
+
+    def tagged(side: np.ndarray) -> np.ndarray:
+        size = starts[side + 1] - starts[side]
+        at = np.arange(int(size.sum())) + np.repeat(starts[side] - (np.cumsum(size) - size), size)
+        return sets[at] | np.repeat(np.arange(len(side), dtype=np.uint64), size) << np.uint64(64 - _ROOM)
+
+    both = np.concatenate((tagged(left), tagged(right)))
+    both.sort()
     twice = both[1:][both[1:] == both[:-1]]
-    return pair_of[0], pair_of[1], np.bincount((twice >> np.uint64(52)).astype(np.int64), minlength=len(left))
+    return np.bincount((twice >> np.uint64(64 - _ROOM)).astype(np.int64), minlength=len(left))
 
 
-def _similar(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Of pairs of texts: whether they reach the similarity, and the bound of the edit distance (null: not aligned)."""
-    a, b = np.array(left.to_pylist(), object), np.array(right.to_pylist(), object)
-    similar, bound = np.zeros(len(a), bool), np.full(len(a), -1, np.int32)
-    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    order = np.argsort([len(x) for x in a], kind="stable")
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two code arrays without their common beginning and end."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    head = int(differ.argmax()) if differ.any() else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    differ = a[len(a) - n :][::-1] != b[len(b) - n :][::-1]
+    tail = int(differ.argmax()) if n and differ.any() else n
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
+def verified(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of texts: whether they reach the similarity, the bound of their edit distance (-1: over the limit), and whether
+    the alignment certified them.
+
+    Sizes of the k-mer sets bound the similarity from above and set the alignment's limit.  Of the pairs it doesn't
+    certify the exact similarity is computed.
+    """
+    number = {t: i for i, t in enumerate(dict.fromkeys((*left, *right)))}
+    a, b = np.array([number[t] for t in left], np.int64), np.array([number[t] for t in right], np.int64)
+    texts = list(number)
+    sets, starts = kmer_sets(texts)
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    size = np.diff(starts)
+    most, least, both = np.maximum(size[a], size[b]), np.minimum(size[a], size[b]), size[a] + size[b]
+    similar, bound, certified = np.zeros(len(a), bool), np.full(len(a), -1, np.int32), np.zeros(len(a), bool)
+    able = np.flatnonzero(least >= THRESHOLD * most)
+    if not len(able):
+        return similar, bound, certified
+    mid = [_trimmed(codes[a[i]], codes[b[i]]) for i in able]
+    inner = np.array([[len(x), len(y)] for x, y in mid])
+    limits = np.floor((most - THRESHOLD * both / (1 + THRESHOLD))[able] / K).astype(np.int64)
+    limits[np.abs(inner[:, 0] - inner[:, 1]) > limits] = -1
+    order = np.argsort(inner[:, 0], kind="stable")
+    order = order[limits[order] >= 0]
     for s in range(0, len(order), SIDE_BY_SIDE):
         own = order[s : s + SIDE_BY_SIDE]
-        x, y, shared = jaccards(list(a[own]), list(b[own]))
-        both, most = x + y, np.maximum(x, y)
-        limits = np.floor((most - THRESHOLD * both / (1 + THRESHOLD)) / K).astype(np.int64)
-        bound[own] = banded_distances([code(t) for t in a[own]], [code(t) for t in b[own]], limits)
-        least = most - K * bound[own].astype(np.int64)
-        certified = (bound[own] >= 0) & (least >= THRESHOLD * (both - least))
-        similar[own] = certified | (shared >= THRESHOLD * (both - shared))
+        bound[able[own]] = banded_distances([mid[i][0] for i in own], [mid[i][1] for i in own], limits[own])
+    # k-mers of either text that the alignment leaves untouched: all but K for each edit, or all outside the one stretch that differs
+    edits = np.where(bound[able] >= 0, bound[able].astype(np.int64) * K, 1 << 40)
+    touched = np.where(inner.max(1)[:, None] > 0, inner + K - 1, 0)
+    shared = np.maximum(size[a[able]] - np.minimum(edits, touched[:, 0]), size[b[able]] - np.minimum(edits, touched[:, 1]))
+    sure = shared >= THRESHOLD * (both[able] - shared)
+    certified[able[sure]] = similar[able[sure]] = True
+    rest = able[~sure]
+    shared = shared_kmers(sets, starts, a[rest], b[rest])
+    similar[rest] = shared >= THRESHOLD * (both[rest] - shared)
+    return similar, bound, certified
+
+
+def _similar(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Of pairs of texts: whether they reach the similarity, and the bound of the edit distance (null: over the limit)."""
+    a, b = left.to_pylist(), right.to_pylist()
+    out, at = [], 0
+    while at < len(a):
+        end, chars = at, 0
+        while end < len(a) and end - at < MOST_AT_ONCE and (end == at or chars + len(a[end]) + len(b[end]) <= PAIR_CHARS):
+            chars += len(a[end]) + len(b[end])
+            end += 1
+        out.append(verified(a[at:end], b[at:end])[:2])
+        at = end
+    similar, bound = (np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in ((0, bool), (1, np.int32)))
     return pa.StructArray.from_arrays([pa.array(similar), pa.array(bound, pa.int32(), mask=bound < 0)], ["similar", "distance"])
 
 
@@ -189,88 +257,85 @@ def normal(text: str | None) -> str | None:
     return text if len(text) >= LEAST_CHARS else None
 
 
-def _hashes(batch: pa.RecordBatch, column: int) -> tuple[list[str | None], list[bytes | None]]:
-    texts = [normal(t) for t in batch.column(column).to_pylist()]
-    return texts, [None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+def normalised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, h, c, norm`` of each row whose text is long enough, stored: the normalised text, its long hash and its short one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normal(t) for t in batch.column(1).to_pylist()]
+            own = [i for i, t in enumerate(texts) if t is not None]
+            texts = [texts[i] for i in own]
+            hashes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+            short = np.frombuffer(b"".join(h[:8] for h in hashes), "<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int32())), pa.array(hashes, pa.binary()), pa.array(short), pa.array(texts, pa.string())], ["id", "h", "c", "norm"])
 
-def _short(hashes: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(h[:8] for h in hashes), "<i8")
+    return stored(df.select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, h binary, c bigint, norm string"))
 
 
-def _keys(df: DataFrame, text_col: str) -> DataFrame:
-    """``key, c``: the sketches of each text (once a task) and its short hash."""
+def _keys(texts: DataFrame) -> DataFrame:
+    """``key, c``: the sketches of each text (of copies within a batch once) and its short hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            new = {h: t for t, h in zip(*_hashes(batch, 0)) if h is not None and h not in seen}
-            seen.update(new)
-            hashes, texts, at = list(new), list(new.values()), 0
+            new = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            hashes, texts, at = np.array(list(new), np.int64), list(new.values()), 0
             while at < len(texts):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= 400_000):
+                while end < len(texts) and (end == at or chars + len(texts[end]) <= SKETCH_CHARS):
                     chars += len(texts[end])
                     end += 1
                 keys, owner = sketches(texts[at:end])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(_short(hashes[at:end])[owner])], ["key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(hashes[at:end][owner])], ["key", "c"])
                 at = end
 
-    return df.select(text_col).mapInArrow(run, "key bigint, c bigint")
+    return texts.select("c", "norm").mapInArrow(run, "key bigint, c bigint")
 
 
-def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, h``: the long hash of each row's normalised text, null where it is too short."""
+def _cells(df: DataFrame, key: str, item: str) -> DataFrame:
+    """Rows of a group of ``n`` dealt to blocks of about ``BLOCK``, once for every block that they meet: ``lo, hi, own`` added."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.when(blocks > 1, F.pmod(F.xxhash64(item, F.lit(7)), blocks).cast("int")).otherwise(0)
+    met = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return met.select(key, item, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hashes(batch, 1)[1], pa.binary())], ["id", "h"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, h binary")
+def _within(df: DataFrame, key: str, item: str) -> DataFrame:
+    """Pairs ``i < j`` of items of one group of ``df(key, item, n)``; a large group meets block by block, in as many join keys."""
+    cell = _cells(df, key, item).alias("x")
+    same = reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (key, "lo", "hi")])
+    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own"))
+    return cell.join(cell.alias("y"), same & (F.col(f"x.{item}") < F.col(f"y.{item}")) & once).select(F.col(f"x.{item}").alias("i"), F.col(f"y.{item}").alias("j"))
 
 
-def _texts(df: DataFrame, text_col: str) -> DataFrame:
-    """``c, h, norm`` of each text that is long enough (once a task)."""
+def candidates(texts: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of short text hashes that share a sketch, once each."""
+    shared = _keys(texts).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
+    shared = durable(shared.groupBy("key", "c").agg(F.max("n").alias("n")))
+    return _within(shared, "key", "c").distinct().withColumnsRenamed({"i": "a", "j": "b"})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            new = {h: t for t, h in zip(*_hashes(batch, 0)) if h is not None and h not in seen}
-            seen.update(new)
-            hashes = list(new)
-            yield pa.RecordBatch.from_arrays([pa.array(_short(hashes)), pa.array(hashes, pa.binary()), pa.array(list(new.values()), pa.string())], ["c", "h", "norm"])
-
-    return df.select(text_col).mapInArrow(run, "c bigint, h binary, norm string")
-
-
-def candidates(df: DataFrame, text_col: str) -> DataFrame:
-    """Pairs ``a < b`` of text hashes that share a sketch, once each."""
-    keyed = _keys(df, text_col).repartition("key").dropDuplicates(["key", "c"])
-    w = W.partitionBy("key")
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1")
-    shared = durable(shared)
-    cold = shared.where(F.col("n") <= BLOCK)
-    few = cold.alias("x").join(cold.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-    hot = shared.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    hot = hot.withColumn("own", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks")).cast("int"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = hot.select("key", "c", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own").alias("x")
-    same = reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "lo", "hi")])
-    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own"))
-    many = cell.join(cell.alias("y"), same & (F.col("x.c") < F.col("y.c")) & once).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-    return few.unionByName(many).distinct()
 
+def links(texts: DataFrame) -> DataFrame:
+    """Verified links ``ha, hb, distance`` between different texts of ``normalised`` (long hashes, ``ha < hb``), once each.
+
+    A text with many partners is dealt, with them, to as many join keys as it has blocks of partners.
+    """
+    pairs = durable(candidates(texts))
+    partners = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks"))
+    hot = partners.where("blocks > 1")
+    rep = texts.select("c", "h", "norm").join(partners, "c").dropDuplicates(["c", "h"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def dealt(df: DataFrame, side: str, other: str) -> DataFrame:
+        of = hot.select(F.col("c").alias(side), F.col("blocks").alias(f"{side}s"))
+        block = F.coalesce(F.pmod(F.xxhash64(other, F.lit(11)), F.col(f"{side}s")), F.lit(0)).cast("int")
+        return df.join(of, side, "left").withColumn(f"{side}_block", block).drop(f"{side}s")
+
+    def text(side: str, n: int) -> DataFrame:
+        return rep.select(F.col("c").alias(side), F.col("block").alias(f"{side}_block"), F.col("h").alias(f"h{n}"), F.col("norm").alias(f"n{n}"))
 
-def links(df: DataFrame, text_col: str) -> DataFrame:
-    """Verified links ``ha, hb, distance`` between different texts (long hashes, ``ha < hb``), once each."""
-    pairs = durable(candidates(df, text_col))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    rep = _texts(df, text_col).join(wanted, "c", "left_semi").dropDuplicates(["c", "h"])
-    x = rep.select(F.col("c").alias("a"), F.col("h").alias("hx"), F.col("norm").alias("nx"))
-    y = rep.select(F.col("c").alias("b"), F.col("h").alias("hy"), F.col("norm").alias("ny"))
     verdict = F.arrow_udf(_similar, "struct<similar: boolean, distance: int>")
-    both = pairs.join(x, "a").join(y, "b").withColumn("v", verdict("nx", "ny")).where("v.similar and hx <> hy")
-    return both.select(F.least("hx", "hy").alias("ha"), F.greatest("hx", "hy").alias("hb"), F.col("v.distance").alias("distance"))
+    both = dealt(dealt(pairs, "a", "b"), "b", "a").join(text("a", 1), ["a", "a_block"]).join(text("b", 2), ["b", "b_block"])
+    both = both.withColumn("v", verdict("n1", "n2")).where("v.similar and h1 <> h2")
+    return both.select(F.least("h1", "h2").alias("ha"), F.greatest("h1", "h2").alias("hb"), F.col("v.distance").alias("distance"))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,14 +343,26 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame
 
     Null, blank and short texts (under ``LEAST_CHARS`` normalised characters) and null ids pair with
     nothing; repeated rows of an id count once; an empty table gives no pairs; other columns aren't read.
+    Many copies of a text are dealt to blocks, so that no task pairs all of them with each other or with another text's.
     """
-    df = df.where(F.col(id_col).isNotNull()).select(id_col, text_col)
-    members = durable(_members(df, id_col, text_col).where("h is not null").distinct())
-    found = durable(links(df, text_col)).select("ha", "hb")
-    m, o = members.alias("m"), members.alias("o")
-    apart = found.join(m, F.col("ha") == F.col("m.h")).join(o, F.col("hb") == F.col("o.h")).select(F.col("m.id").alias("i"), F.col("o.id").alias("j"))
-    alike = m.join(o, (F.col("m.h") == F.col("o.h")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("i"), F.col("o.id").alias("j"))
-    ordered = apart.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).unionByName(alike)
+    texts = normalised(df.where(F.col(id_col).isNotNull()), id_col, text_col)
+    found = links(texts).select("ha", "hb")
+    members = texts.select("id", "h").distinct()
+    hot = members.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    members = durable(members.join(hot, "h", "left").withColumn("n", F.coalesce("n", F.lit(1))))
+    alike = _within(members.where("n > 1"), "h", "id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("id", F.lit(7)), blocks)).otherwise(0).cast("int"))
+    large = placed.where("blocks > 1").select("h", "blocks").distinct()
+
+    def side(h: str, n: int) -> DataFrame:
+        return placed.select(F.col("h").alias(h), F.col("block").alias(f"b{n}"), F.col("id").alias(f"i{n}"))
+
+    met = durable(found)
+    for h, n in (("ha", 1), ("hb", 2)):
+        met = met.join(large.withColumnsRenamed({"h": h, "blocks": "m"}), h, "left").withColumn(f"b{n}", F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1))).drop("m")
+    apart = met.join(side("ha", 1), ["ha", "b1"]).join(side("hb", 2), ["hb", "b2"]).where("i1 <> i2")
+    ordered = apart.select(F.least("i1", "i2").alias("i"), F.greatest("i1", "i2").alias("j")).unionByName(alike)
     return ordered.distinct().withColumnsRenamed({"i": "id_a", "j": "id_b"})
 
 
@@ -310,11 +387,13 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str) -> DataFram
 
     Null and short texts are a group of their own (class null, no links, one copy).
     """
-    df = df.where(F.col(id_col).isNotNull()).select(id_col, text_col)
-    found = durable(links(df, text_col))
+    df = df.where(F.col(id_col).isNotNull())
+    texts = normalised(df, id_col, text_col)
+    found = durable(links(texts))
     roots = components(found.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
     degree = found.select(F.explode(F.array("ha", "hb")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
-    ids = _members(df, id_col, text_col).groupBy("id").agg(F.max("h").alias("h"))
+    held = texts.select("id", "h").unionByName(df.select(F.col(id_col).alias("id"), F.lit(None).cast("binary").alias("h")))
+    ids = held.groupBy("id").agg(F.max("h").alias("h"))
     copies = ids.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
     of_text = copies.join(degree, "h", "left").join(roots.withColumnRenamed("node", "h"), "h", "left")
     return ids.join(of_text, "h", "left").select(
