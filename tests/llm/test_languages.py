@@ -21,56 +21,87 @@ TEXT = {
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abc", max_size=40), st.text(alphabet="abc", max_size=12))
 def test_automaton(text, word):
-    root = l.automaton(text)
-    node, ok = root, True
+    nodes = l.automaton(text)
+    at = 0
     for ch in word:
-        node = node.get(ch) if node is not None else None
-        ok = node is not None
-        if not ok:
-            break
-    assert ok == (word in text)
+        at = nodes[at].get(ch) if at is not None else None
+    assert (at is not None) == (word in text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from(["de", "en", "ja"]), st.text(alphabet="abc年 ", max_size=60), max_size=3), st.lists(st.text(alphabet="abcd年月 ", min_size=1, max_size=40), max_size=12))
+def test_side_by_side_counts(texts, clauses):
+    automata = l.Automata(texts)
+    want = [[l.phrases(c, nodes) for nodes in automata.plain()] for c in clauses]
+    assert automata.counts(clauses).tolist() == want
 
 
 def test_phrases():
     root = l.automaton("abcab")
     assert l.phrases("abcab", root) == 1 and l.phrases("cabc", root) == 2 and l.phrases("zz", root) >= 4
-    assert l.phrases("zzzzzz", root, 3) > 3
 
 
 @pytest.fixture(scope="module")
 def judge():
-    return l.Judge({k: "\n".join(s for _, _, s, _ in l.sentences(v)) for k, v in TEXT.items()})
+    return l.Judge(l.Automata({k: "\n".join(s for _, _, s, _ in l.sentences(v)) for k, v in TEXT.items()}))
+
+
+def segs(text, judge):
+    (own,) = l.segments([text], judge)
+    return own
 
 
 def test_mixed_text(judge):
     text = "Annual outlook\n\n" + "The company expects orders to recover during the year. 公司預期訂單將於下一季回升，員工人數增加。公司预期订单将于下一季回升，员工人数增加。\nDie Firma erwartet im nächsten Quartal höhere Bestellungen."
-    got = l.segments(text, judge)
+    got = segs(text, judge)
     assert [g[2] for g in got if g[4]] == ["en", "zh-Hant", "zh-Hans", "de"]
     assert all(0.5 <= g[3] <= 1 and text[g[0] : g[1]].strip() for g in got)
 
 
 def test_quoted_names_and_numbers_are_no_sentences(judge):
-    assert l.segments("1,234  5,678 | 9%.\n", judge) == []
-    assert l.segments(None, judge) == l.segments("", judge) == l.segments(" \n", judge) == []
-    got = l.segments("公司預期「The company expects orders to recover.」之後，訂單將於下一季回升，員工人數增加。", judge)
+    assert segs("1,234  5,678 | 9%.\n", judge) == []
+    assert segs(None, judge) == segs("", judge) == segs(" \n", judge) == []
+    got = segs("公司預期「The company expects orders to recover.」之後，訂單將於下一季回升，員工人數增加。", judge)
     assert {g[2] for g in got} == {"zh-Hant"}
-    assert [g[2] for g in l.segments("Oskquell Precision的營業收入將於下一季回升。", judge)] == ["zh-Hant"]
+    assert [g[2] for g in segs("Oskquell Precision的營業收入將於下一季回升。", judge)] == ["zh-Hant"]
 
 
 def test_counts_are_whole_whatever_was_seen_before():
-    texts = {"a": "abcdefghij", "b": "klmnopqrst"}
+    automata = l.Automata({"a": "abcdefghij", "b": "klmnopqrst"})
+    whole = lambda text: tuple(l.phrases(text, nodes) for nodes in automata.plain())
     for seen in ([], ["klmnopqrst"], ["abcdefghij"]):
-        judge = l.Judge(texts)
-        for clause in seen:
-            judge.counts(clause)
+        judge = l.Judge(automata)
+        judge.read(seen)
         clause = "abcdefghij" * 4
-        assert judge.counts(clause) == tuple(l.phrases(clause, judge.roots[k]) for k in ("a", "b"))
-        best, other = judge.counts(clause)
-        assert judge.language(clause) == ("a", other / (best + other))
-    judge = l.Judge(texts)
+        best, other = judge.totals(clause)
+        assert (best, other) == whole(clause) and judge.language(clause) == ("a", other / (best + other))
     first, second = "k" * 20 + "l", "abcdefghij"
-    whole = [l.phrases(first, judge.roots[k]) + l.phrases(second, judge.roots[k]) for k in ("a", "b")]
-    assert judge.language(f"{first}, {second}")[0] == ("a" if whole[0] <= whole[1] else "b")
+    total = [x + y for x, y in zip(whole(first), whole(second))]
+    assert l.Judge(automata).totals(f"{first}, {second}") == tuple(total)
+
+
+def test_order_and_batches_do_not_matter(judge):
+    texts = [" ".join(random.Random(i).sample([v[a:b] for v in TEXT.values() for a, b, _, _ in l.sentences(v)], 6)) for i in range(40)]
+    want = list(l.segments(texts, judge))
+    back = l.Judge(judge.automata)
+    assert [segs(t, back) for t in reversed(texts)] == want[::-1]
+
+
+def test_long_clauses_are_read_alone(judge, monkeypatch):
+    long = ["the company expects orders " * 300, "公司預期訂單將於下一季回升" * 500]
+    want = judge.automata.counts(long).tolist()
+    monkeypatch.setattr(l, "SIDE_BY_SIDE_CHARS", 1 << 30)
+    assert judge.automata.counts(long).tolist() == want
+
+
+def test_short_sentences(judge):
+    for text, lang in (("Orders increased.", "en"), ("毛利上升。", None), ("Umsatz stieg wieder.", "de"), ("来自日本。", "zh-Hans"), ("Les banques ont baissé.", "fr")):
+        got = segs(text, judge)
+        assert [g[4] for g in got] == [1] and (lang is None or got[0][2] == lang), (text, got)
+    for text in ("Im 4.", "Acme Corp.", "No. 5.", "3%。", "A1 B2.", "合計。", "Annual Report", "Inc."):
+        assert segs(text, judge) == [], text
+    text = "Die Firma erwartet im nächsten Quartal höhere Erlöse. Banken stiegen."
+    assert {g[2] for g in segs(text, judge)} == {"de"}
 
 
 def test_wrong_labels_are_cleaned():
@@ -82,7 +113,7 @@ def test_wrong_labels_are_cleaned():
         label = rng.choice(list(TEXT)) if i % 8 == 0 else k
         sample.append((label, " ".join(rng.sample(parts[k], 3))))
     texts = l.cleaned(sample)
-    judge = l.Judge(texts)
+    judge = l.Judge(l.Automata(texts))
     right = sum(judge.language(l.prepared(s)[0])[0] == k for k, own in parts.items() for s in own)
     assert right >= 28
 
