@@ -3,8 +3,9 @@
 Features are hashed character n-grams of the answer (its question, figures and quotations taken out) and
 facts about the pair: how much of the answer is the question, how the last line ends, which brackets and
 fences stay open, which scripts it is written in, its confidence level and number of sources.  The
-classifier is trained here on a bounded sample of the pairs themselves: from answers that look whole,
-copies, cuts, refusals and answers in other languages are made; thresholds are calibrated on held-out ones.
+classifier is trained here on a bounded sample of the pairs themselves: from answers that look whole, copies, cuts,
+refusals, answers in other languages and answers swapped between questions are made; thresholds are
+calibrated on held-out ones.  The scores alone decide.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from quillon.functions.sampling import hash_sample
 
 #: The defects, in the order in which they outrank each other.
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
+#: The classifier's labels: the defects, and an answer that belongs to another question.
+LABELS = (*DEFECTS, "swapped")
 #: Bound of the training sample in rows, size of the feature space, epochs and share held out for calibration.
 SAMPLE_ROWS, SPACE, EPOCHS, HELD_OUT = 2_000, 1 << 16, 5, 0.25
 #: Logit of a refusal or another language from which the first classifier keeps an answer out of the whole ones.
 DOUBT = -1.5
+#: Answers judged at once.
+AT_ONCE = 500
 
 #: What stands for a missing answer.
 PLACEHOLDERS = {"tbd", "na", "none", "null", "nan", "nil", "待補", "無", "空白", "不詳", "待定", "暫無", "略", "answernotavailable", "notavailable", "unknown", "noanswer", "todo"}
@@ -54,6 +59,13 @@ FOREIGN = (
     "营业收入较前一年增加，主要受汇率变动影响。", "与去年同期相比，该公司的存货周转天数缩短。", "管理层预期毛利率将于下一季回升。",
 )
 
+#: Whole pairs to learn from where the sample has next to none.
+STOCK = (
+    ("公司2019年第一季的營業收入是多少？", "公司2019年第一季的營業收入為12,345元，較前一年增加3.1%。"), ("毛利率為什麼下滑？", "毛利率下滑2.4個百分點，主因是庫存調整，以及海外需求轉弱。"), ("哪個地區成長最多？", "西歐"), ("費用占多少？", "約 12.5%"),
+    ("請列出各項金額", "各項金額如下：\n1. 營業收入：12,345 元\n2. 研發支出：2,345 元"), ("存貨餘額是多少？", "存貨餘額為9,876元（9千），管理階層將持續追蹤。"),
+)
+STOCK_BELOW, STOCK_TIMES = 30, 20
+
 _QUOTE = regex.compile(r"\"[^\"\n]*\"|“[^“”]*”|「[^「」]*」|『[^『』]*』|《[^《》]*》")
 _NAME = regex.compile(r"\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)+|\p{Lu}{2,}")
 _BARE = regex.compile(r"[^\p{L}\p{N}]+")
@@ -90,9 +102,17 @@ def _table() -> np.ndarray:
 _SCRIPT = _table()
 
 
-def scripts(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(_SCRIPT[codes[codes < 0x10000]], minlength=7)
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, and the number of the text each belongs to."""
+    raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint32), np.repeat(np.arange(len(texts)), [len(r) // 4 for r in raw])
+
+
+def scripts(texts: list[str]) -> np.ndarray:
+    """Characters of each kind in each text: (texts, kinds)."""
+    codes, owner = _codes(texts)
+    kind = _SCRIPT[np.minimum(codes, 0xFFFF)]
+    return np.bincount(owner * 7 + kind, minlength=7 * len(texts)).reshape(-1, 7)
 
 
 def bare(text: str) -> str:
@@ -101,27 +121,28 @@ def bare(text: str) -> str:
 
 def foreign(text: str) -> bool:
     """Whether a text, its names and quotations taken out, is mainly written in other scripts than traditional Chinese."""
-    s = scripts(_NAME.sub(" ", _QUOTE.sub(" ", text)))
-    return bool(s[3] >= 2 or s[4] >= 2 or s[2] > s[1] or (s[5] >= 12 and s[5] * 2 > s[1:].sum()))
+    return mainly_foreign(scripts([_NAME.sub(" ", _QUOTE.sub(" ", text))])[0])
+
+
+def mainly_foreign(s) -> bool:
+    return bool(s[3] >= 2 or s[4] >= 2 or s[2] > s[1] or (s[5] >= 12 and s[5] * 2 > sum(s[1:])))
 
 
 def remainder(answer: str, question: str) -> tuple[int, str]:
-    """How often the answer holds the question, and the letters and digits it has besides (introductions aside)."""
-    a, q = bare(answer), bare(question)
-    n = a.count(q) if q else 0
+    """How often the answer holds the question, and the letters and digits it has besides (introductions aside); both bare."""
+    n = answer.count(question) if question else 0
     if n:
-        a = a.replace(q, " ")
+        answer = answer.replace(question, " ")
         for word in INTRODUCTIONS:
-            a = a.replace(word, "")
-        a = a.replace(" ", "")
-    return n, a
+            answer = answer.replace(word, "")
+        answer = answer.replace(" ", "")
+    return n, answer
 
 
 def given_back(answer: str, question: str) -> bool:
-    """Whether an answer ends with its question, with at most a few words and no figure before it."""
-    a, q = bare(answer), bare(question)
-    lead, held, after = a.rpartition(q) if q else (a, "", "")
-    lead = lead.replace(q, "") if held else lead
+    """Whether an answer ends with its question, with at most a few words and no figure before it; both bare."""
+    lead, held, after = answer.rpartition(question) if question else (answer, "", "")
+    lead = lead.replace(question, "") if held else lead
     return bool(held) and not after and len(lead) <= 20 and not any(map(str.isdigit, lead))
 
 
@@ -168,16 +189,22 @@ def ending(answer: str) -> list[str]:
     return out
 
 
-def _grams(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashed n-grams of all texts, each once a text, and the number of the text each belongs to."""
+    codes, owner = _codes(texts)
+    codes = codes.astype(np.uint64)
     parts = []
     for n in (1, 2, 3):
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n * 7919, np.uint64)
-            for i in range(n):
-                h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x100000001B3)
-            parts.append((h ^ (h >> np.uint64(29))) % np.uint64(SPACE - 4096))
-    return np.unique(np.concatenate(parts)).astype(np.int64) + 4096 if parts else np.empty(0, np.int64)
+        size = max(0, len(codes) - n + 1)
+        h = np.full(size, n * 7919, np.uint64)
+        for i in range(n):
+            h = (h ^ codes[i : size + i]) * np.uint64(0x100000001B3)
+        own = owner[:size] == owner[n - 1 : size + n - 1]
+        parts.append((owner[:size][own] << 32) | ((h ^ (h >> np.uint64(29))) % np.uint64(SPACE - 4096)).astype(np.int64)[own])
+    packed = np.sort(np.concatenate(parts))
+    if len(packed):
+        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+    return (packed & 0xFFFFFFFF) + 4096, packed >> 32
 
 
 _FLAGS: dict[str, int] = {}
@@ -193,34 +220,67 @@ def _flag(name: str) -> int:
     return _FLAGS[name]
 
 
-def features(question: str | None, answer: str | None, level: str | None, sources: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a pair's features; null text counts as empty."""
-    q, a = question or "", answer or ""
-    times, rest = remainder(a, q)
-    letters = bare(a)
-    said = _QUOTE.sub(" ", a)
-    own = _NAME.sub(" ", said)
-    flags = [f"times:{min(times, 2)}", f"rest:{min(len(rest), 12) if times else 'x'}", f"letters:{min(len(letters), 3)}"]
-    if letters in PLACEHOLDERS or not letters:
-        flags.append("placeholder")
-    if times and not rest:
-        flags.append("copied")
-    if times:
-        flags.append(f"given back:{given_back(a, q)}")
-    ends = ending(a)
-    flags += ends
-    cut = [e for e in ends if e in CUTS]
-    flags.append(f"cut:{min(len(cut), 2)}")
-    s = scripts(own)
-    total = max(1, int(s[1:].sum()))
-    flags += [f"kana:{s[3] >= 2}", f"hangul:{s[4] >= 2}", f"simplified:{s[2] > s[1]}:{s[2] >= 2}", f"latin:{int(4 * s[5] / total)}", f"latin long:{s[5] >= 20}:{int(2 * s[5] / total)}", f"traditional:{min(int(s[1]), 2)}"]
-    flags.append(f"foreign:{foreign(a)}")
-    flags += [f"level:{(level or 'none').strip().lower()}", f"sources:{min(sources or 0, 2)}"]
-    text = _FIGURE.sub("0", _NAME.sub("N", said.replace(q, "Q") if q else said))
-    grams = _grams(text)
-    flags.append(f"figures:{min(text.count('0'), 2)}")
-    at = np.array([_flag(f) for f in flags], np.int64)
-    return np.concatenate((at, grams)), np.concatenate((np.ones(len(at)), np.full(len(grams), 2.0 / np.sqrt(max(len(grams), 1))))).astype(np.float32)
+def without_question(answer: str, question: str) -> str:
+    """The answer with Q for its question, however spaced, spelled in capitals or punctuated."""
+    at = [i for i, c in enumerate(answer) if not _BARE.match(c)]
+    low, q = "".join([answer[i].lower()[:1] for i in at]), bare(question)
+    parts, last, hit = [], 0, low.find(q) if q else -1
+    while hit >= 0:
+        parts += [answer[last : at[hit]], "Q"]
+        last = at[hit + len(q) - 1] + 1
+        hit = low.find(q, hit + len(q))
+    return "".join(parts) + answer[last:]
+
+
+def shared(question: str, answer: str) -> int:
+    """Quarters of the question's pairs of characters that the answer has; both bare."""
+    pairs = {question[i : i + 2] for i in range(len(question) - 1)}
+    return 4 * sum([x in answer for x in pairs]) // len(pairs) if pairs else 0
+
+
+#: Flags that apply a hand-written rule; training without them shows what the rest is worth.
+RULES = ("placeholder", "copied", "given back", "foreign", "cut")
+
+
+def features(pairs: list[tuple], rules: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and values of the features of ``(question, answer, level, sources)``; null text counts as empty.
+
+    Without ``rules`` the flags of hand-written rules are left out.
+    """
+    said = [_QUOTE.sub(" ", p[1] or "") for p in pairs]
+    counts = scripts([_NAME.sub(" ", t) for t in said])
+    texts, places = [], []
+    for i, (q, a, level, sources) in enumerate(pairs):
+        q, a = q or "", a or ""
+        asked, letters = bare(q), bare(a)
+        times, rest = remainder(letters, asked)
+        flags = [f"times:{min(times, 2)}", f"rest:{min(len(rest), 12) if times else 'x'}", f"letters:{min(len(letters), 3)}"]
+        if letters in PLACEHOLDERS or not letters:
+            flags.append("placeholder:")
+        if times and not rest:
+            flags.append("copied:")
+        if times:
+            flags.append(f"given back:{given_back(letters, asked)}")
+        ends = ending(a)
+        flags += ends
+        flags.append(f"cut:{min(len(CUTS.intersection(ends)), 2)}")
+        s = counts[i].tolist()
+        total = max(1, sum(s[1:]))
+        flags += [f"kana:{s[3] >= 2}", f"hangul:{s[4] >= 2}", f"simplified:{s[2] > s[1]}:{s[2] >= 2}", f"latin:{4 * s[5] // total}", f"latin long:{s[5] >= 20}:{2 * s[5] // total}", f"traditional:{min(s[1], 2)}"]
+        flags.append(f"foreign:{mainly_foreign(s)}")
+        flags += [f"level:{(level or 'none').strip().lower()}", f"sources:{min(sources or 0, 2)}"]
+        figures = set(_FIGURE.findall(q))
+        flags += [f"shared:{shared(asked, letters)}", f"shared figures:{figures <= set(_FIGURE.findall(a)) if figures else 'none'}:{len(letters) > 12}"]
+        texts.append(_FIGURE.sub("0", _NAME.sub("N", without_question(said[i], q) if times else said[i])))
+        flags.append(f"figures:{min(texts[-1].count('0'), 2)}")
+        places.append([_flag(f) for f in flags if rules or f.partition(":")[0] not in RULES])
+    grams, owner = _grams(texts)
+    cut = np.searchsorted(owner, np.arange(len(pairs) + 1))
+    out = []
+    for i, at in enumerate(places):
+        own = grams[cut[i] : cut[i + 1]]
+        out.append((np.concatenate((np.array(at, np.int64), own)), np.concatenate((np.ones(len(at), np.float32), np.full(len(own), 2.0 / np.sqrt(max(len(own), 1)), np.float32)))))
+    return out
 
 
 #: What an ending must show for its answer to be cut.
@@ -228,30 +288,31 @@ CUTS = {"open:bracket", "open:fence", "open:quote", "end:comma", "end:colon", "e
 
 
 class Classifier:
-    """One linear model per defect with its calibrated threshold (in logits)."""
-
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
-
-    def scores(self, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return self.weights[:, x[0]] @ x[1]
+    """One linear model per label with its calibrated threshold (in logits)."""
+
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, rules: bool = True):
+        self.weights, self.thresholds, self.rules = weights, thresholds, rules
+
+    def margins(self, pairs: list[tuple]) -> np.ndarray:
+        """Scores over the thresholds: (pairs, labels)."""
+        if not pairs:
+            return np.empty((0, len(self.thresholds)), np.float32)
+        xs = features(pairs, self.rules)
+        starts = np.concatenate(([0], np.cumsum([len(at) for at, _ in xs])[:-1]))
+        scores = np.add.reduceat(self.weights[:, np.concatenate([at for at, _ in xs])] * np.concatenate([v for _, v in xs]), starts, axis=1)
+        return scores.T - self.thresholds
+
+    def defects(self, pairs: list[tuple]) -> list[tuple[str | None, float, float]]:
+        """Per pair the defect that outranks the others of those over their thresholds, with its margin (none: the largest), and the
+        margin of a swapped answer.  The scores alone decide."""
+        out = []
+        for margin in self.margins(pairs):
+            over = np.flatnonzero(margin[: len(DEFECTS)] > 0)
+            out.append((DEFECTS[over[0]] if len(over) else None, float(margin[over[0]] if len(over) else margin[: len(DEFECTS)].max()), float(margin[len(DEFECTS)])))
+        return out
 
     def defect(self, question: str | None, answer: str | None, level: str | None, sources: int | None) -> tuple[str | None, float]:
-        """The defect that outranks the others of those over their thresholds, with its margin.
-
-        Exact facts settle what a linear score can't: no letters at all is empty, only the question is a copy.
-        Else the score decides and a wide fact checks it: few letters and no figure for an empty answer, nothing
-        after the question for a copy, something left open for a cut, another script for a language.
-        """
-        times, rest = remainder(answer or "", question or "")
-        letters = bare(answer or "")
-        hollow, copied = not letters or letters in PLACEHOLDERS, bool(times) and not rest
-        margin = self.scores(features(question, answer, level, sources)) - self.thresholds
-        facts = {"empty": len(letters) <= 12 and not any(map(str.isdigit, letters)), "copy": given_back(answer or "", question or ""), "truncated": bool(CUTS & {*ending(answer or "")}), "language": foreign(answer or "")}
-        for k, name in enumerate(DEFECTS):
-            if name == "empty" and hollow or name == "copy" and copied or not (hollow or copied) and margin[k] > 0 and facts.get(name, True):
-                return name, float(margin[k])
-        return None, float(margin.max())
+        return self.defects([(question, answer, level, sources)])[0][:2]
 
 
 def _cut(answer: str, rng: random.Random) -> str | None:
@@ -272,6 +333,12 @@ def _cut(answer: str, rng: random.Random) -> str | None:
     return made if len(bare(made)) > 8 else None
 
 
+def _respaced(question: str, rng: random.Random) -> str:
+    """A question given back as it is, in small letters, with a space more or without its last sign."""
+    kind, at = rng.random(), rng.randrange(len(question) + 1)
+    return question if kind < 0.4 else question.lower() if kind < 0.55 else question[:at] + " " + question[at:] if kind < 0.75 else question[:-1] if len(question) > 4 else question
+
+
 def _synthetic(pairs: list[tuple], rng: random.Random) -> list[tuple[tuple, int]]:
     """Labelled pairs (label -1: whole) made from pairs that look whole."""
     out: list[tuple[tuple, int]] = []
@@ -287,8 +354,11 @@ def _synthetic(pairs: list[tuple], rng: random.Random) -> list[tuple[tuple, int]
         if which < 0.1:
             out.append(((q, rng.choice((None, "", " ", "　", "\n", "-", "—", "***", "...", "。", "[]", "{}", "N/A", "TBD", "無", "待補", "（空白）", "None", '""', "Answer not available")), rng.choice(("low", level)), n), 0))
         elif which < 0.25:
-            shape = rng.choice(("{}", "{}", "{}{}", "您的問題是：{}", "「{}」", "問題：{}\n回答：{}", " {} ", "請問{}", "來信詢問：{}", "客戶提出的是：{}"))
-            out.append(((q, shape.replace("{}", q or "?"), level, n), 1))
+            for _ in range(2):
+                shape = rng.choice(("{}", "{}", "{}{}", "您的問題是：{}", "「{}」", "問題：{}\n回答：{}", " {} ", "請問{}", "來信詢問：{}", "客戶提出的是：{}"))
+                out.append(((q, shape.replace("{}", _respaced(q or "?", rng)), level, n), 1))
+        if answers and rng.random() < 0.3:
+            out.append(((q, rng.choice(answers), level, n), 5))
         elif which < 0.55:
             words = rng.choice(POLITE) + rng.choice(REFUSALS).replace("{}", topic)
             out.append(((q, words + (rng.choice(REFUSALS).replace("{}", topic) if rng.random() < 0.2 else ""), rng.choice(("low", level)), rng.choice((0, n))), 2))
@@ -307,13 +377,13 @@ def _synthetic(pairs: list[tuple], rng: random.Random) -> list[tuple[tuple, int]
     return out
 
 
-def _fit(made: list[tuple[tuple, int]], rng: random.Random) -> Classifier:
+def _fit(made: list[tuple[tuple, int]], rng: random.Random, rules: bool) -> Classifier:
     rng.shuffle(made)
-    xs = [features(*p) for p, _ in made]
-    ys = np.array([[label == k for k in range(len(DEFECTS))] for _, label in made], np.float32).reshape(-1, len(DEFECTS))
+    xs = features([p for p, _ in made], rules)
+    ys = np.array([[label == k for k in range(len(LABELS))] for _, label in made], np.float32).reshape(-1, len(LABELS))
     ys[:, 4] = [label == 4 or label in (1, 2) and foreign(p[1]) for p, label in made]
     held = int(len(made) * HELD_OUT)
-    w, g2 = np.zeros((len(DEFECTS), SPACE), np.float32), np.full((len(DEFECTS), SPACE), 1e-2, np.float32)
+    w, g2 = np.zeros((len(LABELS), SPACE), np.float32), np.full((len(LABELS), SPACE), 1e-2, np.float32)
     order = list(range(held, len(made)))
     for _ in range(EPOCHS):
         rng.shuffle(order)
@@ -323,9 +393,9 @@ def _fit(made: list[tuple[tuple, int]], rng: random.Random) -> Classifier:
             grad = np.outer(p - ys[i], v)
             g2[:, at] += grad * grad
             w[:, at] -= 0.3 * grad / np.sqrt(g2[:, at])
-    scores = np.array([w[:, at] @ v for at, v in xs[:held]]).reshape(held, len(DEFECTS))
-    thresholds = np.zeros(len(DEFECTS), np.float32)
-    for k in range(len(DEFECTS)):
+    scores = np.array([w[:, at] @ v for at, v in xs[:held]]).reshape(held, len(LABELS))
+    thresholds = np.zeros(len(LABELS), np.float32)
+    for k in range(len(LABELS)):
         truth = ys[:held, k] > 0
         if not truth.any():
             continue
@@ -336,10 +406,10 @@ def _fit(made: list[tuple[tuple, int]], rng: random.Random) -> Classifier:
         low = scores[rank[best], k]
         high = scores[rank[best + 1], k] if best + 1 < held else low - 1
         thresholds[k] = (low + high) / 2
-    return Classifier(w, thresholds)
+    return Classifier(w, thresholds, rules)
 
 
-def train(sample: list[tuple], seed: int = 5) -> Classifier:
+def train(sample: list[tuple], seed: int = 5, rules: bool = True) -> Classifier:
     """Classifier from ``(question, answer, level, sources)`` pairs without labels.
 
     The first classifier takes for whole only answers that end well and state a quantity (or are one short
@@ -348,7 +418,7 @@ def train(sample: list[tuple], seed: int = 5) -> Classifier:
     rng = random.Random(seed)
 
     def plain(p: tuple) -> bool:
-        times, rest = remainder(p[1] or "", p[0] or "")
+        times, rest = remainder(bare(p[1] or ""), bare(p[0] or ""))
         return len(bare(p[1] or "")) >= 2 and bare(p[1]) not in PLACEHOLDERS and not (times and not rest)
 
     def ends_well(p: tuple) -> bool:
@@ -357,26 +427,34 @@ def train(sample: list[tuple], seed: int = 5) -> Classifier:
     usable = [p for p in sample if plain(p) and ends_well(p)]
     whole = [p for p in usable if not foreign(p[1])]
     sure = [p for p in whole if _FACT.search(p[1]) or len(bare(p[1])) <= 6]
+    if len(sure) < STOCK_BELOW:
+        stock = [(q, a, "high", 1) for q, a in STOCK] * STOCK_TIMES
+        whole, sure = whole + stock, sure + stock
     other = [(p, 4) for p in usable if foreign(p[1]) and len(_FIGURE.findall(p[1])) >= 1 and len(p[1]) >= 40]
-    first = _fit(_synthetic(sure, rng) + other, rng)
-    kept = [p for p in whole if (first.scores(features(*p))[[2, 4]] < DOUBT).all()]
-    return _fit(_synthetic(kept, rng) + other, rng) if kept else first
+    first = _fit(_synthetic(sure, rng) + other, rng, rules)
+    doubt = (first.margins(whole) + first.thresholds)[:, [2, 4]]
+    kept = [p for p, d in zip(whole, doubt) if (d < DOUBT).all()]
+    return _fit(_synthetic(kept, rng) + other, rng, rules) if kept else first
 
 
 def flag_answers(pairs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``id, defect, margin`` of every row of ``pairs(id, question, answer, level, sources)``; null defect: none.
+    """``id, defect, margin, swapped`` of every row of ``pairs(id, question, answer, level, sources)``; null defect: none.
 
+    ``swapped`` is the margin by which the answer seems to belong to another question (over 0: it does).
     Null and blank answers are empty; a null question is copied by no answer; very long answers are read
     whole; repeated rows repeat; other columns are not carried.  Nothing is shuffled.
     """
-    model = pairs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.thresholds))  # fixed size
-    schema = f"id {pairs.schema['id'].dataType.simpleString()}, defect string, margin double"
+    model = pairs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.thresholds, classifier.rules))  # fixed size
+    schema = f"id {pairs.schema['id'].dataType.simpleString()}, defect string, margin double, swapped double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(*model.value)
         for batch in batches:
-            found = [judge.defect(*row) for row in zip(*[batch.column(i).to_pylist() for i in range(1, 5)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "defect", "margin"])
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                found = judge.defects(list(zip(*[part.column(i).to_pylist() for i in range(1, 5)])))
+                cols = list(zip(*found))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64()))]], ["id", "defect", "margin", "swapped"])
 
     return pairs.select("id", "question", "answer", "level", "sources").mapInArrow(run, schema)
 
@@ -395,7 +473,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers by defect and confidence level (repeated rows once)."""
+    """Answers by defect and confidence level (repeated rows once), and how many of them seem to belong to another question."""
     levels = spark.read.parquet(f"{sf_dir}/structured_answer.parquet").select(F.col("answer_id").alias("id"), F.lower(F.trim("confidence_level")).alias("confidence_level")).dropDuplicates(["id"])
-    once = _judged(spark, sf_dir).select("id", "defect").distinct()
-    return once.join(levels, "id").groupBy("defect", "confidence_level").agg(F.count(F.lit(1)).alias("answers"))
+    once = _judged(spark, sf_dir).select("id", "defect", (F.col("swapped") > 0).alias("swapped")).distinct()
+    return once.join(levels, "id").groupBy("defect", "confidence_level").agg(F.count(F.lit(1)).alias("answers"), F.count_if("swapped").alias("swapped"))

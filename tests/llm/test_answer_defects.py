@@ -47,8 +47,33 @@ def test_cases(judge, answer, defect):
 def test_held_out(judge):
     rng = random.Random(9)
     made = d._synthetic(sample(2, 300), rng)
-    right = sum((judge.defect(*p)[0] or "") == (d.DEFECTS[k] if k >= 0 else "") for p, k in made)
-    assert right >= 0.97 * len(made)
+    right = lambda j: sum((j.defect(*p)[0] or "") == (d.DEFECTS[k] if 0 <= k < 5 else "") for p, k in made)
+    assert right(judge) >= 0.97 * len(made)
+    assert right(d.train(sample(1, 500), rules=False)) >= 0.95 * len(made)  # without the flags of hand-written rules
+
+
+def test_swapped(judge):
+    rng = random.Random(3)
+    firms = [f"{x}{y}" for x in "昕翊霈岑" for y in ("棠光學", "岫能源", "汐精密", "礫生技")]
+    own = [(f"{f}{y}年的存貨餘額是多少？", f"{f}{y}年的存貨餘額為{rng.randrange(10**5):,}元。", "high", 2) for f in firms for y in range(2015, 2025)]
+    trained = d.train(own)
+    swapped = [(q, own[(i * 7 + 50) % len(own)][1], c, n) for i, (q, _, c, n) in enumerate(own)]
+    over = lambda rows: sum(x[2] > 0 for x in trained.defects(rows))
+    assert over(own) <= 0.05 * len(own) and over(swapped) >= 0.8 * len(own)
+    assert sum(x[0] is None for x in trained.defects(swapped)) >= 0.97 * len(own)  # not one of the five
+
+
+def test_question_taken_out():
+    assert d.without_question("You asked: what  IS it? 3 元", "What is it") == "You asked: Q? 3 元"
+    assert d.without_question("abc", "") == "abc" and d.without_question("", "x") == "" and d.without_question("İxİx", "i̇x")
+
+
+def test_batches_do_not_matter(judge):
+    rows = sample(4, 60) + [(None, None, None, None), ("q", "", "low", 0)]
+    one = [judge.defects([r])[0] for r in rows]
+    for a, b in zip(judge.defects(rows), one):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 and abs(a[2] - b[2]) < 1e-3
+    assert judge.defects([]) == []
 
 
 def test_rows(spark, make, judge):
@@ -67,4 +92,4 @@ def test_empty_sample():
 def test_copy_under_words_outside_the_list(judge, lead):
     q = "翊岫光學2019年第一季的毛利率是多少？"
     assert judge.defect(q, lead + q, "high", 2)[0] == "copy"
-    assert judge.defect(q, lead + q + "毛利率是12.5%。", "high", 2)[0] is None
+    assert judge.defect(q, lead + q + "毛利率是12.5%，較前一年增加。", "high", 2)[0] is None
