@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,9 @@ BREAKS = {"\n": 5, "\r": 5, "。": 4, "！": 4, "？": 4, "；": 3, "，": 2, "
 PARAGRAPH, SENTENCE_SPACE = 6, 4
 #: Most rows a table of size limits may have; a larger one isn't a table of limits.
 MOST_SCOPES = 1000
+#: Pages up to which a stretch is listed page by page, and pieces of a text handed on at once.
+SPREAD, PIECES_AT_ONCE = 10_000, 2_000
+PIECES = ["item_kind", "item_id", "piece", "pieces", "start", "end", "text", "pages", "cut"]
 
 _STRENGTH = np.zeros(0x110000, np.int8)
 for _c, _s in BREAKS.items():
@@ -20,7 +25,7 @@ _STOPS = np.zeros(0x110000, bool)
 _STOPS[[ord(c) for c in ".!?:;"]] = True
 
 
-def _codes(text: str) -> np.ndarray:
+def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
@@ -65,7 +70,7 @@ def cut_points(codes: np.ndarray, limit: int) -> list[int]:
 def _spans(texts: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
     forced, ends, offsets = [], [], [0]
     for text, size, overlap in zip(texts.to_pylist(), sizes.to_pylist(), overlaps.to_pylist()):
-        codes = _codes(text)
+        codes = codes_of(text)
         own = cut_points(codes, max(1, size - overlap)) if len(codes) > size else [len(codes)]
         forced.append(longest_run(codes) > size)
         ends += own
@@ -74,39 +79,65 @@ def _spans(texts: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
 
 
 def normalised_pages(page_range: Column, page: Column) -> Column:
-    """``"6,5"``, ``"5, 6"`` and ``"5-6"`` all as ``"5,6"``; null: the page itself."""
+    """``"6,5"``, ``"5, 6"`` and ``"5-6"`` all as ``"5,6"``; a stretch of over ``SPREAD`` pages as ``"5-99999"``; null: the page itself."""
     numbers = F.transform(F.regexp_extract_all(page_range, F.lit(r"([0-9]{1,9})")), lambda x: x.cast("int"))
-    spread = F.when(
-        page_range.rlike(r"[0-9]\s*[-–—~〜～－]\s*[0-9]") & (F.size(numbers) == 2), F.sequence(F.array_min(numbers), F.array_max(numbers))
-    ).otherwise(numbers)
-    listed = F.array_join(F.array_sort(F.array_distinct(spread)), ",")
+    stretch = page_range.rlike(r"[0-9]\s*[-–—~〜～－]\s*[0-9]") & (F.size(numbers) == 2)
+    first, last = F.array_min(numbers), F.array_max(numbers)
+    wide = stretch & (last - first > SPREAD)
+    spread = F.when(stretch & ~wide, F.sequence(first, last)).otherwise(numbers)
+    listed = F.when(wide, F.concat_ws("-", first.cast("string"), last.cast("string"))).otherwise(F.array_join(F.array_sort(F.array_distinct(spread)), ","))
     return F.when(page_range.isNotNull() & (F.size(numbers) > 0), listed).otherwise(page.cast("string"))
 
 
+def oversized(items: DataFrame) -> DataFrame:
+    """The rows of ``items`` over their size, with sound sizes and overlaps: the only ones that reach Python."""
+    size = F.when(F.col("max_size").isNotNull(), F.greatest(F.col("max_size"), F.lit(1)))
+    overlap = F.when((F.col("overlap") > 0) & (F.col("overlap") < size), F.col("overlap")).otherwise(0)
+    over = items.select("item_kind", "item_id", "text", "pages", size.alias("max_size"), overlap.alias("overlap"))
+    return over.where(F.col("max_size").isNotNull() & (F.length("text") > F.col("max_size")))
+
+
+def spans(items: DataFrame) -> DataFrame:
+    """``item_kind, item_id, cut, ends`` of the rows over their size: ``cut`` is ``forced`` where more than
+    ``max_size`` consecutive characters hold no natural boundary, ``ends`` are the ends of the pieces."""
+    own = F.arrow_udf(_spans, "struct<forced: boolean, ends: array<int>>")
+    cut = oversized(items).withColumn("spans", own("text", "max_size", "overlap"))
+    return cut.select("item_kind", "item_id", F.when(F.col("spans.forced"), "forced").otherwise("natural").alias("cut"), "spans.ends")
+
+
 def split_oversized(items: DataFrame) -> DataFrame:
     """Pieces of the rows of ``items(item_kind, item_id, text, pages, max_size, overlap)`` over their size.
 
     Gives ``item_kind, item_id, piece, pieces, start, end, text, pages, cut``: ``start`` and ``end`` are
     the piece's own stretch (0-based, end exclusive; the stretches tile the text), ``text`` is that
     stretch after the ``overlap`` characters before it, at most ``max_size`` characters in all; ``cut``
-    is ``forced`` where more than ``max_size`` consecutive characters hold no natural boundary.  Texts up
+    is ``forced`` where the piece ends at no natural boundary and isn't the last.  Texts up
     to their size, null and empty texts and rows without a size give no rows; an overlap that is null,
     negative or not below the size counts as 0; a size below 1 counts as 1.  Repeated rows give repeated
-    pieces.  Only oversized texts reach Python and nothing is shuffled.
+    pieces.  Only oversized texts reach Python, which cuts each piece out once; nothing is shuffled.
     """
-    spans = F.arrow_udf(_spans, "struct<forced: boolean, ends: array<int>>")
-    size = F.when(F.col("max_size").isNotNull(), F.greatest(F.col("max_size"), F.lit(1)))
-    over = items.select("item_kind", "item_id", "text", "pages", size.alias("max_size"), F.when((F.col("overlap") > 0) & (F.col("overlap") < size), F.col("overlap")).otherwise(0).alias("overlap")).where(F.col("max_size").isNotNull() & (F.length("text") > F.col("max_size")))
-    cut = over.withColumn("spans", spans("text", "max_size", "overlap"))
-    each = cut.select("*", F.size("spans.ends").alias("pieces"), F.posexplode("spans.ends").alias("piece", "end"))
-    start = F.when(F.col("piece") == 0, 0).otherwise(F.element_at("spans.ends", F.greatest(F.col("piece"), F.lit(1))))
-    each = each.withColumn("start", start)
-    at = F.greatest(F.col("start") - F.col("overlap"), F.lit(0))
-    return each.select(
-        "item_kind", "item_id", (F.col("piece") + 1).alias("piece"), "pieces", "start", "end",
-        F.col("text").substr(at + 1, F.col("end") - at).alias("text"), "pages",
-        F.when(F.col("spans.forced"), "forced").otherwise("natural").alias("cut"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                text, size, overlap = (batch.column(k)[i].as_py() for k in (2, 4, 5))
+                codes = codes_of(text)
+                ends = cut_points(codes, max(1, size - overlap))
+                starts = [0, *ends[:-1]]
+                forced = ~(_STRENGTH[codes[np.array(ends) - 1]] > 0)
+                forced[-1] = False
+                for at in range(0, len(ends), PIECES_AT_ONCE):
+                    own = range(at, min(at + PIECES_AT_ONCE, len(ends)))
+                    n = len(own)
+                    same = pa.array([i] * n, pa.int32())
+                    texts = [text[max(0, starts[k] - overlap) : ends[k]] for k in own]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(same), batch.column(1).take(same), pa.array([k + 1 for k in own], pa.int32()), pa.array([len(ends)] * n, pa.int32()), pa.array([starts[k] for k in own], pa.int32()),
+                         pa.array([ends[k] for k in own], pa.int32()), pa.array(texts, pa.string()), batch.column(3).take(same), pa.array(["forced" if forced[k] else "natural" for k in own], pa.string())],
+                        PIECES,
+                    )
+
+    return oversized(items).mapInArrow(run, "item_kind string, item_id string, piece int, pieces int, start int, end int, text string, pages string, cut string")
 
 
 def sizes(limits: DataFrame) -> dict[str, tuple[int, int]]:
@@ -138,29 +169,48 @@ def items(pages: DataFrame, chunks: DataFrame, limits: dict[str, tuple[int, int]
     return a.unionByName(b)
 
 
-def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return split_oversized(items(read("pages"), read("chunks"), sizes(read("size_limits"))))
+    return items(read("pages"), read("chunks"), sizes(read("size_limits")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all(spark, sf_dir).select("item_kind", "item_id", "cut").distinct()
+    return spans(_items(spark, sf_dir)).select("item_kind", "item_id", "cut").distinct()
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece once; repeated rows of a page or chunk are the same thing logged again."""
-    return _all(spark, sf_dir).withColumnRenamed("pages", "page_range").dropDuplicates(["item_kind", "item_id", "piece"])
+    return split_oversized(_items(spark, sf_dir)).withColumnRenamed("pages", "page_range").dropDuplicates(["item_kind", "item_id", "piece"])
+
+
+def p5_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text over its size what its pieces must hold: the digest of their own stretches end to end, that they are
+    within the size, and that each repeats the overlap of the one before."""
+    limits = _items(spark, sf_dir).select("item_kind", "item_id", "max_size", "overlap").distinct()
+    pieces = p5_pieces(spark, sf_dir).join(limits, ["item_kind", "item_id"])
+    own = F.struct("piece", F.expr("right(text, end - start)").alias("own"), "text", "start", "end")
+    told = pieces.groupBy("item_kind", "item_id").agg(
+        F.array_sort(F.collect_list(own)).alias("p"), F.bool_and(F.length("text") <= F.col("max_size")).alias("within"), F.max("overlap").alias("overlap")
+    )  # the pieces of one text
+    whole = F.array_join(F.transform("p", lambda x: x["own"]), "")
+    return told.withColumn("whole", whole).select(
+        "item_kind", "item_id", F.md5("whole").alias("digest"), "within",
+        F.forall("p", lambda x: x["text"] == F.col("whole").substr(F.greatest(x["start"] - F.col("overlap"), F.lit(0)) + 1, x["end"] - F.greatest(x["start"] - F.col("overlap"), F.lit(0)))).alias("repeats"),
+    )
 
 
-SQL = {
-    "p5_found": """
-WITH l AS (SELECT scope, max_size FROM size_limits WHERE unit = 'chars'),
+_ITEMS = """WITH l AS (SELECT scope, max_size FROM size_limits WHERE unit = 'chars'),
 i AS (
   SELECT 'page' AS item_kind, doc_id || '#' || page AS item_id, text, (SELECT max_size FROM l WHERE scope = 'pages.text') AS max_size FROM pages
   UNION ALL
   SELECT 'chunk', chunk_id, page_content, coalesce(l.max_size, (SELECT max_size FROM l WHERE scope = 'default'))
-  FROM chunks LEFT JOIN l ON l.scope = coalesce(document_type, 'default') AND l.scope <> 'pages.text')
+  FROM chunks LEFT JOIN l ON l.scope = coalesce(document_type, 'default') AND l.scope <> 'pages.text')"""
+_BREAK = "[ \\t\\n\\r。！？；，、]"
+
+SQL = {
+    "p5_found": f"""{_ITEMS}
 SELECT DISTINCT item_kind, item_id,
-  CASE WHEN (SELECT max(length(x)) FROM unnest(regexp_split_to_array(text, '[ \\t\\n\\r。！？；，、]')) AS u(x)) > max_size THEN 'forced' ELSE 'natural' END AS cut
-FROM i WHERE length(text) > max_size"""
+  CASE WHEN (SELECT max(length(x)) FROM unnest(regexp_split_to_array(text, '{_BREAK}')) AS u(x)) > max_size THEN 'forced' ELSE 'natural' END AS cut
+FROM i WHERE length(text) > max_size""",
+    "p5_tiling": f"{_ITEMS} SELECT DISTINCT item_kind, item_id, md5(text) AS digest, true AS within, true AS repeats FROM i WHERE length(text) > max_size",
 }

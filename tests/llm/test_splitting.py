@@ -12,7 +12,7 @@ from quillon.llm import splitting as s
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab漢 \n\r\t。，.", max_size=400), st.integers(1, 40))
 def test_cut_points(text, limit):
-    codes = s._codes(text)
+    codes = s.codes_of(text)
     ends = s.cut_points(codes, limit)
     assert ends[-1] == len(text) and all(0 <= b - a <= limit for a, b in zip([0, *ends], ends))
     longest = max(map(len, re.split("[ \t\r\n。！？；，、]", text)))
@@ -23,8 +23,8 @@ def test_cut_points(text, limit):
 
 def test_strongest_near_the_middle():
     text = "aaaa bbbb，cccc。dddd eeee"
-    assert s.cut_points(s._codes(text), 15)[0] == text.index("。") + 1
-    assert s.cut_points(s._codes("x" * 10), 4) == [2, 5, 7, 10]
+    assert s.cut_points(s.codes_of(text), 15)[0] == text.index("。") + 1
+    assert s.cut_points(s.codes_of("x" * 10), 4) == [2, 5, 7, 10]
 
 
 def test_pieces(spark, make):
@@ -40,15 +40,31 @@ def test_pieces(spark, make):
         assert "".join(text[r.start : r.end] for r in own) == text
         assert all(r.text == text[max(0, r.start - overlap) : r.end] and len(r.text) <= size for r in own)
         assert all(r.pieces == len(own) for r in own)
-    assert {n: {r.cut for r in rs} for n, rs in got.items()} == {"a": {"natural"}, "d": {"forced"}, "f": {"natural"}}
+    assert {n: {r.cut for r in rs} for n, rs in got.items()} == {"a": {"natural"}, "d": {"forced", "natural"}, "f": {"natural"}}
+    assert [r.cut for r in sorted(got["d"], key=lambda r: r.piece)] == ["forced"] * (len(got["d"]) - 1) + ["natural"]
+    assert {r.item_id: r.cut for r in s.spans(df).collect()} == {"a": "natural", "d": "forced", "f": "natural"}
     assert s.split_oversized(df.limit(0)).count() == 0
 
 
 def test_pages_of_ranges(spark, make):
     from pyspark.sql import functions as F
 
-    df = make([("6,5", 5), ("5, 6", 5), ("5-7", 5), (None, 4), ("x", 4), ("5", 4)], "r string, p int")
-    assert [r[0] for r in df.select(s.normalised_pages(F.col("r"), F.col("p"))).collect()] == ["5,6", "5,6", "5,6,7", "4", "4", "5"]
+    df = make([("6,5", 5), ("5, 6", 5), ("5-7", 5), (None, 4), ("x", 4), ("5", 4), ("7-999999999", 4)], "r string, p int")
+    assert [r[0] for r in df.select(s.normalised_pages(F.col("r"), F.col("p"))).collect()] == ["5,6", "5,6", "5,6,7", "4", "4", "5", "7-999999999"]
+
+
+def test_forced_piece_of_a_run_within_the_size(spark, make):
+    df = make([("page", "a", "x" * 90 + " " + "y" * 60, "1", 100, 40)], "item_kind string, item_id string, text string, pages string, max_size int, overlap int")
+    assert {r.cut for r in s.spans(df).collect()} == {"natural"}
+    rows = sorted(s.split_oversized(df).collect(), key=lambda r: r.piece)
+    assert all((r.cut == "natural") == (r.end == 151 or df.first().text[r.end - 1] == " ") for r in rows) and any(r.cut == "forced" for r in rows)
+
+
+def test_a_very_long_text(spark, make):
+    text = ("段落一，還有一句。" * 5 + "\n") * 1_100_000  # over 50 million characters
+    df = spark.range(1).selectExpr("'page' item_kind", "'a' item_id", "repeat('" + text[:46].replace("\n", "\\n") + "', 1100000) text", "'1' pages", "1000 max_size", "100 overlap")
+    pieces = s.split_oversized(df).selectExpr("count(*) n", "sum(end - start) chars", "max(length(text)) longest", "count_if(cut = 'forced') forced").first()
+    assert (pieces.chars, pieces.forced) == (len(text), 0) and pieces.longest <= 1000 and pieces.n < 2.5 * len(text) / 900
 
 
 def test_scopes(spark, make):
