@@ -94,6 +94,12 @@ def read_answer(reply: str | None) -> dict:
 ANSWER = "struct<step_by_step_analysis: string, reasoning_summary: string, relevant_sources: array<string>, confidence_level: string, final_answer: string>"
 
 
+def plain_answer(reply: Column) -> Column:
+    """The structured answer of a second, plain call: the reply itself under the defaults of a failed one; null: no answer."""
+    fields = [(F.array().cast("array<string>") if isinstance(v, list) else F.lit(v)).alias(k) for k, v in FAILED.items()]
+    return F.struct(*fields, F.coalesce(reply, F.lit("")).alias("final_answer"))
+
+
 def _text(x: object) -> str | None:
     return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 

@@ -92,9 +92,23 @@ def columns_of(text: Column) -> Column:
     return F.split(text, r"\|\|COLUMN\|\|")
 
 
+#: Pages up to which a stretch such as ``5-9`` is listed page by page.
+SPREAD = 10_000
+
+
 def page_numbers(page_range: Column, spans: Column, page: Column) -> Column:
-    """Pages a chunk covers: those of its range if it spans pages, else its own."""
-    listed = F.filter(F.transform(F.split(page_range, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
+    """Pages a chunk covers: those of its range (``5,6``, ``6, 5``, ``5-6``) if it spans pages, else its own.
+
+    A stretch runs up or down; one of over ``SPREAD`` pages counts as its ends.
+    """
+
+    def numbers(part: Column) -> Column:
+        ends = F.transform(F.split(part, r"[-‐‑–—~〜～－]"), lambda x: F.trim(x).try_cast("int"))
+        first, last = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+        whole = (F.size(ends) == 2) & first.isNotNull() & last.isNotNull() & (F.abs(last - first) <= SPREAD)
+        return F.when(whole, F.sequence(first, last)).otherwise(F.filter(ends, lambda x: x.isNotNull()))
+
+    listed = F.flatten(F.transform(F.split(page_range, ","), numbers))
     return F.when(F.coalesce(spans, F.lit(False)) & page_range.isNotNull() & (F.size(listed) > 0), F.array_sort(F.array_distinct(listed))).otherwise(F.array(page))
 
 
@@ -114,4 +128,4 @@ def token_count(text: Column) -> Column:
 
 
 #: What counts as a token of the built-in counter.
-TOKEN = r"[\p{sc=Han}\p{sc=Hiragana}\p{sc=Katakana}]|[\p{sc=Latin}\p{sc=Hangul}\p{N}_]+|[^\p{sc=Latin}\p{sc=Hangul}\p{sc=Han}\p{sc=Hiragana}\p{sc=Katakana}\p{N}_\s]"
+TOKEN = r"[\p{sc=Han}\p{sc=Hiragana}\p{sc=Katakana}]|[\p{sc=Latin}\p{sc=Hangul}\p{N}_]+|[^\p{sc=Latin}\p{sc=Hangul}\p{sc=Han}\p{sc=Hiragana}\p{sc=Katakana}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}]"

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.sampling import hash_sample
 from quillon.functions.scores import cosine_distance, inner_product, squared_l2
 
 #: Queries and vectors of one block of the exact search.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
 #: Bound of the sample the lists' centres are fitted on, and the rounds of fitting.
 FIT_ROWS, FIT_ROUNDS = 20_000, 12
+#: Largest set of centres that is broadcast.
+MOST_CENTRE_BYTES = 64 << 20
 
 
 def top_k(index: DataFrame, query: list[float], k: int = 30, metric: str = "l2sq") -> DataFrame:
@@ -81,13 +84,17 @@ class Lists:
     """Inverted lists: centres, and the assignment of vectors to their nearest centre."""
 
     def __init__(self, centres: np.ndarray):
+        if centres.nbytes > MOST_CENTRE_BYTES:
+            raise ValueError("these centres are too large to be broadcast")
         self.centres = centres
 
     @classmethod
     def fit(cls, index: DataFrame, lists: int, seed: int = 1) -> Lists:
-        """Centres by k-means on at most ``FIT_ROWS`` rows, those of least id hash."""
-        rows = index.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("vec_id")).select("embedding").limit(FIT_ROWS).collect()
-        x = np.array([r[0] for r in rows], np.float64)
+        """Centres by k-means on a sample of at most ``FIT_ROWS`` rows; an empty index has none."""
+        rows = hash_sample(index.where(F.col("embedding").isNotNull()).select("vec_id", "embedding"), ["vec_id"], FIT_ROWS).collect()
+        x = np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["vec_id"])], np.float64)
+        if not len(x):
+            return cls(np.empty((0, 0)))
         rng = np.random.default_rng(seed)
         c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
         for _ in range(FIT_ROUNDS):
@@ -97,11 +104,11 @@ class Lists:
 
     def assign(self, df: DataFrame, probes: int = 1) -> DataFrame:
         """``df(vec_id, embedding)`` with ``list``: the nearest ``probes`` centres of each row."""
-        centres = df.sparkSession.sparkContext.broadcast(self.centres)  # lists x dimensions, set by the caller
+        centres = df.sparkSession.sparkContext.broadcast(self.centres)  # of checked size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not len(b):
+                if not len(b) or not len(centres.value):
                     continue
                 x = np.stack([np.asarray(v, np.float64) for v in b.column(1).to_pylist()])
                 near = np.argsort(_distances(x, centres.value, "l2sq"), axis=1, kind="stable")[:, :probes]

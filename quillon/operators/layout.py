@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def layouts(hist: DataFrame) -> DataFrame:
         "page",
         F.when(many, "multi_column").when(complex_, "complex").otherwise("single_column").alias("layout_type"),
         (F.col("g") + 1).cast("int").alias("column_count"),
-        F.when(many, "coordinate_based").when(complex_, "fallback").otherwise("standard").alias("extraction_method"),
+        F.lit("coordinate_based").alias("extraction_method"),
     )
 
 
@@ -59,3 +60,22 @@ def column_pairs(gap_rows: DataFrame, widths: DataFrame) -> DataFrame:
     n = F.size("e")
     each = sorted_.where(n >= 2).select("page", "e", F.posexplode(F.sequence(F.lit(0), n - 2, F.lit(2))).alias("k", "i"))
     return each.select("page", (F.col("k") + 1).alias("column"), F.get("e", F.col("i")).alias("left"), F.get("e", F.col("i") + 1).alias("right"))
+
+
+def page_layout(x: list[float], width: float) -> tuple[str, int, str, list[tuple[float, float]]]:
+    """``layout_type, column_count, extraction_method`` of one page from its characters' positions, and its columns.
+
+    What ``layouts`` and ``column_pairs`` find for many pages, for a reader that has the page in hand; a page without
+    characters or width is a standard one of one column.
+    """
+    if not x or not width or width <= 0:
+        return "single_column", 1, "standard", []
+    n = np.bincount(np.clip(np.floor(np.asarray(x, float) * BINS / width), 0, BINS - 1).astype(int), minlength=BINS)
+    around = np.convolve(n, np.ones(3)), np.convolve(np.ones(BINS), np.ones(3))
+    low = np.concatenate(([False], around[0][1:-1] / around[1][1:-1] <= EMPTY_SHARE * n.sum() / BINS, [False]))
+    first, last = np.flatnonzero(low[1:] & ~low[:-1]), np.flatnonzero(low[:-1] & ~low[1:]) - 1
+    found = [(int(a), int(b)) for a, b in zip(first, last) if b - a + 1 >= LEAST_BINS]
+    if not found:
+        return "complex" if len(x) > COMPLEX_CHARS else "single_column", 1, "coordinate_based", []
+    edges = sorted({0.0, float(width), *[a * width / BINS for a, _ in found], *[float(width) if b == BINS - 1 else (b + 1) * width / BINS for _, b in found]})
+    return "multi_column", len(found) + 1, "coordinate_based", [(edges[i], edges[i + 1]) for i in range(0, len(edges) - 1, 2)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,12 @@ DIMENSIONS = 64
 _TERM = re.compile(r"[一-鿿぀-ヿ]|[^\W_]+")
 
 Embed = Callable[[list[str]], list[list[float]]]
-Score = Callable[[str, list[str]], list[float]]
-Generate = Callable[[str, str], str]
+#: A model that answers a prompt: the scorer and the generator.
+Ask = Callable[[str], str]
+#: Prompts asked at a time by a task.
+CONCURRENT = 3
+#: What stands before the query and the blocks of a ranking prompt, and before the context and the question of an answering one.
+QUERY_LABEL, BLOCKS_LABEL, CONTEXT_LABEL, QUESTION_LABEL = "\nQuery: ", "\n\nText Blocks:\n", "\nContext:\n", "\n\nQuestion:\n"
 
 
 class TooManyTokens(RuntimeError):
@@ -43,17 +49,28 @@ def hashed(texts: list[str], dimensions: int = DIMENSIONS) -> list[list[float]]:
     return out
 
 
-def overlap(question: str, texts: list[str]) -> list[float]:
-    """Share of the question's distinct terms that each text has."""
-    q = set(terms(question))
-    return [len(q & set(terms(t))) / len(q) if q else 0.0 for t in texts]
+def blocks_of(prompt: str) -> tuple[str, list[str]]:
+    """The query and the text blocks of a ranking prompt."""
+    head, _, rest = prompt.partition(BLOCKS_LABEL)
+    return head.rpartition(QUERY_LABEL)[2].strip(), [x.strip("\n") for x in re.split(r"\nBlock \d+:\n", rest)[1:]]
+
 
+def overlap(prompt: str) -> str:
+    """Ranking reply of a scorer without a service: the share of the query's distinct terms that each block has."""
+    query, texts = blocks_of(prompt)
+    q = set(terms(query))
+    shares = [len(q & set(terms(t))) / len(q) if q else 0.0 for t in texts]
+    return json.dumps({"block_rankings": [{"reasoning": "shared terms", "relevance_score": x} for x in shares]})
 
-def extract(question: str, context: str) -> str:
-    """The sentence of the context that shares most terms with the question (the first of equal ones)."""
+
+def extract(prompt: str) -> str:
+    """Answer reply of a generator without a service: the sentence of the context that shares most terms with the question."""
+    context, _, question = prompt.rpartition(QUESTION_LABEL)
+    context = context.rpartition(CONTEXT_LABEL)[2]
     q = set(terms(question))
-    parts = [s.strip() for s in re.split(r"(?<=[。！？.!?])\s+|(?<=[。！？])|\n+", context) if s.strip()]
-    return max(parts, key=lambda s: len(q & set(terms(s))), default="")
+    parts = [x.strip() for x in re.split(r"(?<=[。！？.!?])\s+|(?<=[。！？])|\n+", context) if x.strip()]
+    best = max(parts, key=lambda x: len(q & set(terms(x))), default="")
+    return json.dumps({"final_answer": best, "reasoning_summary": "the sentence that shares most terms with the question", "confidence_level": "medium" if best else "low"}, ensure_ascii=False)
 
 
 def in_requests(texts: list[str], embed: Embed) -> list[list[float]]:
@@ -78,37 +95,39 @@ def embedded(text: Column, embed: Embed = hashed) -> Column:
     return F.arrow_udf(run, "array<float>")(text)
 
 
-def scored(prompts: DataFrame, score: Score = overlap) -> DataFrame:
-    """``qid, batch, scores`` of ``prompts(qid, batch, question, texts)``; a failing scorer gives 0.5 to each text."""
+def _called(ask: Ask, prompt: str | None) -> tuple[str | None, float]:
+    began = time.monotonic()
+    try:
+        reply = ask(prompt or "")
+    except Exception:  # whatever a service raises
+        reply = None
+    return reply, time.monotonic() - began
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for q, texts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                try:
-                    out.append([float(x) for x in score(q or "", [t or "" for t in texts])])
-                except Exception:  # whatever a service raises
-                    out.append([0.5] * len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], ["qid", "batch", "scores"])
 
-    kind = prompts.schema["qid"].dataType.simpleString()
-    return prompts.select("qid", "batch", "question", "texts").mapInArrow(run, f"qid {kind}, batch int, scores array<double>")
+def replied(prompts: DataFrame, ask: Ask, plain: str | None = None) -> DataFrame:
+    """``prompts`` without ``prompt`` (and ``plain``) with ``reply``, ``seconds`` and ``second_call``.
 
+    ``CONCURRENT`` prompts are asked at a time.  Where a call fails, the prompt in the column ``plain`` is asked
+    instead, if one is named; where that fails too, the reply is null.
+    """
+    kept = [c for c in prompts.columns if c not in ("prompt", plain)]
+    kinds = {f.name: f.dataType.simpleString() for f in prompts.schema.fields}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "reply string, seconds double, second_call boolean"])
+    asked = prompts.select(*kept, "prompt", *([plain] if plain else []))
 
-def generated(asked: DataFrame, generate: Generate = extract) -> DataFrame:
-    """``qid, reply, seconds`` of ``asked(qid, question, context)``; a failing generator gives null."""
+    def one(pair: tuple[str | None, str | None]) -> tuple[str | None, float, bool]:
+        reply, took = _called(ask, pair[0])
+        if reply is None and plain:
+            reply, more = _called(ask, pair[1])
+            return reply, took + more, True
+        return reply, took, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            replies, took = [], []
-            for q, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t = time.monotonic()
-                try:
-                    replies.append(generate(q or "", c or ""))
-                except Exception:  # whatever a service raises
-                    replies.append(None)
-                took.append(time.monotonic() - t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(replies, pa.string()), pa.array(took, pa.float64())], ["qid", "reply", "seconds"])
-
-    kind = asked.schema["qid"].dataType.simpleString()
-    return asked.select("qid", "question", "context").mapInArrow(run, f"qid {kind}, reply string, seconds double")
+        with ThreadPoolExecutor(CONCURRENT) as pool:
+            for b in batches:
+                first = b.column(len(kept)).to_pylist()
+                found = list(pool.map(one, zip(first, b.column(len(kept) + 1).to_pylist() if plain else [None] * len(first))))
+                cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], *cols], [*kept, "reply", "seconds", "second_call"])
+
+    return asked.mapInArrow(run, schema)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quillon.functions.scores import combined
 from quillon.functions.text import filled, page_numbers, truncated
 
+from .models import BLOCKS_LABEL, CONTEXT_LABEL, QUERY_LABEL, QUESTION_LABEL
+
 #: Hits of a question, blocks of a rerank batch, results kept, weight of the model's score.
 TOP_K, BATCH, TOP_N, WEIGHT = 30, 2, 10, 0.7
 #: Characters of a block alone in its batch and beside others.
@@ -74,6 +76,25 @@ def block_prompts(placed: DataFrame) -> DataFrame:
     return blocks(placed).groupBy("qid", "batch").agg(F.max("blocks").alias("blocks"), F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("prompt"))
 
 
+#: What a ranking prompt asks for and the form of its reply.
+RANKING_RULES = "Judge how far each of the text blocks answers the query. Score a block between 0.0 (off topic) and 1.0 (answers the query in full) by what it says itself, and give a short reason."
+RANKING_SCHEMA = '{"block_rankings": [{"reasoning": "string", "relevance_score": float}]}'
+
+
+def rerank_prompts(placed: DataFrame, questions: DataFrame) -> DataFrame:
+    """``qid, batch, blocks, prompt``: the whole prompt of each batch, with rules, form of the reply, count, query and blocks."""
+    lead = F.concat(F.lit(f"{RANKING_RULES}\n\nReply with one JSON object of this form:\n{RANKING_SCHEMA}\n\nGive one entry for each of the "), F.col("blocks").cast("string"), F.lit(" blocks, in their order.\n"))
+    asked = block_prompts(placed).join(questions.select("qid", "question"), "qid")
+    return asked.select("qid", "batch", "blocks", F.concat(lead, F.lit(QUERY_LABEL), F.coalesce("question", F.lit("")), F.lit(BLOCKS_LABEL), "prompt").alias("prompt"))
+
+
+def answer_prompts(asked: DataFrame, system: str) -> DataFrame:
+    """``asked(qid, question, context)`` with ``prompt`` (instructions, context, question) and the shorter ``plain`` of a second call."""
+    context, question = F.coalesce("context", F.lit("")), F.coalesce("question", F.lit(""))
+    said = F.concat(F.lit(CONTEXT_LABEL), context, F.lit(QUESTION_LABEL), question)
+    return asked.withColumns({"prompt": F.concat(F.lit(f"{system}\n"), said), "plain": F.concat(F.lit("Answer the question from the context.\n"), said)})
+
+
 def with_scores(placed: DataFrame, scores: DataFrame, weight: float = WEIGHT, compat: bool = False) -> DataFrame:
     """Documents with the scores of their batch's reply (``scores(qid, batch, scores)``) by slot.
 
@@ -99,6 +120,7 @@ def context(results: DataFrame) -> DataFrame:
 
 
 def retrieval_metrics(results: DataFrame, score: Column | None = None) -> DataFrame:
-    """``qid, avg_score, max_score, score_range, final_results``."""
+    """``qid, avg_score, max_score, min_score, score_range, final_results``."""
     s = F.col("combined_score") if score is None else score
-    return results.groupBy("qid").agg(F.round(F.avg(s), 4).alias("avg_score"), F.round(F.max(s), 4).alias("max_score"), F.round(F.max(s) - F.min(s), 4).alias("score_range"), F.count(F.lit(1)).alias("final_results"))
+    mean = F.round(F.avg(s.cast("decimal(30, 12)")), 4).cast("double")  # exact, so that no order of rows changes it
+    return results.groupBy("qid").agg(mean.alias("avg_score"), F.round(F.max(s), 4).alias("max_score"), F.round(F.min(s), 4).alias("min_score"), F.round(F.max(s) - F.min(s), 4).alias("score_range"), F.count(F.lit(1)).alias("final_results"))

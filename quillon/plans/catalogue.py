@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import replies, scores, text
 from quillon.operators import chunking, knn, layout, models, pages, retrieval, slides
+from quillon.plans.pipeline import Pipeline
+from quillon.session import durable, shared_folder
 from quillon.sources import files
+from quillon.sources.store import Store
 from quillon.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,9 +127,18 @@ def route_by_extension(spark, sf_dir):
     return table(spark, sf_dir, "reports").select("doc_id", "file_path").distinct().select("doc_id", text.suffix(p).alias("suffix"), files.route(p).alias("reader"), text.basename(p).alias("name"), text.stem(p).alias("stem"))
 
 
-@query(f"WITH {_REPORTS} SELECT count(*) AS reports, count(*) FILTER (WHERE document_type <> 'failed') AS parsed, count(*) FILTER (WHERE document_type = 'failed') AS failed FROM r")
+@query(
+    f"""WITH {_PAGES}, f AS (SELECT DISTINCT file_path, doc_id FROM reports), n AS (SELECT file_path, count(p.page) AS n FROM f LEFT JOIN p ON p.doc_id = f.doc_id GROUP BY file_path),
+t AS (SELECT n, CASE WHEN n > 0 AND lower(file_path) LIKE '%.pdf' THEN 'pdf' ELSE 'failed' END AS document_type FROM n)
+SELECT document_type, count(*) AS files, sum(CASE document_type WHEN 'pdf' THEN n ELSE 0 END)::BIGINT AS pages, count(*) FILTER (WHERE document_type = 'failed') AS reasons FROM t GROUP BY document_type"""
+)
 def ingest_counts(spark, sf_dir):
-    return _reports(spark, sf_dir).agg(F.count(F.lit(1)).alias("reports"), F.count_if(F.col("document_type") != "failed").alias("parsed"), F.count_if(F.col("document_type") == "failed").alias("failed"))
+    """Files made of the reports' pages, read back: a simple PDF under each path, so that files of other kinds are broken ones."""
+    page = F.concat(F.lit("<< /Length 9 >>\nstream\nBT (page "), F.col("page").cast("string"), F.lit(") Tj ET\nendstream\n"))
+    made = table(spark, sf_dir, "reports").select("file_path", "doc_id").distinct().join(_pages(spark, sf_dir).select("doc_id", page.alias("s")), "doc_id", "left")
+    content = made.groupBy(F.col("file_path").alias("path")).agg(F.array_join(F.collect_list("s"), "").cast("binary").alias("content"))
+    parsed = files.parse_files(content)
+    return parsed.groupBy("document_type").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("pages")).alias("pages"), F.count("error").alias("reasons"))
 
 
 @query(
@@ -203,10 +217,19 @@ def window_chunks(spark, sf_dir):
     return chunking.window_chunks(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
 
 
-@query()
+_TOKENS = _Template("len(regexp_extract_all({}, '" + text.TOKEN.replace("sc=", "") + "'))")
+
+
+@query(
+    f"""WITH {_PAGES} SELECT doc_id, page, CASE WHEN {_TOKENS.format('text')} <= 400 THEN {_STRIP.format('text')} END AS alone, true AS within, true AS found, true AS ends FROM p WHERE {_FILLED.format('text')}"""
+)
 def recursive_chunks(spark, sf_dir):
-    each = _pages(spark, sf_dir).select("doc_id", "page", F.posexplode(chunking.recursive_chunks(F.col("text"))).alias("chunk", "text"))
-    return each.withColumn("tokens", text.token_count(F.col("text")))
+    """Of each page: its chunk where it is the only one, that all are within the size and in the page, and that they begin and end with it."""
+    p = _pages(spark, sf_dir).where(text.filled(F.col("text"))).select("doc_id", "page", text.strip(F.col("text")).alias("t"), chunking.recursive_chunks(F.col("text")).alias("c"))
+    counted = p.withColumn("n", F.transform("c", text.token_count))
+    first, last = F.get("c", F.lit(0)), F.element_at("c", -1)
+    ends = (F.left("t", F.length(first)) == first) & (F.right("t", F.length(last)) == last)
+    return counted.select("doc_id", "page", F.when(F.size("c") == 1, first).alias("alone"), F.forall("n", lambda n: n <= 400).alias("within"), F.forall("c", lambda x: F.contains(F.col("t"), x)).alias("found"), ends.alias("ends"))
 
 
 @query(
@@ -217,8 +240,7 @@ FROM p JOIN r ON p.doc_id = r.doc_id WHERE document_type IN ('excel', 'pptx') AN
 )
 def whole_page_chunks(spark, sf_dir):
     typed = _pages(spark, sf_dir).join(_reports(spark, sf_dir).select("doc_id", "document_type"), "doc_id")
-    both = [chunking.whole_pages(typed.where(F.col("document_type") == k), k) for k in ("excel", "pptx")]
-    return both[0].unionByName(both[1]).select("doc_id", "page", "page_content", "content_type", "slide_number", "sheet_name")
+    return chunking.typed_chunks(typed.where(F.col("document_type").isin("excel", "pptx"))).select("doc_id", "page", "page_content", "content_type", "slide_number", "sheet_name")
 
 
 @query(
@@ -231,15 +253,38 @@ def split_columns(spark, sf_dir):
     return each.withColumn("chunk", F.row_number().over(page.orderBy("column_no"))).withColumn("total", F.count(F.lit(1)).over(page))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT doc_id, page, max(text) AS text, max(layout_type) AS layout_type, max(column_count) AS column_count, max(extraction_method) AS extraction_method FROM pages GROUP BY doc_id, page), {_REPORTS},
+t AS (SELECT p.*, document_type, filename, sha1_name, coalesce(column_count, 1) AS k, coalesce(layout_type, 'single_column') AS l FROM p JOIN r ON p.doc_id = r.doc_id WHERE document_type IN ('excel', 'pptx', 'pdf') AND {_FILLED.format('text')}),
+b AS (SELECT *, CASE WHEN document_type = 'excel' THEN 'excel_full_sheet' WHEN document_type = 'pptx' THEN 'pptx_full_slide' WHEN k <= 1 THEN 'pdf_single_column' WHEN l = 'multi_column' AND contains(text, '||COLUMN||') THEN 'pdf_multi_column' WHEN l = 'multi_column' THEN 'pdf_multi_column_merged' ELSE 'pdf_complex_layout' END AS content_type FROM t)
+SELECT doc_id, page, content_type, document_type, filename AS source_file, sha1_name, CASE content_type WHEN 'pdf_single_column' THEN 'single_column' WHEN 'pdf_complex_layout' THEN 'complex' WHEN 'pdf_multi_column' THEN 'multi_column' WHEN 'pdf_multi_column_merged' THEN 'multi_column' END AS layout_type,
+CASE content_type WHEN 'pdf_single_column' THEN coalesce(extraction_method, 'standard') WHEN 'pdf_complex_layout' THEN 'fallback' END AS extraction_method, CASE WHEN content_type LIKE 'pdf_multi%' THEN k END AS column_count,
+CASE content_type WHEN 'pptx_full_slide' THEN page END AS slide_number, CASE content_type WHEN 'pdf_multi_column' THEN len(list_filter(string_split(text, '||COLUMN||'), lambda x: {_FILLED.format('x')})) ELSE 1 END AS parts, true AS found, true AS numbered FROM b"""
+)
 def document_chunks(spark, sf_dir):
-    """All chunks of all reports, by kind of document."""
-    return chunking.chunk_documents(_pages(spark, sf_dir), _reports(spark, sf_dir))
+    """The chunks of each page of all reports: their kind and layout, that all are in the page, and that they are numbered through."""
+    pages_, c = _pages(spark, sf_dir), chunking.chunk_documents(_pages(spark, sf_dir), _reports(spark, sf_dir))
+    joined = c.join(pages_.select("doc_id", "page", "text"), ["doc_id", "page"])
+    same = ["content_type", "document_type", "source_file", "sha1_name", "layout_type", "extraction_method", "column_count", "slide_number"]
+    numbered = (F.count_distinct("chunk") == F.count(F.lit(1))) & (F.max("chunk") <= F.max("total_chunks"))
+    return joined.groupBy("doc_id", "page", *same).agg(F.count_distinct(F.coalesce("column", F.lit(1))).alias("parts"), F.bool_and(F.contains("text", "page_content")).alias("found"), numbered.alias("numbered"))
 
 
-@query()
+@query(
+    f"""WITH {_PAGES}, d AS (SELECT doc_id, string_agg({_MARKED}, '' ORDER BY page) AS text, list(page ORDER BY page) AS pages FROM p WHERE {_FILLED.format('text')} GROUP BY doc_id)
+SELECT doc_id, pages, length(regexp_replace(text, '{_SP}+$', ''))::BIGINT AS last_end, 1::BIGINT AS first_start, true AS within, true AS numbered, true AS ordered FROM d"""
+)
 def cross_page_chunks(spark, sf_dir):
-    return chunking.cross_page_chunks(_pages(spark, sf_dir))
+    """Of each document chunked across its pages: the pages covered, where its chunks begin and end, their size, numbers and order."""
+    c = chunking.cross_page_chunks(_pages(spark, sf_dir))
+    own = F.when(F.col("page_range").isNull(), F.array("page")).otherwise(F.transform(F.split("page_range", ","), lambda x: x.cast("int")))
+    marks = 100  # a chunk's page marks count, but aren't in its content
+    agg = c.withColumn("own", own).groupBy("doc_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("pages"), F.max("end").alias("last_end"), F.min("start").alias("first_start"), F.bool_and(text.token_count(F.col("page_content")) <= 400 + marks).alias("within"),
+        ((F.count_distinct("chunk") == F.max("total_chunks")) & (F.max("chunk") == F.max("total_chunks"))).alias("numbered"), F.array_sort(F.collect_list(F.struct("chunk", "start", "end"))).alias("o"),
+    )
+    ordered = F.forall(F.sequence(F.lit(1), F.greatest(F.size("o") - 1, F.lit(1))), lambda i: (i >= F.size("o")) | ((F.get("o", i)["start"] > F.get("o", i - 1)["start"]) & (F.get("o", i)["start"] <= F.get("o", i - 1)["end"] + 40)))
+    return agg.select("doc_id", "pages", "last_end", "first_start", "within", "numbered", ordered.alias("ordered"))
 
 
 @query("SELECT content_type, coalesce(document_type, 'unknown') AS document_type, count(DISTINCT chunk_id) AS chunks, count(DISTINCT doc_id) AS documents FROM chunks GROUP BY ALL")
@@ -280,13 +325,22 @@ def column_gaps(spark, sf_dir):
 
 @query(
     f"""WITH {_HIST}, k AS (SELECT page, count(*) AS g FROM g GROUP BY page), t AS (SELECT page, sum(n) AS chars FROM h GROUP BY page)
-SELECT t.page, CASE WHEN coalesce(g, 0) > 0 THEN 'multi_column' WHEN chars > 1000 THEN 'complex' ELSE 'single_column' END AS layout_type, (coalesce(g, 0) + 1)::INT AS column_count,
-CASE WHEN coalesce(g, 0) > 0 THEN 'coordinate_based' WHEN chars > 1000 THEN 'fallback' ELSE 'standard' END AS extraction_method FROM t LEFT JOIN k ON t.page = k.page"""
+SELECT t.page, CASE WHEN coalesce(g, 0) > 0 THEN 'multi_column' WHEN chars > 1000 THEN 'complex' ELSE 'single_column' END AS layout_type, (coalesce(g, 0) + 1)::INT AS column_count, 'coordinate_based' AS extraction_method FROM t LEFT JOIN k ON t.page = k.page"""
 )
 def layout_types(spark, sf_dir):
     return layout.layouts(_histogram(spark, sf_dir))
 
 
+@query(
+    """WITH t AS (SELECT event_type AS page, count(*) AS chars FROM events GROUP BY event_type)
+SELECT page, CASE WHEN chars > 1000 THEN 'complex' ELSE 'single_column' END AS layout_type, 1 AS column_count, 'coordinate_based' AS extraction_method FROM t"""
+)
+def full_layout_types(spark, sf_dir):
+    """Events of each type as the characters of a page without gaps: many make it a complex one."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("page"), ((F.col("event_id") * 7919) % 1000).cast("double").alias("x"), F.lit(1000.0).alias("width"))
+    return layout.layouts(layout.histogram(e))
+
+
 @query(
     f"""WITH {_HIST}, y AS (SELECT g.page, width, list([first_bin * width / 50, CASE WHEN last_bin = 49 THEN width ELSE (last_bin + 1) * width / 50 END]) AS y FROM g JOIN w ON g.page = w.page GROUP BY g.page, width),
 e AS (SELECT page, list_sort(list_distinct(list_concat([0.0, width], flatten(y)))) AS e FROM y),
@@ -369,14 +423,15 @@ def knn_batch(spark, sf_dir):
     return knn.knn_batch(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query("SELECT 30 * count(DISTINCT chunk_id) AS wanted, true AS enough FROM chunks WHERE substr(chunk_id, 3)::BIGINT % 50 = 0")
 def knn_lists_recall(spark, sf_dir):
-    """Recall at 30 of the inverted lists against the exact search."""
-    e, asked = table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)
-    fitted = knn.Lists.fit(e, 16)
-    near, exact = knn.knn_lists(e, asked, fitted, 13), knn.knn_batch(e, asked)
+    """Whether a quarter of the inverted lists of all passages' vectors holds at least 0.9 of the 30 nearest that the exact search finds."""
+    own = table(spark, sf_dir, "chunks").groupBy(F.substring("chunk_id", 3, 20).cast("long").alias("vec_id")).agg(F.max("page_content").alias("t"))
+    e = durable(own.select("vec_id", models.embedded(F.col("t")).alias("embedding")))
+    asked = e.where(F.col("vec_id") % ASKED == 0)
+    near, exact = knn.knn_lists(e, asked, knn.Lists.fit(e, 64), 16), knn.knn_batch(e, asked)
     both = exact.join(near.select("qid", "vec_id", F.lit(1).alias("hit")), ["qid", "vec_id"], "left")
-    return both.agg(F.count(F.lit(1)).alias("wanted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+    return both.agg(F.count(F.lit(1)).alias("wanted"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 
 
 def _hits(spark, sf_dir):
@@ -387,7 +442,9 @@ def _hits(spark, sf_dir):
 
 
 _HITS = "h AS (SELECT qid, rank_no AS rank, max(text) AS text, max(page) AS page, max(page_range) AS page_range, max(spans_pages) AS spans_pages, max(distance) AS distance, max(source_file) AS source_file, max(document_type) AS document_type, max(llm_score) AS llm_score, max(metadata['chunk_id']) AS chunk_id FROM reranked GROUP BY ALL)"
-_COVER = "CASE WHEN coalesce(spans_pages, false) AND page_range IS NOT NULL AND len(list_filter(list_transform(string_split(page_range, ','), lambda x: try_cast(trim(x) AS INT)), lambda x: x IS NOT NULL)) > 0 THEN list_sort(list_distinct(list_filter(list_transform(string_split(page_range, ','), lambda x: try_cast(trim(x) AS INT)), lambda x: x IS NOT NULL))) ELSE [page] END"
+_ENDS = "list_transform(regexp_split_to_array(x, '[-‐‑–—~〜～－]'), lambda y: try_cast(trim(y) AS INT))"
+_LISTED = f"flatten(list_transform(string_split(page_range, ','), lambda x: CASE WHEN len({_ENDS}) = 2 AND {_ENDS}[1] IS NOT NULL AND {_ENDS}[2] IS NOT NULL THEN range(least({_ENDS}[1], {_ENDS}[2]), greatest({_ENDS}[1], {_ENDS}[2]) + 1)::INT[] ELSE list_filter({_ENDS}, lambda y: y IS NOT NULL) END))"
+_COVER = f"CASE WHEN coalesce(spans_pages, false) AND page_range IS NOT NULL AND len({_LISTED}) > 0 THEN list_sort(list_distinct({_LISTED})) ELSE [page] END"
 _PARENTS = f"{_HITS}, v AS (SELECT *, {_COVER} AS pages FROM h), f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY qid, {{}}pages ORDER BY rank) = 1), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS position FROM f)"
 
 
@@ -457,13 +514,16 @@ def similarity_scores(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    """Candidates with a score from a model's score of two decimals, so that both sides round alike."""
-    h = _hits(spark, sf_dir)
-    s = F.round(F.coalesce("llm_score", F.lit(0.5)), 2)
-    return h.withColumn("combined_score", F.round(F.lit(0.7) * s + F.lit(0.3) * scores.similarity(F.col("distance")), 3))
+    """Candidates scored by their logged replies: one list of scores for each batch."""
+    placed = retrieval.batches(_hits(spark, sf_dir))
+    lists = placed.groupBy("qid", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "llm_score"))), lambda x: x["llm_score"]).alias("scores"))
+    return retrieval.with_scores(placed, lists)
 
 
-_SCORED = f"{_HITS}, s AS (SELECT *, round(0.7 * round(coalesce(llm_score, 0.5), 2) + 0.3 * {_SIM}, 3) AS combined_score FROM h)"
+_ROUND = _Template("round(({})::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE")  # half up from the shortest decimal form
+_SCORED = f"{_HITS}, s AS (SELECT *, {_ROUND.format(f'0.7::DOUBLE * coalesce(llm_score, 0.5) + (1 - 0.7::DOUBLE) * {_SIM}')} AS combined_score FROM h)"
+_METRICS = """(CASE WHEN sum(u) < 0 THEN -1 ELSE 1 END) * ((2 * abs(sum(u)) + count(*)) // (2 * count(*))) / 10000.0 AS avg_score, max(combined_score) AS max_score, min(combined_score) AS min_score,
+(max(u) - min(u)) / 10000.0 AS score_range, count(*) AS final_results"""
 _BEST = f"{_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY combined_score DESC NULLS LAST, rank)::INT AS position FROM s QUALIFY position <= 10)"
 
 
@@ -482,35 +542,42 @@ def assemble_context(spark, sf_dir):
     return retrieval.context(retrieval.best(_scored(spark, sf_dir)))
 
 
-@query(f"WITH {_BEST} SELECT qid, round(avg(combined_score), 4) AS avg_score, round(max(combined_score), 4) AS max_score, round(max(combined_score) - min(combined_score), 4) AS score_range, count(*) AS final_results FROM o GROUP BY qid")
+@query(f"WITH {_BEST}, m AS (SELECT *, round(combined_score * 10000)::HUGEINT AS u FROM o) SELECT qid, {_METRICS} FROM m GROUP BY qid")
 def retrieval_metrics(spark, sf_dir):
     return retrieval.retrieval_metrics(retrieval.best(_scored(spark, sf_dir)))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN [(event_id % 100) / 100.0] WHEN 1 THEN [(event_id % 10) / 10.0, 1.0] WHEN 4 THEN [0.25, 0.5] ELSE [0.5, 0.5] END::DOUBLE[] AS scores FROM events")
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN [(event_id % 100) / 100.0] WHEN 1 THEN [(event_id % 10) / 10.0, 1.0] WHEN 4 THEN [0.25, 0.5] WHEN 5 THEN [0.75] WHEN 6 THEN [0.25, 0.5] ELSE [0.5, 0.5] END::DOUBLE[] AS scores FROM events")
 def parse_rankings(spark, sf_dir):
-    """Replies of five shapes made from the events, for two blocks each."""
+    """Replies of seven shapes made from the events, for two blocks each: JSON whole, fenced and amid text, scores in words, no object, none."""
     i = F.col("event_id")
     whole = F.concat(F.lit('{"block_rankings": [{"reasoning": "r", "relevance_score": '), ((i % 100) / 100.0).cast("string"), F.lit("}]}"))
     near = F.concat(F.lit("Score: 0."), (i % 10).cast("string"), F.lit(" relevance 7"))
-    reply = F.when(i % 5 == 0, whole).when(i % 5 == 1, near).when(i % 5 == 2, "no idea").when(i % 5 == 3, "[1, 2]").otherwise("maybe .25 of 3")
-    return table(spark, sf_dir, "events").select("event_id", replies.parse_rankings(reply, F.lit(2)).alias("scores"))
+    fenced = F.lit('Sure:\n```json\n{"block_rankings": [{"reasoning": "r", "relevance_score": 0.75}]}\n```\nDone.')
+    amid = F.lit('I say {"block_rankings": [{"reasoning": "r", "relevance_score": 0.25}]} now')
+    shapes = F.when(i % 7 == 0, whole).when(i % 7 == 1, near).when(i % 7 == 2, "no idea").when(i % 7 == 3, "[1, 2]").when(i % 7 == 4, "maybe .25 of 3").when(i % 7 == 5, fenced).otherwise(amid)
+    return table(spark, sf_dir, "events").select("event_id", replies.parse_rankings(shapes, F.lit(2)).alias("scores"))
+
+
+_REPLIES = """a AS (SELECT answer_id, max(final_answer) AS f, max(confidence_level) AS c FROM structured_answer GROUP BY answer_id),
+r AS (SELECT answer_id, answer_id % 4 AS k, f, c, CASE answer_id % 4 WHEN 1 THEN 'Sure:' || chr(10) || '```json' || chr(10) || to_json({'final_answer': f})::VARCHAR || chr(10) || '```' WHEN 2 THEN 'raw ' || f WHEN 3 THEN '[1, 2]' END AS t FROM a),
+x AS (SELECT *, regexp_extract(t, '(?s)```json\\s*(\\{.*?\\})\\s*```', 1) AS x1, regexp_extract(t, '(?s)```\\s*(\\{.*?\\})\\s*```', 1) AS x2, regexp_extract(t, '(?s)(\\{.*?\\})', 1) AS x3 FROM r),
+j AS (SELECT *, CASE WHEN k NOT IN (1, 2) THEN NULL WHEN x1 <> '' AND json_valid(x1) THEN x1 WHEN x2 <> '' AND json_valid(x2) THEN x2 WHEN x3 <> '' AND json_valid(x3) THEN x3 END AS part FROM x)"""
 
 
 @query(
-    """WITH a AS (SELECT answer_id, max(final_answer) AS f, max(confidence_level) AS c FROM structured_answer GROUP BY answer_id)
-SELECT answer_id, CASE answer_id % 3 WHEN 2 THEN coalesce(left('raw ' || f, 1000), '') ELSE f END AS final_answer, CASE answer_id % 3 WHEN 0 THEN c ELSE 'low' END AS confidence_level,
-CASE answer_id % 3 WHEN 0 THEN 'Summary not available' WHEN 1 THEN 'Extracted response' ELSE 'Fallback parsing used due to malformed JSON' END AS reasoning_summary FROM a WHERE f IS NOT NULL AND NOT contains(f, '{') AND NOT contains(f, '}') AND NOT contains(f, '```')"""
+    f"""WITH {_REPLIES} SELECT answer_id, CASE WHEN k = 0 THEN f WHEN k = 3 THEN t WHEN part IS NULL THEN left(coalesce(t, ''), 1000) WHEN json_exists(part, '$.final_answer') THEN json_extract_string(part, '$.final_answer') ELSE left(t, 500) END AS final_answer,
+CASE WHEN k = 0 THEN c WHEN part IS NOT NULL THEN coalesce(json_extract_string(part, '$.confidence_level'), 'low') ELSE 'low' END AS confidence_level,
+CASE WHEN k = 0 THEN 'Summary not available' WHEN k = 3 THEN 'Error in structured processing' WHEN part IS NOT NULL THEN 'Extracted response' ELSE 'Fallback parsing used due to malformed JSON' END AS reasoning_summary FROM j"""
 )
 def parse_answers(spark, sf_dir):
-    """Answers put into whole JSON, into JSON amid text, and into plain text, and read back."""
+    """All answers put into whole JSON, into JSON amid text, into plain text and into JSON that is no object, and read back."""
     a = table(spark, sf_dir, "structured_answer").groupBy("answer_id").agg(F.max("final_answer").alias("f"), F.max("confidence_level").alias("c"))
-    a = a.where(F.col("f").isNotNull() & ~F.contains("f", F.lit("{")) & ~F.contains("f", F.lit("}")) & ~F.contains("f", F.lit("```")))
     options = {"ignoreNullFields": "false"}
     whole = F.to_json(F.struct(F.col("f").alias("final_answer"), F.col("c").alias("confidence_level")), options)
     amid = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(F.col("f").alias("final_answer")), options), F.lit("\n```"))
-    k = F.col("answer_id") % 3
-    got = a.select("answer_id", replies.parse_answer(F.when(k == 0, whole).when(k == 1, amid).otherwise(F.concat(F.lit("raw "), "f"))).alias("a"))
+    k = F.col("answer_id") % 4
+    got = a.select("answer_id", replies.parse_answer(F.when(k == 0, whole).when(k == 1, amid).when(k == 2, F.concat(F.lit("raw "), "f")).otherwise("[1, 2]")).alias("a"))
     return got.select("answer_id", "a.final_answer", "a.confidence_level", "a.reasoning_summary")
 
 
@@ -528,9 +595,12 @@ def throughput(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scores.throughput(F.col("o_custkey"), F.col("o_totalprice") - 100000).alias("rate"))
 
 
-@query("SELECT label, count(*) AS vectors, count(*) FILTER (WHERE embedding IS NULL) AS missing, max(len(embedding))::INT AS dimensions FROM embeddings GROUP BY label")
+@query("SELECT count(*) AS document_count, 'hashed' AS embedding_model FROM embeddings")
 def store_stats(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).alias("dimensions"))
+    """What a store tells of its index, the vectors saved in one and read back."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.save("index", table(spark, sf_dir, "embeddings"))
+    return store.stats().select("document_count", "embedding_model")
 
 
 @query()
@@ -543,33 +613,56 @@ def text_embeddings(spark, sf_dir):
 # ---- end to end
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector hits of all questions, their parent pages, scores and the best ten as a context each.
+def _signs(texts: list[str]) -> list[list[float]]:
+    """A text's length and how often it has some signs, as a vector that SQL can compute too."""
+    return [[float(len(t)), *(float(t.count(c)) for c in "e1，年")] for t in texts]
 
-    The vectors stand for chunks: four consecutive ids are a page, their label its file.
-    """
-    e = table(spark, sf_dir, "embeddings")
-    near = knn.knn_batch(e, _asked(spark, sf_dir), retrieval.TOP_K)
-    facts = e.select("vec_id", F.floor(F.col("vec_id") / 4).cast("int").alias("page"), F.col("label").cast("string").alias("source_file"))
-    hits = near.join(facts, "vec_id").withColumns({"doc_id": F.col("source_file"), "page_range": F.lit(None).cast("string"), "spans_pages": F.lit(False), "text": F.concat(F.lit("vector "), F.col("vec_id").cast("string"))})
-    placed = retrieval.batches(retrieval.parent_pages(hits))
-    own = placed.groupBy("qid", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", (1 / (1 + F.col("page") % 7)).alias("s")))), lambda x: x["s"]).alias("scores"))
-    return retrieval.context(retrieval.best(retrieval.with_scores(placed, own)))
+
+def _by_length(prompt: str) -> str:
+    return json.dumps({"block_rankings": [{"reasoning": "length", "relevance_score": len(t) % 100 / 100} for t in models.blocks_of(prompt)[1]]})
 
 
-_QUERIES["flagship"] = flagship
+def _first_line(prompt: str) -> str:
+    return json.dumps({"final_answer": prompt.rpartition(models.CONTEXT_LABEL)[2].split("\n")[0]}, ensure_ascii=False)
+
+
+_SIGNS = _Template("[length({})::DOUBLE, " + ", ".join(f"(length({{}}) - length(replace({{}}, '{c}', '')))::DOUBLE" for c in "e1，年") + "]")
+_BLOCK = "CASE WHEN length(text) > CASE WHEN blocks = 1 THEN 1200 ELSE 800 END THEN text[1 : CASE WHEN blocks = 1 THEN 1200 ELSE 800 END] || '...' ELSE text END"
+
+
+@query(
+    f"""WITH {_PAGES}, q AS (SELECT substr(qid, 2)::BIGINT AS qid, max(question) AS question FROM structured_answer WHERE qid IS NOT NULL GROUP BY 1),
+c AS (SELECT substr(chunk_id, 3)::BIGINT AS vec_id, max(doc_id) AS doc_id, max(page) AS page, max(page_range) AS page_range, max(spans_pages) AS spans_pages, max(source_file) AS source_file, max(page_content) AS t FROM chunks GROUP BY chunk_id),
+d AS (SELECT q.qid, c.vec_id, list_distance({_SIGNS.format("coalesce(c.t, '')")}, {_SIGNS.format("coalesce(q.question, '')")}) ** 2 AS raw FROM q, c), e AS (SELECT qid, vec_id, round(raw) AS distance FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id)::INT AS rank FROM e QUALIFY rank <= 30),
+h AS (SELECT k.qid, k.rank, k.distance, c.doc_id, coalesce(c.page, 0) AS page, c.page_range, c.spans_pages, coalesce(c.source_file, '') AS source_file FROM k JOIN c ON k.vec_id = c.vec_id),
+v AS (SELECT *, {_COVER} AS pages FROM h), f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY qid, doc_id, pages ORDER BY rank) = 1), u AS (SELECT qid, rank, doc_id, len(pages) AS k, unnest(pages) AS pg FROM f),
+t AS (SELECT qid, rank, pg, CASE WHEN k = 1 THEN coalesce(p.text, '') WHEN {_FILLED.format('p.text')} THEN '[Page ' || pg || ']' || chr(10) || p.text END AS t FROM u LEFT JOIN p ON p.doc_id = u.doc_id AND p.page = u.pg),
+x AS (SELECT qid, rank, coalesce(string_agg(t, chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY pg), '') AS text FROM t GROUP BY qid, rank),
+n AS (SELECT f.*, x.text, row_number() OVER (PARTITION BY f.qid ORDER BY f.rank) - 1 AS n FROM f JOIN x ON f.qid = x.qid AND f.rank = x.rank), z AS (SELECT *, count(*) OVER (PARTITION BY qid, n // 2)::INT AS blocks FROM n),
+l AS (SELECT *, length(regexp_replace({_BLOCK}, '^\n+|\n+$', '', 'g')) % 100 / 100 AS llm_score FROM z), s AS (SELECT *, {_ROUND.format("0.7::DOUBLE * llm_score + (1 - 0.7::DOUBLE) * (1 / (1 + distance))")} AS combined_score FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY combined_score DESC, rank)::INT AS position, round(combined_score * 10000)::HUGEINT AS u FROM s QUALIFY position <= 10)
+SELECT qid, max(CASE position WHEN 1 THEN 'Document 1 (Page ' || page || ', ' || source_file || '):' END) AS answer, 'medium' AS confidence_level, {_METRICS} FROM o GROUP BY qid"""
+)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions asked of all chunks, end to end: vectors, search, parent pages, ranking prompts and their replies, scores, context, answering prompts, answers and figures."""
+    asked = table(spark, sf_dir, "structured_answer").where("qid is not null").groupBy(F.substring("qid", 2, 20).cast("long").alias("qid")).agg(F.max("question").alias("question"))
+    own = ["doc_id", "page", "page_range", "spans_pages", "source_file", "document_type", "page_content"]
+    chunks = table(spark, sf_dir, "chunks").groupBy(F.substring("chunk_id", 3, 20).cast("long").alias("vec_id")).agg(*[F.max(c).alias(c) for c in own])
+    index = chunks.withColumn("embedding", models.embedded(F.col("page_content"), _signs))
+    p = Pipeline(spark, shared_folder(spark), embed=_signs, score=_by_length, generate=_first_line)
+    results = durable(p.search(asked, index, _pages(spark, sf_dir)))
+    answers = p.respond(asked, results).select("qid", F.col("a.final_answer").alias("answer"), F.col("a.confidence_level").alias("confidence_level"))
+    return answers.join(retrieval.retrieval_metrics(results), "qid")
 
 
 @query()
 def answer_questions(spark, sf_dir):
     """All logged questions answered from their logged candidates by the stand-ins for scorer and generator."""
     asked = table(spark, sf_dir, "structured_answer").groupBy("qid").agg(F.max("question").alias("question"))
-    placed = retrieval.batches(_hits(spark, sf_dir))
-    cut = retrieval.blocks(placed)
-    prompts = cut.groupBy("qid", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "block"))), lambda x: x["block"]).alias("texts"))
-    judged = models.scored(prompts.join(asked, "qid"))
-    best = retrieval.best(retrieval.with_scores(placed.join(asked.select("qid"), "qid", "left_semi"), judged))
-    contexts = retrieval.context(best).join(asked, "qid")
-    read = models.generated(contexts).select("qid", replies.parse_answer(F.col("reply")).alias("a"))
-    total = text.token_count(F.concat_ws("\n", "context", "question")) + text.token_count(F.col("a.final_answer"))
-    return contexts.join(read, "qid").join(retrieval.retrieval_metrics(best), "qid").select("qid", F.col("a.final_answer").alias("answer"), F.col("a.confidence_level").alias("confidence_level"), "avg_score", "max_score", "final_results", total.alias("total_tokens"))
+    placed = retrieval.batches(_hits(spark, sf_dir).join(asked.select("qid"), "qid", "left_semi"))
+    got = models.replied(retrieval.rerank_prompts(placed, asked), models.overlap)
+    best = durable(retrieval.best(retrieval.with_scores(placed, got.select("qid", "batch", replies.parse_rankings(F.col("reply"), F.col("blocks")).alias("scores")))))
+    read = Pipeline(spark, shared_folder(spark)).respond(asked.join(best.select("qid").distinct(), "qid", "left_semi"), best)
+    total = F.col("input_tokens") + F.col("output_tokens")
+    return read.join(retrieval.retrieval_metrics(best), "qid").select("qid", F.col("a.final_answer").alias("answer"), F.col("a.confidence_level").alias("confidence_level"), "avg_score", "max_score", "final_results", total.alias("total_tokens"))

@@ -31,11 +31,12 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and
     the master is local does a temporary folder take its place.
     """
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, set as the checkpoint folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -49,7 +50,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage by a compressed table in the shared checkpoint folder, for what later steps read by columns."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import re
 import zipfile
@@ -13,20 +14,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import basename, clean_text, filled, stem, strip, suffix
+from quillon.functions.text import COLUMN_MARK, basename, clean_text, filled, stem, strip, suffix
+from quillon.operators.layout import page_layout
 from quillon.operators.slides import LABELS
 
 #: Suffixes and the reader each goes to.
 ROUTES = {".pdf": "pdf", ".pptx": "pptx", ".ppt": "pptx", ".xlsx": "excel", ".xls": "excel"}
 #: Headings of what is appended to a page's text.
 LAYOUT_HEADING, TABLES_HEADING = "=== Layout Preserved ===", "=== Tables ==="
-#: Largest file that is parsed; a larger one counts as failed, so that one file can't exhaust an executor.
-MOST_BYTES = 512 << 20
+#: How a shape's type is written after its label.
+SHAPE_TYPES = {
+    "auto": "AUTO_SHAPE (1)", "chart": "CHART (3)", "freeform": "FREEFORM (5)", "group": "GROUP (6)", "line": "LINE (9)", "picture": "PICTURE (13)", "placeholder": "PLACEHOLDER (14)", "text box": "TEXT_BOX (17)", "table": "TABLE (19)",
+}
 
 PARSED = (
-    "path string, document_type string, pages array<struct<page: int, text: string>>, tables_amount int, pictures_amount int, error string"
+    "path string, document_type string, pages array<struct<page: int, text: string, layout_type: string, column_count: int, extraction_method: string>>, tables_amount int, pictures_amount int, error string"
 )
 
+#: A page's number and text, and of a PDF page its layout type, columns and way of extraction.
+Page = tuple[int, str] | tuple[int, str, str | None, int | None, str | None]
+
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
@@ -60,28 +67,35 @@ class Slide:
     def _shape(self, x: ElementTree.Element) -> str:
         tag, inside = _local(x.tag), {_local(y.tag): y for y in x.iter()}
         name = inside["cNvPr"].get("name", "") if "cNvPr" in inside else ""
+
+        def titled(kind: str, type_: str | None, text: str) -> str:
+            return f"{LABELS[kind]} (type: {'None' if type_ is None else SHAPE_TYPES['placeholder' if placed and kind != 'group' else type_]}):\n{text}"
+
+        placed = "ph" in inside
         if "tbl" in inside and tag == "graphicFrame":
             self.counts["table"] += 1
             rows = [[_words(c) for c in r if _local(c.tag) == "tc"] for r in inside["tbl"] if _local(r.tag) == "tr"]
-            return f"{LABELS['table']}:\n{grid(rows)}"
+            return titled("table", "table", grid(rows))
         if "chart" in inside and tag == "graphicFrame":
             self.counts["chart"] += 1
             link = next((v for k, v in inside["chart"].attrib.items() if _local(k) == "id"), "")
             lines = self._charts(link)
-            return f"{LABELS['chart']}:\n" + ("\n".join(lines) or "Chart (basic info not extractable)")
+            return titled("chart", "chart", "\n".join(lines) or "Chart (basic info not extractable)")
         if tag == "pic":
             self.counts["image"] += 1
             size = inside.get("ext")
             lines = [f"Name: {name}"] * bool(name) + ([f"Dimensions: {size.get('cx')} x {size.get('cy')}"] if size is not None and size.get("cx") else [])
-            return f"{LABELS['image']}:\n" + ("\n".join(lines) or "Image")
+            return titled("image", "picture", "\n".join(lines) or "Image")
         if tag == "grpSp":
             text = self._all(x)
-            return f"{LABELS['group']}:\n{text}" if text else ""
+            return titled("group", "group", text) if text else ""
+        box = inside["cNvSpPr"].get("txBox") in ("1", "true") if "cNvSpPr" in inside else False
+        type_ = "line" if tag == "cxnSp" else "text box" if box else "freeform" if "custGeom" in inside else "auto" if "prstGeom" in inside else "placeholder" if placed else None
         if "txBody" in inside:
             text = _words(inside["txBody"])
-            return f"{LABELS['text']}:\n{text}" if text else ""
+            return titled("text", type_, text) if text else ""
         self.counts["other"] += 1
-        return f"{LABELS['other']}:\nObject: {name}" if name else ""
+        return titled("other", type_, f"Object: {name}") if name else ""
 
 
 def _chart_lines(xml: bytes) -> list[str]:
@@ -128,9 +142,15 @@ def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
 def read_pptx(content: bytes) -> tuple[list[tuple[int, str]], int, int]:
     """Non-blank slides as (number, text), tables and images."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        parts = {n: re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n) for n in z.namelist()}
+        slides = sorted((n for n, m in parts.items() if m), key=lambda n: int(parts[n][1]))
+        if "ppt/presentation.xml" in z.namelist():  # it tells the slides' order, and which parts are shown
+            links = _targets(z, "ppt/presentation.xml")
+            shown = [x for x in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter() if _local(x.tag) == "sldId"]
+            named = [links.get(v) for x in shown for k, v in x.attrib.items() if k.startswith("{") and _local(k) == "id"]
+            slides = [n for n in named if n in z.namelist()]
         pages, tables, images = [], 0, 0
-        for number, (_, part) in enumerate(slides, 1):
+        for number, part in enumerate(slides, 1):
             links = _targets(z, part)
             slide = Slide(z.read(part), lambda i, links=links: _chart_lines(z.read(links[i])) if links.get(i) in z.namelist() else [])
             tables, images = tables + slide.counts["table"], images + slide.counts["image"]
@@ -175,28 +195,62 @@ def _cells(xml: bytes, shared: list[str]) -> list[list[object]]:
     return rows
 
 
-def read_pdf(content: bytes) -> tuple[list[tuple[int, str]], int, int]:
-    """Non-blank pages by the first installed reader; without one, by the plain text operators of the file."""
+def read_pdf(content: bytes) -> tuple[list[Page], int, int]:
+    """Non-blank pages by the readers that are installed, each tried where the one before fails; with none installed, by the
+    plain text operators of the file."""
+    failed: Exception | None = None
+    for name, read in (("pdfplumber", _plumbed), ("pypdf", _pypdf)):
+        try:
+            module = importlib.import_module(name)
+        except ImportError:
+            continue
+        try:
+            return [p for p in read(module, content) if p[1].strip()], 0, 0
+        except Exception as e:  # the next reader may know better
+            failed = e
+    if failed:
+        raise failed
+    return [(n, t) for n, t in enumerate(plain_pdf(content), 1) if t.strip()], 0, 0
+
+
+def _pypdf(pypdf, content: bytes) -> list[Page]:
+    pages = pypdf.PdfReader(io.BytesIO(content)).pages
+    return [(n, (p.extract_text() or "").strip()) for n, p in enumerate(pages, 1)]
+
+
+def _plumbed(pdfplumber, content: bytes) -> list[Page]:
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        return [_plumbed_page(n, p) for n, p in enumerate(pdf.pages, 1)]
+
+
+def _plumbed_page(number: int, page) -> Page:
+    """A page's text (column by column where it has several), its layout-preserved text if that differs, and its tables."""
     try:
-        import pdfplumber
-    except ImportError:
-        pdfplumber = None
-    if pdfplumber is not None:
-        with pdfplumber.open(io.BytesIO(content)) as pdf:
+        kind, count, how, columns = page_layout([c["x0"] for c in page.chars if "x0" in c], page.width)
+        parts = [_cropped(page, left, right) for left, right in columns]
+        parts = [f"{COLUMN_MARK} {t}" for t in parts if t.strip()]
+    except Exception:  # positions that make no sense: one column
+        kind, count, how, parts = "single_column", 1, "standard", []
+    parts = parts or [t for t in [page.extract_text() or ""] if t]
+    for heading, more in ((LAYOUT_HEADING, _preserved), (TABLES_HEADING, _tables)):
+        try:
+            found = [t for t in more(page) if t and t not in parts]
+        except Exception:  # only this part is lost
             found = []
-            for n, p in enumerate(pdf.pages, 1):
-                text, kept = p.extract_text() or "", p.extract_text(layout=True) or ""
-                parts = [text] + [f"{LAYOUT_HEADING}\n{kept}"] * bool(kept.strip() and kept.strip() not in text)
-                tables = [f"Table {i}:\n{grid(t)}" for i, t in enumerate(p.extract_tables() or [], 1) if t]
-                parts += ["\n\n".join([TABLES_HEADING, *tables])] * bool(tables)
-                found.append((n, "\n\n".join(x for x in parts if x.strip())))
-            return [(n, t) for n, t in found if t.strip()], 0, 0
-    try:
-        import pypdf
-    except ImportError:
-        return [(n, t) for n, t in enumerate(plain_pdf(content), 1) if t.strip()], 0, 0
-    reader = pypdf.PdfReader(io.BytesIO(content))
-    return [(n, t.strip()) for n, t in enumerate((p.extract_text() or "" for p in reader.pages), 1) if t.strip()], 0, 0
+        parts += [heading, *found] if found else []
+    return number, "\n\n".join(parts).strip(), kind, count, how
+
+
+def _cropped(page, left: float, right: float) -> str:
+    return page.within_bbox((left, 0, right, page.height)).extract_text() or ""
+
+
+def _preserved(page) -> list[str]:
+    return [page.extract_text(layout=True, x_tolerance=1, y_tolerance=1) or ""]
+
+
+def _tables(page) -> list[str]:
+    return [f"Table {i}:\n{grid(t)}" for i, t in enumerate(page.extract_tables() or [], 1) if t]
 
 
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
@@ -228,7 +282,7 @@ def plain_pdf(content: bytes) -> Iterator[str]:
         yield out.decode("latin-1").strip()
 
 
-READERS: dict[str, Callable[[bytes], tuple[list[tuple[int, str]], int, int]]] = {"pdf": read_pdf, "pptx": read_pptx, "excel": read_xlsx}
+READERS: dict[str, Callable[[bytes], tuple[list[Page], int, int]]] = {"pdf": read_pdf, "pptx": read_pptx, "excel": read_xlsx}
 
 
 def route(path):
@@ -240,20 +294,21 @@ def route(path):
 def parse_files(files: DataFrame) -> DataFrame:
     """Parsed reports of ``files(path, content)`` (the binary file source's columns).
 
-    A file of an unknown kind, an unreadable and an oversized one give a report of type ``failed`` with no
-    pages and the reason.
+    A file of an unknown kind and an unreadable one give a report of type ``failed`` with no pages and the
+    reason.  A file is read as a whole by one task, whatever its size: executors need room for the largest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = pa.struct([("page", pa.int32()), ("text", pa.string())])
+        names = ("page", "text", "layout_type", "column_count", "extraction_method")
+        page = pa.struct(list(zip(names, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()))))
         for b in batches:
             rows = []
             for kind, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 try:
-                    if kind is None or content is None or len(content) > MOST_BYTES:
+                    if kind is None or content is None:
                         raise ValueError("no reader for this file")
                     pages, tables, pictures = READERS[kind](content)
-                    rows.append((kind, [{"page": n, "text": t} for n, t in pages], tables, pictures, None))
+                    rows.append((kind, [dict(zip(names, p)) for p in pages], tables, pictures, None))
                 except Exception as e:  # a broken file must not end the job
                     rows.append(("failed", [], 0, 0, f"{type(e).__name__}: {e}"[:200]))
             cols = list(zip(*rows)) or [()] * 5
@@ -263,9 +318,14 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", route(F.col("path")).alias("kind"), "content").mapInArrow(run, PARSED)
 
 
-def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Parsed reports of all files under the paths (globs allowed)."""
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)))
+def read_files(spark: SparkSession, *paths: str, known_only: bool = False) -> DataFrame:
+    """Parsed reports of all files under the paths (globs allowed); with ``known_only`` those that no reader knows are left out."""
+    reader = spark.read.option("pathGlobFilter", "*.{" + ",".join(_any_case(x[1:]) for x in ROUTES) + "}") if known_only else spark.read
+    return parse_files(reader.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)))
+
+
+def _any_case(suffix_: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in suffix_)
 
 
 def reports_of(parsed: DataFrame) -> DataFrame:
@@ -278,8 +338,7 @@ def reports_of(parsed: DataFrame) -> DataFrame:
 
 
 def pages_of(parsed: DataFrame) -> DataFrame:
-    """``doc_id, page, text`` of all pages that aren't blank; PDF text is cleaned."""
+    """``doc_id, page, text`` and the layout of all pages that aren't blank; PDF text is cleaned."""
     each = parsed.select(F.sha2("path", 256).alias("doc_id"), "document_type", F.inline("pages"))
     text = F.when(F.col("document_type") == "pdf", clean_text(F.col("text"))).otherwise(F.col("text"))
-    layout = [F.lit(None).cast(t).alias(n) for n, t in (("layout_type", "string"), ("column_count", "int"), ("extraction_method", "string"))]
-    return each.select("doc_id", "page", strip(text).alias("text"), *layout).where(filled(F.col("text")))
+    return each.select("doc_id", "page", strip(text).alias("text"), "layout_type", "column_count", "extraction_method").where(filled(F.col("text")))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+_BATCH = "written_batch"
+
+
 class Store:
     """A folder with the tables ``reports``, ``pages``, ``chunks`` and ``index``."""
 
@@ -14,14 +17,22 @@ class Store:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def save(self, name: str, df: DataFrame, mode: str = "overwrite") -> None:
-        df.write.mode(mode).parquet(f"{self.folder}/{name}")
+        """Write a table as a whole, or append to it."""
+        df.withColumn(_BATCH, F.lit("all")).write.mode(mode).partitionBy(_BATCH).parquet(f"{self.folder}/{name}")
+
+    def put(self, name: str, df: DataFrame, batch: str) -> None:
+        """Write the rows of one batch; a batch that is written again takes the place of its first rows."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{_BATCH}={batch}")
 
-    def load(self, name: str) -> DataFrame | None:
-        """A table, or none where it was never written."""
+    def load(self, name: str, but: str | None = None) -> DataFrame | None:
+        """A table (without the rows of the batch ``but``), or none where it was never written."""
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return None
+            df = self.spark.read.parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+        return (df if but is None else df.where(F.col(_BATCH) != but)).drop(_BATCH)
 
     def exists(self) -> bool:
         return self.load("index") is not None and self.load("pages") is not None

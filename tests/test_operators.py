@@ -1,12 +1,15 @@
 """Operators against brute force on small tables, with nulls, blanks, ties and empty tables."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.functions import scores
+from quillon.functions import scores, text
 from quillon.functions.sampling import hash_sample
 from quillon.functions.text import TOKEN
 from quillon.operators import chunking, knn, layout, models, pages, retrieval, slides
@@ -187,3 +190,39 @@ def test_hash_sample(spark):
     got = [r[0] for r in hash_sample(df, ["id"], 50).collect()]
     assert len(got) == len(set(got)) == 50
     assert hash_sample(df.limit(0), ["id"], 5).count() == 0
+
+
+def test_overlap_across_blocks(spark, monkeypatch):
+    from quillon.operators import pages as pages_
+
+    monkeypatch.setattr(pages_, "BLOCK_PAGES", 2)
+    monkeypatch.setattr(pages_.combine_pages, "__defaults__", (2,))
+    rng = random.Random(1)
+    rows = [("d", n, " ".join(f"w{rng.randrange(10**6)}." for _ in range(300))) for n in range(1, 8)]
+    got = sorted(chunking.cross_page_chunks(pages_of(spark, *rows)).collect(), key=lambda r: r.chunk)
+    assert [r.chunk for r in got] == list(range(1, got[0].total_chunks + 1)) and {r.block for r in got} == {0, 1, 2, 3}
+    for a, b in zip(got, got[1:]):
+        assert a.start < b.start <= a.end and (a.block == b.block or b.start < a.end)
+    whole = "".join(f"\n--- PAGE {n} ---\n{t}\n" for _, n, t in rows)
+    assert all(whole[r.start : r.end].split()[-1] == r.page_content.split()[-1] for r in got)
+    assert got[0].start == 1 and got[-1].end == len(whole) - 1
+
+
+def test_spans_carry_the_end_of_what_stands_before():
+    before, after = "a b c d. e f g h. ", "i j k l. m n o p. q r s t. "
+    spans = chunking.split_spans(after, 10, 5, before=before)
+    assert [(before + after)[len(before) + a : len(before) + b] for a, b in spans] == ["e f g h. i j k l. ", "i j k l. m n o p. ", "m n o p. q r s t. "]
+    assert chunking.split_spans(after, 10, 5) == [(0, 18), (9, 27)] and chunking.split_spans(after, 15, 5) == [(0, 27)]
+
+
+def test_a_long_document_is_cut_in_linear_time():
+    long = ("One sentence of some words. " * 40 + "\n\n") * 4000
+    began = time.monotonic()
+    spans = chunking.split_spans(long)
+    assert spans[-1][1] == len(long) and all(b <= c for (_, b), (_, c) in zip(spans, spans[1:])) and time.monotonic() - began < 60
+
+
+def test_page_ranges(spark):
+    df = spark.createDataFrame([("5,6", True), ("6, 5", True), ("5-6", True), ("5–7", True), ("9~8", True), ("1-999999999", True), ("x", True), (None, True), ("5,6", None)], "r string, s boolean")
+    got = [r[0] for r in df.select(text.page_numbers(F.col("r"), F.col("s"), F.lit(4))).collect()]
+    assert got == [[5, 6], [5, 6], [5, 6], [5, 6, 7], [8, 9], [1, 999999999], [4], [4], [4]]
