@@ -20,8 +20,10 @@ from quillon.session import durable
 
 from .tokenizer import count_tokens
 
-#: Largest capacity whose histogram the driver takes.
-MOST_CAPACITY = 1 << 20
+#: Largest capacity whose histogram the driver takes; packing one in which every size occurs takes the driver minutes there, seconds at a quarter of it.
+MOST_CAPACITY = 1 << 16
+#: Pieces of one size that one task ranks.
+SLICE_ROWS = 50_000
 
 
 class _Sizes:
@@ -93,9 +95,12 @@ def pack(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
     return out
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """``rank`` of each piece among those of its size, from 0: ranks in salted slices plus the slices before."""
-    slices = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece"), F.lit(256)).cast("int"))
+def _ranked(pieces: DataFrame, total: int) -> DataFrame:
+    """``rank`` of each piece among those of its size, from 0: ranks in salted slices plus the slices before.
+
+    There are as many slices as keep one of them to about ``SLICE_ROWS`` rows, were all pieces of one size.
+    """
+    slices = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece"), F.lit(max(256, -(-total // SLICE_ROWS)))).cast("int"))
     own = slices.withColumn("own", F.row_number().over(W.partitionBy("size", "slice").orderBy("id", "piece")) - 1)
     counts = slices.groupBy("size", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -138,7 +143,7 @@ def fill_containers(sizes: DataFrame, capacity: int) -> DataFrame:
         return pa.array(np.where(s == 0, r % containers, t[at, 2] + (r - t[at, 1]) // t[at, 3]))
 
     where = F.arrow_udf(place, "bigint")
-    return _ranked(pieces).select(
+    return _ranked(pieces, sum(histogram.values())).select(
         where("size", "rank").alias("container"), "id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "size"
     )
 

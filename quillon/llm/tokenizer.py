@@ -27,6 +27,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Upper bounds of what one worker keeps; beyond them the memo starts afresh (results don't change).
 MEMO_WORDS, MEMO_STATES = 400_000, 400_000
+#: Largest vocabulary file that is broadcast.
+MOST_VOCABULARY_BYTES = 32 << 20
 _SPLIT = regex.compile(PATTERN)
 
 
@@ -71,6 +73,8 @@ class Transducer:
     def _fits(self, left: int, right: int) -> bool:
         """Whether token ``right`` may follow token ``left`` (-1: stands at the start)."""
         if (ok := self._pairs.get((left, right))) is None:
+            if len(self._pairs) > MEMO_STATES:
+                self._pairs.clear()
             whole, want = (self.words[right], [right]) if left < 0 else (self.words[left] + self.words[right], [left, right])
             ok = self._pairs[left, right] = self.merged(whole) == want
         return ok
@@ -214,9 +218,12 @@ def encoder(raw: bytes) -> Encoder:
 
 
 def vocabulary(spark: SparkSession, path: str | None = None):
-    """Broadcast of the vocabulary file's content (a published file of fixed size, under 1 MB)."""
+    """Broadcast of the content of a vocabulary file (a published file, the 50k one under 1 MB) behind a check of its size."""
     with open(path or f"{TOKENIZERS}/{VOCABULARY}", "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        raw = f.read(MOST_VOCABULARY_BYTES + 1)
+    if len(raw) > MOST_VOCABULARY_BYTES:
+        raise ValueError("this file is too large for a vocabulary")
+    return spark.sparkContext.broadcast(raw)
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
