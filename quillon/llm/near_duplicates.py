@@ -5,8 +5,9 @@ hash; of each sample the minima are kept in the order of the text, and the seque
 sketch.  Texts that share a sketch are candidates.  A second reading of the samples, with more minima
 and without their order, keeps the pairs whose parts were moved.  Verification: pairs are aligned first,
 without their common beginning and end, in a band and under the limit that their set sizes give: d edits
-touch at most k*d k-mers, and none outside the stretch that differs, which certifies most of the links.
-Only of the pairs that stay uncertified is the exact Jaccard similarity of the k-mer sets computed.
+touch at most k*d k-mers, and none outside the stretch that differs.  Where that isn't enough, the k-mers
+that align within the band are counted.  Both give lower bounds of the similarity and certify most links;
+only of the pairs that stay uncertified is the exact Jaccard similarity of the k-mer sets computed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ K, THRESHOLD, LEAST_CHARS = 5, 0.7, 100
 #: Deals and samples a deal; minima kept in order, and kept without order; least k-mers of a sample in use.
 DEALS, CLASSES, ORDERED, UNORDERED, LEAST_KMERS = 2, 16, 6, 8, 4
 #: Half width of the alignment band, and pairs aligned side by side.
-BAND, SIDE_BY_SIDE = 16, 256
+BAND, SIDE_BY_SIDE, ROWS_AT_ONCE = 16, 256, 1 << 16
 #: A group's rows are paired in blocks of this many, and a text meets its partners in blocks of so many, so that no task pairs a whole hot group.
 BLOCK, PARTNERS = 64, 1024
 #: Characters sketched at once, pairs and their characters verified at once, and bits of a hash that give way to a text's number.
@@ -193,12 +194,31 @@ def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[: len(a) - tail], b[: len(b) - tail]
 
 
+def unaligned_kmers(a: np.ndarray, b: np.ndarray, band: int = BAND) -> int:
+    """Places of the first text whose k-mer isn't aligned: that stands in the other text at none of the places within the band
+    around the diagonal of both beginnings or of both ends."""
+    least = len(a)
+    for centre in sorted({0, len(b) - len(a)}):
+        lost = 0
+        for s in range(0, len(a) - K + 1, ROWS_AT_ONCE):
+            own = a[s : s + ROWS_AT_ONCE + K - 1]
+            at = np.arange(s + centre - band, s + centre + band + len(own))
+            near = np.where((at >= 0) & (at < len(b)), b[np.clip(at, 0, len(b) - 1)], 0xFFFFFFFF)
+            same = np.lib.stride_tricks.sliding_window_view(near, 2 * band + 1)[: len(own)] == own[:, None]
+            whole = same[: len(own) - K + 1].copy()
+            for k in range(1, K):
+                whole &= same[k : len(own) - K + 1 + k]
+            lost += int((~whole.any(1)).sum())
+        least = min(least, lost)
+    return least
+
+
 def verified(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs of texts: whether they reach the similarity, the bound of their edit distance (-1: over the limit), and whether
     the alignment certified them.
 
-    Sizes of the k-mer sets bound the similarity from above and set the alignment's limit.  Of the pairs it doesn't
-    certify the exact similarity is computed.
+    Sizes of the k-mer sets bound the similarity from above and set the alignment's limit.  What the edit distance doesn't
+    certify, the k-mers that align within the band may; only of the other pairs is the exact similarity computed.
     """
     number = {t: i for i, t in enumerate(dict.fromkeys((*left, *right)))}
     a, b = np.array([number[t] for t in left], np.int64), np.array([number[t] for t in right], np.int64)
@@ -225,6 +245,10 @@ def verified(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray,
     touched = np.where(inner.max(1)[:, None] > 0, inner + K - 1, 0)
     shared = np.maximum(size[a[able]] - np.minimum(edits, touched[:, 0]), size[b[able]] - np.minimum(edits, touched[:, 1]))
     sure = shared >= THRESHOLD * (both[able] - shared)
+    for j in np.flatnonzero(~sure):  # many edits close together, or far ones: count the k-mers that align
+        i = able[j]
+        got = size[a[i]] - unaligned_kmers(codes[a[i]], codes[b[i]])
+        sure[j] = got >= THRESHOLD * (both[i] - got)
     certified[able[sure]] = similar[able[sure]] = True
     rest = able[~sure]
     shared = shared_kmers(sets, starts, a[rest], b[rest])
