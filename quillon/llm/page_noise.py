@@ -4,17 +4,23 @@ An averaged-perceptron character editor reads the page as one line of text and p
 where a character is known to be a look-alike of another, whether to keep it or which edit undoes the
 misreading (replace; replace and delete for two characters read for one; insert for one read for two),
 and at each line end whether to join the lines, and whether to drop the sign before the line end.  It is
-trained here on a bounded sample of the pages, corrupted with the look-alikes.  Running titles and page
-numbers are found by their place on the page and their recurrence over the report's pages.
+trained here on all pages, corrupted with the look-alikes: shares of them train side by side and their
+weights are averaged.  The words and compounds, and the misreadings that the pages show, are counted over
+all pages too.  Running titles and page numbers are found by their place on the page and their recurrence
+over the report's pages.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +28,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.sampling import hash_sample
 from quillon.session import stored
 
-#: Bounds of the training sample: pages, characters of a page; share of look-alikes put in; epochs.
-SAMPLE_PAGES, SAMPLE_CHARS, RATE, EPOCHS = 1_500, 4_000, 0.04, 4
-#: Size of the editor's weight table and its margin for an edit.
-SPACE, MARGIN = 1 << 21, 0.0
+#: Characters that train together, and of the pieces dealt to them; share of look-alikes put in; epochs.
+SHARE_CHARS, PIECE_CHARS, RATE, EPOCHS = 2_000_000, 4_000, 0.04, 4
+#: Weights are added up as whole multiples of this part, so that the order of the shares doesn't matter.
+PART = 1 << 20
+#: Sizes of the editor's weight tables of characters and, after it, of line ends, and its margin for an edit.
+SPACE, ENDS, MARGIN = 1 << 21, 1 << 18, 0.0
 #: A running title stands on at least this many pages, whatever the report's length.
 TITLE_PAGES = 3
 #: Tasks that share the pages of one title.
@@ -36,6 +43,10 @@ TITLE_SALTS = 16
 
 #: Uses of a frequent and of a rare word, and words that must show a misreading for it to be learned.
 FREQUENT, RARE, SHOWN = 20, 2, 4
+#: Over all pages a word is rare beside another that is used so many times as much.
+RATIO = FREQUENT // RARE
+#: Times that a word's misreading must be expected for its absence to speak against it.
+EXPECTED = 3
 
 Table = tuple[tuple[str, str], ...]
 #: What is printed and what it is misread as; misreadings that the sample shows are learned beside them.
@@ -57,11 +68,12 @@ _HEAD = regex.compile(r"[\p{Latin}\p{N}@†|]+(?:-[\p{Latin}]+)*$")
 _TAIL = regex.compile(r"[\p{Ll}0-9@†|]+")
 _WRAP = regex.compile(r"(?<=[!-~†])[ \t]*\n\s*(?=[!-~†])")
 _LINE = regex.compile(r"[ \t]*\n\s*")
-_RUN = regex.compile(r"[A-Za-z0-9+/=]{16,}")
-_JUNK = regex.compile(r"(?:[A-Za-z0-9+/=]\n? {0,3}){24,}")
+_RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_JUNK = re.compile(r"(?:[A-Za-z0-9+/=]\n? {0,3}){24,}")
 _TOKEN = regex.compile(r"[\p{Latin}\p{N}@†|]+")
 _HAN = regex.compile(r"\p{Han}{3,}")
 _WORD = regex.compile(r"\p{Latin}+(?:-\p{Latin}+)*")
+_ENDS = regex.compile(rf"[{HYPHENS}][ \t]*\n")
 _ROMAN = regex.compile(r"(?i)^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _DIGITAL = str.maketrans("OoQlI|iZzSsBbgq", "000111122558699")
 _PLAIN_DIGITS = {c: str(unicodedata.decimal(chr(c))) for c in range(0x110000) if chr(c).isdecimal() and c > 127}
@@ -112,16 +124,19 @@ class _Codes:
         for p in pages:
             c = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)
             parts += [c, np.zeros(8, np.uint32)]
+        self.order = None
         self.codes = np.minimum(np.concatenate([np.zeros(8, np.uint32), *parts]), 0xFFFF).astype(np.uint64)
         self.ends = np.cumsum([8] + [len(c) for c in parts])[::2][1:] if parts else np.empty(0, np.int64)
         self.starts = np.array([8] + [int(e) for e in self.ends[:-1]], np.int64) if parts else np.empty(0, np.int64)
 
     def sites(self, read: str) -> np.ndarray:
         """Where the characters of a misreading begin."""
-        c = self.codes
-        if len(read) == 1:
-            return np.flatnonzero(c == ord(read))
-        return np.flatnonzero((c[:-1] == ord(read[0])) & (c[1:] == ord(read[1])))
+        if self.order is None:
+            self.order = np.argsort(self.codes.astype(np.uint16), kind="stable")  # radix sort
+            self.ordered = self.codes[self.order]
+        c = ord(read[0])
+        at = self.order[np.searchsorted(self.ordered, np.uint64(c)) : np.searchsorted(self.ordered, np.uint64(c), "right")]
+        return at if len(read) == 1 else at[self.codes[at + 1] == ord(read[1])]
 
 
 def _allowed(c: np.ndarray, at: np.ndarray, pair: tuple[str, str]) -> np.ndarray:
@@ -143,33 +158,30 @@ def _context(c: np.ndarray, at: np.ndarray, width: int, op: int) -> np.ndarray:
         (), (k1, q1), (k2, k1, q1, q2), (k3, k2, k1, q1, q2, q3), (l1,), (r1,), (l1, r1), (l2, l1), (r1, r2), (l2, l1, r1), (l1, r1, r2), (l2, l1, r1, r2),
         (l3, l2, l1), (r1, r2, r3), (l3, l2, l1, r1), (l1, r1, r2, r3), (l4, l3, l2, l1), (r1, r2, r3, r4), (l3, l2, l1, r1, r2, r3),
     ]
-    out = np.empty((len(at), len(rows)), np.int64)
+    out = np.empty((len(at), len(rows)), np.int32)
     for i, parts in enumerate(rows):
         h = np.full(len(at), 1469598103934665603 ^ (op * 64 + i), np.uint64)
         for p in parts:
             h = (h ^ p) * _PRIME
             h ^= h >> np.uint64(31)
-        out[:, i] = (h % np.uint64(SPACE)).astype(np.int64)
+        out[:, i] = h & np.uint64(SPACE - 1)
     return out
 
 
 def _join_features(left: str, sign: str, right: str, words: set[str], compounds: set[str]) -> list[int]:
-    whole, own = (left + right).lower(), f"{left}-{right}".lower()
+    return _known_features(left, sign, right, (left + right).lower() in words, f"{left}-{right}".lower() in compounds, left.rsplit("-", 1)[-1].lower() in words, right.lower() in words)
+
+
+def _known_features(left: str, sign: str, right: str, word: bool, compound: bool, first: bool, second: bool) -> list[int]:
     last = left.rsplit("-", 1)[-1].lower()
-    facts = (f"sign{sign}", f"word{whole in words}", f"compound{own in compounds}", f"both{whole in words}{own in compounds}", f"l{last[-3:]}", f"r{right[:3].lower()}", f"lr{last[-2:]}{right[:2].lower()}", f"parts{last in words}{right.lower() in words}", "join")
-    out = []
-    for f in facts:
-        h = 7
-        for ch in f:
-            h = (h * 1_000_003 + ord(ch)) & 0xFFFFFFFFFFFF
-        out.append(h % SPACE)
-    return out
+    facts = (f"sign{sign}", f"word{word}", f"compound{compound}", f"both{word}{compound}", f"l{last[-3:]}", f"r{right[:3].lower()}", f"lr{last[-2:]}{right[:2].lower()}", f"parts{first}{second}", "join")
+    return [SPACE + crc32(f.encode("utf-8", "surrogatepass")) % ENDS for f in facts]
 
 
 class Editor:
-    """The trained editor: averaged weights and the words and compounds of its sample."""
+    """The trained editor: averaged weights, and the words and compounds of its pages (None if they are in a table)."""
 
-    def __init__(self, weights: np.ndarray, words: set[str], compounds: set[str], table: Table = LOOKALIKES):
+    def __init__(self, weights: np.ndarray, words: set[str] | None, compounds: set[str] | None, table: Table = LOOKALIKES):
         self.weights, self.words, self.compounds, self.table = weights, words, compounds, table
 
     def edits(self, pages: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -203,15 +215,20 @@ class Editor:
 
     def split_words(self, text: str) -> list[tuple[int, int, int]]:
         """``(end of the first part, start and end of the second)`` of the words split at line ends."""
-        out = []
-        for m in _HANGING.finditer(text):
-            begin = m.start()
-            while begin and (text[begin - 1].isalnum() or text[begin - 1] in "@†|-" or unicodedata.combining(text[begin - 1])):
-                begin -= 1
-            left, right = _HEAD.search(text, begin, m.start()), _TAIL.match(text, m.end())
-            if left and right and any(map(str.isalpha, left.group())) and any(map(str.isalpha, right.group())) and self.joins(left.group(), m.group()[0], right.group()):
-                out.append((m.start(), right.start(), right.end()))
-        return out
+        return [place for place, end in line_ends(text) if self.joins(*end)]
+
+
+def line_ends(text: str) -> list[tuple[tuple[int, int, int], tuple[str, str, str]]]:
+    """Of the signs at line ends the place, as in ``split_words``, and the part before, the sign, the part after."""
+    out = []
+    for m in _HANGING.finditer(text):
+        begin = m.start()
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "@†|-" or unicodedata.combining(text[begin - 1])):
+            begin -= 1
+        left, right = _HEAD.search(text, begin, m.start()), _TAIL.match(text, m.end())
+        if left and right and any(map(str.isalpha, left.group())) and any(map(str.isalpha, right.group())):
+            out.append(((m.start(), right.start(), right.end()), (left.group(), m.group()[0], right.group())))
+    return out
 
 
 def confusions(pages: list[str]) -> Table:
@@ -263,28 +280,45 @@ def confusions(pages: list[str]) -> Table:
     return tuple(sorted(learned))
 
 
-def _corrupt(page: str, rng: random.Random, table: Table = LOOKALIKES) -> tuple[str, list[tuple[int, int]]]:
-    """A page with look-alikes put in, and their ``(place, edit)``."""
+def _misread(codes: np.ndarray, rng: np.random.Generator, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Character codes with look-alikes put in, and of each place the edit (plus one) that undoes one there."""
     printed: dict[str, list[int]] = {}
     for k, (p, _) in enumerate(table):
         printed.setdefault(p, []).append(k)
-    out, put, i, size = [], [], 0, 0
-    while i < len(page):
-        two = page[i : i + 2]
-        key = two if two in printed else page[i]
-        ops = printed.get(key)
-        if ops and rng.random() < RATE:
-            k = rng.choice(ops)
-            read = table[k][1]
-            put.append((size, k))
-            out.append(read)
-            size += len(read)
-            i += len(key)
+    op = np.zeros(len(codes), np.int64)
+    taken = np.zeros(len(codes) + 1, bool)  # a place where two characters may have been read for one, and the place after one that was
+    for p, ops in sorted(printed.items(), key=lambda x: -len(x[0])):
+        at = np.flatnonzero(codes == ord(p[0]))
+        if len(p) > 1:
+            at = at[at + 1 < len(codes)]
+            at = at[codes[at + 1] == ord(p[1])]
+            at = at[~taken[at] & ~taken[at + 1]]
+            taken[at] = True
         else:
-            out.append(page[i])
-            size += 1
-            i += 1
-    return "".join(out), put
+            at = at[~taken[at]]
+        at = at[rng.random(len(at)) < RATE]
+        if len(p) > 1:
+            taken[at + 1] = True
+        op[at] = np.array(ops)[rng.integers(0, len(ops), len(at))] + 1
+    size = np.ones(len(codes), np.int64)
+    at = np.flatnonzero(op)
+    pairs = [table[k - 1] for k in op[at].tolist()]
+    size[at] = [len(read) for _, read in pairs]
+    long = at[[len(p) > 1 for p, _ in pairs]] if pairs else at
+    size[long + 1] = 0
+    out, place = np.repeat(codes, size), np.cumsum(size) - size
+    truth = np.zeros(len(out), np.int64)
+    truth[place[at]] = op[at]
+    out[place[at]] = [ord(read[0]) for _, read in pairs]
+    two = np.array([len(read) > 1 for _, read in pairs], bool)
+    out[place[at[two]] + 1] = [ord(read[1]) for _, read in pairs if len(read) > 1]
+    return out, truth
+
+
+def _corrupt(page: str, rng: random.Random, table: Table = LOOKALIKES) -> tuple[str, list[tuple[int, int]]]:
+    """A page with look-alikes put in, and their ``(place, edit)``."""
+    out, truth = _misread(np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32), np.random.default_rng(rng.getrandbits(32)), table)
+    return out.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), [(int(i), int(truth[i]) - 1) for i in np.flatnonzero(truth)]
 
 
 def _varied(page: str, rng: random.Random) -> str:
@@ -298,50 +332,29 @@ def _varied(page: str, rng: random.Random) -> str:
 
 
 def train(sample: list[str], seed: int = 3) -> Editor:
-    """Editor from a sample of pages; what its first passes take for misread in the sample is left out of the later ones."""
-    rng = random.Random(seed)
-    plain = [flat(p) for p in sample]
-    table = LOOKALIKES + confusions(plain)
-    pages = [_varied(p, rng) for p in plain]
+    """Editor from pages that are all at hand."""
+    table = LOOKALIKES + confusions([flat(p) for p in sample])
+    return Editor(fit(sample, table, seed), *_lexicon(sample), table)
+
+
+def fit(sample: list[str], table: Table, seed: int = 3) -> np.ndarray:
+    """Weights from some pages; what the first passes take for misread in them is left out of the later ones."""
+    rng, order_rng = random.Random(seed), np.random.default_rng(seed)
+    codes = _Codes([_varied(flat(p), rng) for p in sample])
+    misread, truth = _misread(codes.codes, order_rng, table)
+    codes.codes = np.minimum(misread, np.uint64(0xFFFF))
     x, y = [], []
-    made = [_corrupt(p, rng, table) for p in pages]
-    codes = _Codes([m[0] for m in made])
-    truth = {(int(codes.starts[i]) + at, k) for i, (_, put) in enumerate(made) for at, k in put}
-    placed = np.array(sorted({p for p, _ in truth}), np.int64)
     for read, ops in _heads(table).items():
         at = codes.sites(read)
-        near = np.isin(at, placed)
         for k in ops:
-            label = np.array([(int(p), k) in truth for p in at[near]], bool)
-            full = np.zeros(len(at), bool)
-            full[near] = label
-            may = _allowed(codes.codes, at, table[k])
-            x.append(_context(codes.codes, at[may], len(read), k))
-            y.append(np.where(full[may], 1, -1))
-    half = len(pages) // 2
-    words, compounds = _lexicon(sample[:half])
-    jx, jy = [], []
-    for text in sample[half:]:
-        for m in _WORD.finditer(text.replace("\n", " ")):
-            w = m.group()
-            if "-" in w:
-                for i, c in enumerate(w):
-                    if c == "-":
-                        jx.append(_join_features(w[:i], rng.choice(HYPHENS) if rng.random() < 0.2 else "-", w[i + 1 :].split("-")[0], words, compounds))
-                        jy.append(-1)
-            elif len(w) >= 5 and rng.random() < 0.1:
-                i = rng.randrange(2, len(w) - 1)
-                jx.append(_join_features(w[:i], rng.choice(HYPHENS), w[i:], words, compounds))
-                jy.append(1)
+            may = at[_allowed(codes.codes, at, table[k])]
+            x.append(_context(codes.codes, may, len(read), k))
+            y.append(np.where(truth[may] == k + 1, 1, -1).astype(np.int8))
+    x, y = np.concatenate(x), np.concatenate(y)
     w = np.zeros(SPACE, np.float32)
-    total = np.zeros(SPACE, np.float64)
-    if x:
-        x, y = np.concatenate(x), np.concatenate(y)
-    else:
-        x, y = np.empty((0, 19), np.int64), np.empty(0, np.int64)
+    late = np.zeros(SPACE, np.float64)  # what the weights of earlier steps lack of their sum
     live = np.arange(len(y))
-    order_rng = np.random.default_rng(seed)
-    steps = 0
+    steps = kept = 0
     for epoch in range(EPOCHS):
         if epoch == 2:
             live = live[~((y[live] < 0) & (w[x[live]].sum(1) > 0))]
@@ -351,35 +364,58 @@ def train(sample: list[str], seed: int = 3) -> Editor:
             score = w[x[own]].sum(1)
             wrong = own[y[own] * score <= 1.0]
             if len(wrong):
-                np.add.at(w, x[wrong].ravel(), np.repeat(y[wrong] * 0.2, x.shape[1]).astype(np.float32))
+                to, by = x[wrong].ravel(), np.repeat(y[wrong] * 0.2, x.shape[1]).astype(np.float32)
+                np.add.at(w, to, by)
+                np.add.at(late, to, by * kept)
             steps += 1
-            if epoch and steps % 8 == 0:
-                total += w
-    weights = (total / max(1, steps // 8)).astype(np.float32)
-    jw = np.zeros(SPACE, np.float32)
-    jt = np.zeros(SPACE, np.float32)
+            kept += bool(epoch) and steps % 8 == 0
+    weights = ((w * float(kept) - late) / max(1, steps // 8)).astype(np.float32)
+    jx: list[np.ndarray] = []
+    jy: list[int] = []
+    half = len(sample) // 2
+    for known, own in ((sample[:half], sample[half:]), (sample[half:], sample[:half])):  # a page's words aren't known from itself
+        words, compounds = _lexicon(known)
+        for text in own:
+            _line_ends(text, rng, words, compounds, jx, jy)
+    jw = np.zeros(SPACE + ENDS, np.float32)
+    jt = np.zeros(SPACE + ENDS, np.float64)
     for _ in range(EPOCHS):
         for i in order_rng.permutation(len(jy)):
-            if jy[i] * jw[jx[i]].sum() <= 1:
-                jw[jx[i]] += jy[i]
-            jt[jx[i]] += jw[jx[i]]
-    everything = _lexicon(sample)
-    return Editor(weights + jt, *everything, table)
+            at = jx[i]
+            if jy[i] * (own := jw[at]).sum() <= 1:
+                jw[at] = own = own + jy[i]
+            jt[at] += own
+    return np.concatenate([weights, (jt[SPACE:] / max(1, EPOCHS * len(jy))).astype(np.float32)])
+
+
+def _line_ends(text: str, rng: random.Random, words: set[str], compounds: set[str], jx: list[np.ndarray], jy: list[int]) -> None:
+    """Add a page's compounds and some of its words, as if they were split, to the examples."""
+    for w in _WORD.findall(text.replace("\n", " ")):
+        if "-" in w:
+            for i, c in enumerate(w):
+                if c == "-":
+                    jx.append(np.array(_join_features(w[:i], rng.choice(HYPHENS) if rng.random() < 0.2 else "-", w[i + 1 :].split("-")[0], words, compounds)))
+                    jy.append(-1)
+        elif len(w) >= 5 and rng.random() < 0.1:
+            i = rng.randrange(2, len(w) - 1)
+            jx.append(np.array(_join_features(w[:i], rng.choice(HYPHENS), w[i:], words, compounds)))
+            jy.append(1)
 
 
 def _lexicon(sample: list[str]) -> tuple[set[str], set[str]]:
-    words, compounds = set(), set()
-    for text in sample:
-        for m in _WORD.finditer(regex.sub(rf"[{HYPHENS}][ \t]*\n", "\n\n", text)):
-            w = m.group().lower()
-            if "-" in w:
-                compounds.add(w)
-                parts = w.split("-")
-                for i in range(1, len(parts)):
-                    compounds.add("-".join(parts[: i + 1]))
-                    compounds.add("-".join(parts[i - 1 : i + 1]))
-            words.add(w)
-    return words, compounds
+    words = {w.lower() for text in sample for w in set(written(text))}
+    return words, {c for w in words if "-" in w for c in runs_of_parts(w)}
+
+
+def written(text: str) -> list[str]:
+    """The words of a page, none across a hyphen at a line end."""
+    return _WORD.findall(_ENDS.sub("\n\n", text))
+
+
+def runs_of_parts(word: str) -> set[str]:
+    """Of a compound the compounds that it begins with, and each two parts."""
+    parts = word.split("-")
+    return {word} | {c for i in range(1, len(parts)) for c in ("-".join(parts[: i + 1]), "-".join(parts[i - 1 : i + 1]))}
 
 
 def _roman(n: int) -> str:
@@ -461,48 +497,96 @@ def _fields(df: DataFrame, key: str) -> str:
 
 
 def read_pages(pages: DataFrame, editor: Editor, repair: bool = False) -> DataFrame:
-    """Per row of ``pages(doc_id, page, text)``: ``doc_id, page, hyphen, char, number, tops`` and, for repair, ``lines``.
+    """Per row of ``pages(doc_id, page, text)``: ``doc_id, page, hyphen, char, number, tops`` and, for repair, ``fixed``.
 
     ``tops`` has the comparable forms of the lines at the page's edges that may be running titles, with
-    whether each holds the page's number; ``lines`` has the repaired text by line, with the comparable form
-    of lines that may be furniture.  Null and blank texts give no findings.
+    whether each holds the page's number; ``fixed`` has the repaired text.  Null and blank texts give no findings.
+    If the editor's words are in a table, ``settled`` makes these columns out of ``ends``, the signs at line ends
+    that may split words, and the ``parts`` of the text around them.
     """
     model = pages.sparkSession.sparkContext.broadcast((editor.weights, editor.words, editor.compounds, editor.table))  # of bounded size
-    schema = f"doc_id {_fields(pages, 'doc_id')}, page {_fields(pages, 'page')}, hyphen boolean, char boolean, number boolean, tops array<struct<norm: string, own: boolean>>" + (", fixed string" if repair else "")
+    later = editor.words is None
+    hyphen = "ends array<struct<left: string, sign: string, right: string>>" if later else "hyphen boolean"
+    schema = f"doc_id {_fields(pages, 'doc_id')}, page {_fields(pages, 'page')}, {hyphen}, char boolean, number boolean, tops array<struct<norm: string, own: boolean>>" + (", parts array<string>" if repair and later else ", fixed string" if repair else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ed = Editor(*model.value)
         for batch in batches:
             ids, numbers, texts = batch.column(0), batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= 500_000):
-                    chars += len(texts[end])
-                    end += 1
+            for at, end in _slices(texts, 500_000):
                 own = texts[at:end]
                 found = ed.edits([flat(t) for t in own])
-                split = [ed.split_words(t) for t in own]
                 tops = [edges(t, n) for t, n in zip(own, numbers[at:end])]
-                cols = [
-                    ids.slice(at, end - at), batch.column(1).slice(at, end - at), pa.array([bool(s) for s in split]), pa.array([bool(f) for f in found]), pa.array([t[0] for t in tops]),
-                    pa.array([[{"norm": n, "own": o} for n, o in t[1]] for t in tops], pa.list_(pa.struct([("norm", pa.string()), ("own", pa.bool_())]))),
-                ]
-                names = ["doc_id", "page", "hyphen", "char", "number", "tops"]
-                if repair:
-                    cols.append(pa.array([mended(t, s, f) for t, s, f in zip(own, split, found)], pa.string()))
-                    names.append("fixed")
-                yield pa.RecordBatch.from_arrays(cols, names)
-                at = end
+                cols = [pa.array([bool(f) for f in found]), pa.array([t[0] for t in tops]), pa.array([[{"norm": n, "own": o} for n, o in t[1]] for t in tops], pa.list_(pa.struct([("norm", pa.string()), ("own", pa.bool_())])))]
+                names = ["doc_id", "page", "ends" if later else "hyphen", "char", "number", "tops"]
+                if later:
+                    ends = [line_ends(t) for t in own]
+                    first = pa.array([[{"left": e[0].lower(), "sign": e[1], "right": e[2].lower()} for _, e in x] for x in ends], pa.list_(pa.struct([("left", pa.string()), ("sign", pa.string()), ("right", pa.string())])))
+                    if repair:
+                        cols.append(pa.array([parted(t, [place for place, _ in x], f) for t, x, f in zip(own, ends, found)], pa.list_(pa.string())))
+                        names.append("parts")
+                else:
+                    split = [ed.split_words(t) for t in own]
+                    first = pa.array([bool(x) for x in split])
+                    if repair:
+                        cols.append(pa.array([mended(t, x, f) for t, x, f in zip(own, split, found)], pa.string()))
+                        names.append("fixed")
+                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), batch.column(1).slice(at, end - at), first, *cols], names)
 
     return pages.select("doc_id", "page", "text").mapInArrow(run, schema)
 
 
+def _slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of ``most`` characters together, or of one text."""
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end]) <= most):
+            chars += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def settled(read: DataFrame, editor: Editor, counts: DataFrame) -> DataFrame:
+    """``read_pages`` of an editor whose words are in the table ``counts``, with its ends decided.
+
+    Every different end is looked up once by joins, so the words are never in one place.
+    """
+    end = F.struct("left", "sign", "right")
+    key = F.xxhash64("doc_id", "page", "ends")  # rows that share a key by chance share what is decided for any page alike
+    some = read.where(F.size("ends") > 0).withColumn("key", key)
+    asked = some.select("key", F.explode("ends").alias("e")).select("key", "e.*").distinct()
+    last = F.substring_index("left", "-", -1)
+    ask = [("w", F.concat("left", "right")), ("p", F.concat("left", F.lit("-"), "right")), ("w", last), ("w", F.col("right"))]
+    slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(k).alias("kind"), x.alias("word")) for i, (k, x) in enumerate(ask)]))
+    lookups = asked.select("left", "sign", "right").distinct().select("left", "sign", "right", slots.alias("s")).select("left", "sign", "right", "s.*")
+    uses = [F.coalesce(F.max(F.when(F.col("slot") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(4)]
+    known = lookups.join(counts.where(F.col("kind").isin("w", "p")), ["kind", "word"], "left").groupBy("left", "sign", "right").agg(*uses)
+    word, compound = ((F.col(a) > 0) & (F.col(a) * RATIO > F.col(b)) for a, b in (("n0", "n1"), ("n1", "n0")))  # far less used than the other: not a word of its own
+    weights = read.sparkSession.sparkContext.broadcast(editor.weights)  # of fixed size
+
+    def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [bool(weights.value[_known_features(*x)].sum() > 0) for x in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["left", "sign", "right"]).filter(pa.array(hit, pa.bool_()))
+
+    yes = known.select("left", "sign", "right", word.alias("word"), compound.alias("compound"), F.col("n2") > 0, F.col("n3") > 0).mapInArrow(joins, "left string, sign string, right string")
+    split = asked.join(yes, ["left", "sign", "right"], "left_semi").groupBy("key").agg(F.collect_set(end).alias("split"))  # of one page
+    every = some.join(split, "key", "left").drop("key").unionByName(read.where(F.size("ends") == 0).withColumn("split", F.lit(None)))
+    out = [F.col("doc_id"), F.col("page"), F.col("split").isNotNull().alias("hyphen"), F.col("char"), F.col("number"), F.col("tops")]
+    if "parts" in read.columns:
+        part = F.col("parts")
+        ended = F.transform("ends", lambda e, i: F.concat(F.when(F.array_contains("split", e), part[3 * i + 2]).otherwise(part[3 * i + 1]), part[3 * i + 3]))
+        out.append(F.concat(part[0], F.array_join(ended, "")).alias("fixed"))
+    return every.select(*out)
+
+
 def _placed(text: str) -> list[int]:
     """Of each character of the flat page its place in the page's text."""
     place = np.arange(len(text))
 
-    def sub(pattern: regex.Pattern, to, text: str, place: np.ndarray) -> tuple[str, np.ndarray]:
+    def sub(pattern: regex.Pattern | re.Pattern, to, text: str, place: np.ndarray) -> tuple[str, np.ndarray]:
         parts, places, at = [], [], 0
         for m in pattern.finditer(text):
             new = to(m)
@@ -521,24 +605,31 @@ def _placed(text: str) -> list[int]:
 
 def mended(text: str, split: list[tuple[int, int, int]], edits: list[tuple[int, int, str]]) -> str:
     """A page's text with the words joined and the characters replaced that the editor found; other line ends kept."""
-    if not split and not edits:
-        return text
-    changes = []
-    for head, tail, end in split:
+    parts = parted(text, split, edits)
+    return "".join(x for i, x in enumerate(parts) if i % 3 != 1)
+
+
+def parted(text: str, ends: list[tuple[int, int, int]], edits: list[tuple[int, int, str]]) -> list[str]:
+    """A page's text with the characters replaced, as the part before the first end and, of each, the end as it is, joined, and the part after."""
+    place = _placed(text) if edits else []
+    new = {place[start + k]: printed if k == 0 else "" for start, n, printed in reversed(edits) for k in range(n)}  # the first character gives way to what was printed, the others go
+    changed = sorted(new)
+
+    def own(start: int, end: int) -> str:
+        out, at = [], start
+        for i in changed[bisect_left(changed, start) : bisect_left(changed, end)]:
+            out += [text[at:i], new[i]]
+            at = i + 1
+        return "".join(out) + text[at:end]
+
+    parts, at = [], 0
+    for head, tail, end in ends:
         after = end
         while after < len(text) and text[after] == " ":
             after += 1
-        changes += [(head, tail, ""), (end, after, "\n")]
-    place = _placed(text) if edits else []
-    for start, n, printed in edits:
-        for k in range(n):  # the first character gives way to what was printed, the others go
-            changes.append((place[start + k], place[start + k] + 1, printed if k == 0 else ""))
-    out, at = [], 0
-    for start, end, new in sorted(changes):
-        if start >= at:
-            out += [text[at:start], new]
-            at = end
-    return "".join(out) + text[at:]
+        parts += [own(at, head), own(head, after), own(tail, end) + "\n"]
+        at = after
+    return [*parts, own(at, len(text))]
 
 
 _BLANK = regex.compile(r"\n[ \t]*\n+")
@@ -578,9 +669,9 @@ def _titles(read: DataFrame) -> DataFrame:
     return near.join(enough.withColumn("salt", salts), ["doc_id", "half", "salt"], "left_semi").groupBy("doc_id", "page").agg(F.max("own").alias("own"), F.array_distinct(F.flatten(F.collect_set(F.array("norm", "form")))).alias("norms"))
 
 
-def noise(read: DataFrame) -> DataFrame:
-    """``doc_id, page, noise``: one row for each page and kind of noise."""
-    titles = _titles(read)
+def noise(read: DataFrame, tops: DataFrame | None = None) -> DataFrame:
+    """``doc_id, page, noise``: one row for each page and kind of noise; ``tops`` is the stored table to take titles from, if not ``read``."""
+    titles = _titles(tops or read)
     flags = read.groupBy("doc_id", "page").agg(*[F.max(c).alias(c) for c in ("hyphen", "char", "number")])
     both = flags.join(titles.select("doc_id", "page", "own"), ["doc_id", "page"], "left")
     kinds = F.array(
@@ -589,28 +680,133 @@ def noise(read: DataFrame) -> DataFrame:
     return both.select("doc_id", "page", F.explode(F.array_compact(kinds)).alias("noise"))
 
 
-def _editor(pages: DataFrame) -> Editor:
-    filled = pages.where("length(text) >= 40").select("doc_id", "page", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = sorted(hash_sample(filled, ["doc_id", "page"], SAMPLE_PAGES).select("text").collect())
-    return train([r["text"] for r in rows])
+def count_words(pages: DataFrame) -> DataFrame:
+    """``kind, word, n``: uses in all pages of tokens (t), runs of three ideographs (h), ideographs (c), words (w) and compounds (p)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for at, end in _slices(texts, SHARE_CHARS):
+                plain = [flat(t) for t in texts[at:end]]
+                counts = {k: Counter() for k in "twp"} | _ideographs(plain)
+                for t in plain:
+                    counts["t"].update(_TOKEN.findall(t))
+                for t in texts[at:end]:
+                    counts["w"].update(w.lower() for w in written(t))
+                for w, n in counts["w"].items():
+                    if "-" in w:
+                        counts["p"].update(dict.fromkeys(runs_of_parts(w), n))
+                for kind, own in counts.items():
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own)), pa.array([*own], pa.string()), pa.array([*own.values()], pa.int64())], ["kind", "word", "n"])
+
+    return pages.select("text").mapInArrow(run, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+
+
+@cache
+def _han() -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in regex.findall(r"\p{Han}", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))]] = True
+    return out
+
+
+def _ideographs(pages: list[str]) -> dict[str, dict[str, int]]:
+    """Uses of runs of three ideographs and of ideographs."""
+    codes = np.frombuffer("\0".join(pages).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    han = _han()[codes]
+    three = np.flatnonzero(han[:-2] & han[1:-1] & han[2:])
+    runs, k = np.unique(codes[three] << 42 | codes[three + 1] << 21 | codes[three + 2], return_counts=True)
+    chars, n = np.unique(codes[han], return_counts=True)
+    return {"h": {chr(r >> 42) + chr(r >> 21 & 0x1FFFFF) + chr(r & 0x1FFFFF): c for r, c in zip(runs.tolist(), k.tolist())}, "c": {chr(c): m for c, m in zip(chars.tolist(), n.tolist())}}
+
+
+def all_confusions(counts: DataFrame) -> Table:
+    """``confusions`` of all pages, from ``count_words``.
+
+    What is rare is so beside the frequent word, as every misreading of a frequent word recurs in a large table.
+    A pair must also be shown by at least half of the words that are used so much that it is to be expected in
+    them; endings and other pairs of words that differ in one character aren't.
+    """
+    words = counts.where((F.col("kind") == "t") & (F.length("word") >= 5)).select("word", "n")
+    spots = words.withColumn("i", F.explode(F.expr("sequence(0, length(word) - 1)"))).withColumn("width", F.explode(F.array(F.lit(1), F.lit(2)))).where("i + width <= length(word)")
+    spots = spots.select("word", "n", F.expr("substring(word, 1, i)").alias("head"), F.expr("substring(word, i + 1, width)").alias("mid"), F.expr("substring(word, i + width + 1)").alias("tail"))
+    frequent = spots.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{L}+$")).select("head", "tail", F.col("word").alias("full"), F.col("n").alias("uses"), F.col("mid").alias("printed"))
+    hits = spots.withColumnRenamed("mid", "read").join(frequent, ["head", "tail"]).where(F.col("n") * RATIO <= F.col("uses"))
+    hits = hits.where("length(printed) + length(read) < 4 and lower(printed) <> lower(read) and translate(printed, read, '') = printed")
+    sole = hits.groupBy("word", "n").agg(F.countDistinct("full").alias("fulls"), F.min(F.struct(F.expr("length(printed) + length(read)").alias("size"), "printed", "read", "full", "uses")).alias("h")).where("fulls = 1").select("n", "h.*")
+    fixed = counts.sparkSession.createDataFrame([*LOOKALIKES], "printed string, read string")
+    shown = sole.groupBy("printed", "read").agg(F.countDistinct("full").alias("held"), F.sum("n").alias("misread"), F.sum("uses").alias("uses")).where(F.col("held") >= SHOWN).join(fixed, ["printed", "read"], "left_anti")
+    grams = frequent.select("full", "printed", F.col("uses").alias("own")).distinct()
+    due = grams.join(shown, "printed").where(F.col("own") * F.col("misread") >= F.col("uses") * EXPECTED).groupBy("printed", "read").agg(F.count("*").alias("due"))
+    latin = shown.join(due, ["printed", "read"], "left").where(F.col("held") * 2 >= F.coalesce("due", F.lit(0))).select("printed", "read")
+    runs = counts.where("kind = 'h'").select(F.expr("concat(substring(word, 1, 1), substring(word, 3, 1))").alias("ends"), F.expr("substring(word, 2, 1)").alias("mid"), "n")
+    most = runs.groupBy("ends").agg(F.max(F.struct("n", "mid")).alias("top")).where(F.col("top.n") >= FREQUENT)
+    beside = runs.join(most, "ends").where("mid <> top.mid")
+    rare = beside.groupBy("ends").agg(F.max("n").alias("next"), F.first("top.n").alias("first")).where(F.col("next") * RATIO <= F.col("first")).select("ends")
+    held = beside.join(rare, "ends", "left_semi").groupBy(F.col("top.mid").alias("printed"), F.col("mid").alias("read")).agg(F.sum("n").alias("held")).where(F.col("held") >= SHOWN)
+    chars = counts.where("kind = 'c'").select(F.col("word").alias("read"), F.col("n").alias("all"))
+    wide = held.join(chars, "read").where("2 * held >= all").join(fixed, ["printed", "read"], "left_anti").select("printed", "read")
+    return tuple(sorted((r[0], r[1]) for r in latin.unionByName(wide).collect()))  # pairs of characters, however large the table
+
+
+def fit_all(pages: DataFrame, table: Table) -> np.ndarray:
+    """Weights trained on all pages: the mean of those of shares of about ``SHARE_CHARS`` characters, dealt by hash."""
+    total = pages.agg(F.sum(F.length("text"))).first()[0] or 0
+    shares = total // SHARE_CHARS + 1
+    pieces = pages.select(F.xxhash64("doc_id", "page", "text").alias("h"), F.posexplode(F.expr(f"regexp_extract_all(text, '(?s).{{1,{PIECE_CHARS}}}', 0)")).alias("i", "text"))
+    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("h", "i"), F.lit(shares)))
+    tasks = min(shares, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = dealt.repartition(tasks, "share").sortWithinPartitions("share", "h", "i", "text").select("share", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, own, held, done = np.zeros(SPACE + ENDS, np.int64), None, [], 0
+
+        def learn() -> int:
+            if held:
+                sums[:] += np.rint(fit(held, table).astype(np.float64) * PART).astype(np.int64)
+            return bool(held)
+
+        for batch in batches:
+            for share, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if share != own:
+                    done += learn()
+                    own, held = share, []
+                held.append(text)
+        done += learn()
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(sums[at], done), pa.int64())], ["at", "n"])
+
+    weights = np.zeros(SPACE + ENDS + 1, np.float64)
+    rows = ordered.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most one a weight
+    weights[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return (weights[:-1] / PART / max(1, weights[-1])).astype(np.float32)
+
+
+def read_all(pages: DataFrame, repair: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``read_pages`` with an editor trained and words counted on these pages, all of them; settled, and as stored."""
+    counts = stored(count_words(pages))
+    table = LOOKALIKES + all_confusions(counts)
+    editor = Editor(fit_all(pages, table), None, None, table)
+    read = stored(read_pages(pages, editor, repair))
+    return settled(read, editor, counts), read
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("doc_id", "page", "text")
-    return noise(stored(read_pages(pages, _editor(pages))))
+    return noise(*read_all(pages))
 
 
 def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page once, as continuous paragraphs without running titles and page numbers."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("doc_id", "page", "text")
-    return repaired(stored(read_pages(pages, _editor(pages), repair=True)))
+    return repaired(*read_all(pages, repair=True))
 
 
-def repaired(read: DataFrame) -> DataFrame:
+def repaired(read: DataFrame, tops: DataFrame | None = None) -> DataFrame:
     """``doc_id, page, text``: every page of ``read_pages(..., repair=True)`` once (all texts of a page without number), cleaned."""
     lone = F.when(F.col("doc_id").isNull() | F.col("page").isNull(), F.col("fixed"))
     once = read.groupBy("doc_id", "page", lone.alias("lone")).agg(F.max("fixed").alias("fixed"), F.max("number").alias("number"))
-    with_titles = once.join(_titles(read).select("doc_id", "page", "norms"), ["doc_id", "page"], "left")
+    with_titles = once.join(_titles(tops or read).select("doc_id", "page", "norms"), ["doc_id", "page"], "left")
     clean = F.pandas_udf(_clean, "string")
     return with_titles.select("doc_id", "page", clean("fixed", F.when(F.col("number") | F.col("norms").isNotNull(), F.col("page")), "norms").alias("text"))
 

@@ -186,3 +186,53 @@ def test_misreadings_are_learned(editor):
 
 def test_no_sample():
     assert p.train([]).edits(["x 0 1"]) == [[]]
+
+
+def shown(rng, n=40):
+    words = ["inventory", "procurement", "continuous", "turbine", "quarterly", "furnace", "minutes", "columns"]
+    return [" ".join(rng.choice(words) for _ in range(60)) for _ in range(n)], " ".join(w.replace("u", "v", 1) for w in words)
+
+
+def test_the_end_of_long_pages_counts(spark, make, tmp_path):
+    rng = random.Random(3)
+    text, odd = shown(rng)
+    rows = [("r", n, "the board has held\n" * 230 + t) for n, t in enumerate([*text, odd], 1)]  # what shows the misreading stands beyond 4,000 characters
+    make(rows, "doc_id string, page int, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page for r in p.p2_found(spark, str(tmp_path)).collect() if r.noise == "char"} == {len(rows)}
+
+
+def test_misreadings_of_all_pages(spark, make):
+    counted = lambda pages: p.all_confusions(p.count_words(make([(t,) for t in pages], "text string").repartition(5)))
+    text, odd = shown(random.Random(3))
+    assert counted([*text, odd]) == p.confusions([*text, odd]) == (("u", "v"),)
+    assert counted([*text * 30, *[odd] * 30]) == (("u", "v"),)  # in a large table misreadings recur
+    stems = ["increase", "reduce", "measure", "require", "schedule", "balance", "finance", "declare"]
+    assert counted([" ".join(f"{w}d" for w in stems)] * 900 + [" ".join(f"{w}s" for w in stems[:4])] * 60) == ()  # endings
+    assert counted([]) == ()
+    assert counted(["存貨餘額與產能利用率都會回升。" * 60, "存貨餗額。"] + ["存貨餗額"] * 3) == (("餘", "餗"),)
+
+
+def test_shares_train_alike_in_any_order(spark, make, monkeypatch):
+    monkeypatch.setattr(p, "SHARE_CHARS", 20_000)
+    rng = random.Random(5)
+    pages = make([("r", n, wrapped(prose(rng))) for n in range(90)] + [("r", None, None), ("s", 1, "")], "doc_id string, page int, text string")
+    one, other = p.fit_all(pages.repartition(1), p.LOOKALIKES), p.fit_all(pages.repartition(7), p.LOOKALIKES)
+    assert np.array_equal(one, other) and one.any()
+    clean = p.flat(wrapped(prose(rng)))
+    bad, put = p._corrupt(clean, rng)
+    assert len(p.Editor(one, None, None).edits([bad])[0]) >= 0.8 * len(put)
+    assert not p.fit_all(pages.where("text = ''"), p.LOOKALIKES).any()
+
+
+def test_ends_are_settled_by_a_table(spark, make, editor):
+    rows = [("r", 1, "the procu-\nrement centre"), ("r", 2, "one-\noff items"), ("r", 3, "a plain page"), (None, None, "the procu-\nrement centre of a low-\nmargin 2O19"), ("r", None, None)]
+    pages = make(rows, "doc_id string, page int, text string")
+    counts = p.count_words(make([("the procurement of one-off low-margin items",)], "text string"))
+    open_ = p.Editor(editor.weights, None, None, editor.table)
+    local = p.Editor(editor.weights, {"the", "procurement", "of", "items", "one-off", "low-margin"}, {"one-off", "low-margin"}, editor.table)
+    key = lambda df: sorted(map(str, df.collect()))
+    for repair in (False, True):
+        got = p.settled(p.read_pages(pages, open_, repair), open_, counts)
+        want = p.read_pages(pages, local, repair)
+        assert got.columns == want.columns and key(got) == key(want)
+    assert {r.page for r in got.collect() if r.hyphen} == {1, None}
