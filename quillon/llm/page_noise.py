@@ -17,9 +17,9 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from functools import cache
+from functools import cache, partial
 from zlib import crc32
 
 import numpy as np
@@ -62,18 +62,34 @@ BESIDE = 12
 #: Signs that stand for a hyphen at a line end.
 HYPHENS = "-‐¬­‑"
 
+
+
+def ranges(class_: str, above: int = 0xFFFF) -> str:
+    """The characters of a class of ``regex`` up to the given one, as they stand in a set of ``re``, which searches several times as fast."""
+    return "".join(f"{re.escape(m.group()[0])}-{re.escape(m.group()[-1])}" for m in regex.finditer(f"{class_}+", "".join(map(chr, range(above + 1)))))
+
+
+_SPACES, _LATIN, _NUMERALS = ranges(r"\s"), ranges(r"\p{Latin}"), ranges(r"\p{N}")
+_BLANKS = "".join(regex.findall(r"\s", "".join(map(chr, range(0x10000)))))
 _BREAK = regex.compile(rf"(?<=\p{{L}})[{HYPHENS}][ \t]*\n[ \t]*(?=\p{{L}})")
 _HANGING = regex.compile(rf"[{HYPHENS}][ \t]*\n[ \t]*(?=[\p{{Ll}}0-9@†|])")
 _HEAD = regex.compile(r"[\p{Latin}\p{N}@†|]+(?:-[\p{Latin}]+)*$")
 _TAIL = regex.compile(r"[\p{Ll}0-9@†|]+")
-_WRAP = regex.compile(r"(?<=[!-~†])[ \t]*\n\s*(?=[!-~†])")
-_LINE = regex.compile(r"[ \t]*\n\s*")
+_WRAP = re.compile(rf"(?<=[!-~†])[ \t]*\n[{_SPACES}]*(?=[!-~†])")
+_LINE = re.compile(rf"[ \t]*\n[{_SPACES}]*")
 _RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _JUNK = re.compile(r"(?:[A-Za-z0-9+/=]\n? {0,3}){24,}")
-_TOKEN = regex.compile(r"[\p{Latin}\p{N}@†|]+")
+_TOKEN = regex.compile(r"[\p{Latin}\p{N}@†|]{5,}")
+#: Three figures or signs: no replacement makes a word of what has them.
+_UNLIKE_WORDS = re.compile("(?:[0-9@†|][^0-9@†|]*){3}")
 _HAN = regex.compile(r"\p{Han}{3,}")
 _WORD = regex.compile(r"\p{Latin}+(?:-\p{Latin}+)*")
-_ENDS = regex.compile(rf"[{HYPHENS}][ \t]*\n")
+_SIGNS = regex.compile(r"[\p{L}\p{N}@†|]+")
+#: The same for texts without characters beyond the basic plane.
+_NEAR_SIGNS = re.compile(f"[{ranges(r'[\p{L}\p{N}]')}@†|]+")
+_NEAR_TOKEN, _NEAR_WORD = re.compile(f"[{_LATIN}{_NUMERALS}@†|]{{5,}}"), re.compile(f"[{_LATIN}]+(?:-[{_LATIN}]+)*")
+_ENDS = re.compile(rf"[{HYPHENS}][ \t]*\n")
+_DIGITS, _CAPITALS = re.compile("[0-9]+|[^0-9]+"), re.compile("[A-Z]+|[^A-Z]+")
 _ROMAN = regex.compile(r"(?i)^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _DIGITAL = str.maketrans("OoQlI|iZzSsBbgq", "000111122558699")
 _PLAIN_DIGITS = {c: str(unicodedata.decimal(chr(c))) for c in range(0x110000) if chr(c).isdecimal() and c > 127}
@@ -83,22 +99,63 @@ _FIGURES = regex.compile(r"(?:\t|\|| {2,})\s*\(?-?\d{1,3}(?:,\d{3})+\)?\s*$")
 #: A slide that is only its title: "label: unit" over "place year".
 _SLIDE = regex.compile(r"\s*[^\n]*[:：] [^\n]+\n\s*[^\n]*\b(?:19|20)\d\d\s*$")
 _EDGES = (regex.compile(r"^\W*(?P<n>[\w|]+)(?:\s{2,}|\t|\s*[|·•—–-]\s+)(?P<t>.+)$"), regex.compile(r"^(?P<t>.+?)(?:\s{2,}|\t|\s+[|·•—–-]\s*)(?P<n>[\w|]+)\W*$"))
+#: What sets a number off at either edge of a line.
+_GAP = re.compile(r"[\s|·•—–-][\s|·•—–-]|\t")
+_GOES_ON, _SMALL, _STOPPED = regex.compile(r"\p{Ll}|\d[\d,.]*[\p{Ll} ,]"), regex.compile(r"\p{Ll}{2}"), re.compile("[。；;！？]")
 _PAGE = regex.compile(
     r"(?i)^\W*(?:(?:page|p|pg|seite|頁|页|第)[.\s:：]*)?([\p{N}OolI|ZSBivxlcdm]+)\s*(?:頁|页)?(?:\s*(?:/|of|,|，|共|之|von|／)+\s*(?:共\s*)?[\p{N}OolI|ZSB]+\s*(?:頁|页)?)?\W*$"
 )
+#: Letters that no such line begins with, nor an empty one.
+_NO_NUMBER = {"", *"aefghjknqrtuwyAEFGHJKNQRTUWY"}
 
 
 def flat(text: str) -> str:
     """The page as one line: hyphens at line ends dropped, wrapped lines joined, encoded attachments left out."""
-    if any(_encoded(m.group()) for m in _RUN.finditer(text)):
+    if _has_run(text) and any(_encoded(m.group()) for m in _RUN.finditer(text)):
         text = _RUN.sub(lambda m: "\n" if _encoded(m.group()) else m.group(), _JUNK.sub(lambda m: "\n" if any(map(_encoded, m.group().split())) else m.group(), text))
-    text = _BREAK.sub("", text)
-    return _LINE.sub("", _WRAP.sub(" ", text))
+    if "\n" not in text:
+        return text
+    if _ENDS.search(text):
+        text = _BREAK.sub("", text)
+    first, *others = text.split("\n")
+    if not others:
+        return text
+    out, before, last = [first.rstrip(" \t")], first.rstrip(" \t")[-1:], len(others)
+    for i, line in enumerate(others, 1):  # as by _WRAP and _LINE
+        line = line.lstrip(_BLANKS) if i == last else line.lstrip(_BLANKS).rstrip(" \t")
+        if line:
+            if ("!" <= before <= "~" or before == "†") and ("!" <= line[0] <= "~" or line[0] == "†"):
+                out.append(" ")
+            out.append(line)
+            before = line[-1]
+    return "".join(out)
+
+
+_IN_RUN = bytes(c if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/=") else 0 for c in range(256)).translate(bytes([0]) + b"x" * 255)
+
+
+def _has_run(text: str) -> bool:
+    """Whether ``_RUN`` matches somewhere."""
+    return b"x" * 16 in text.encode("utf-8", "surrogatepass").translate(_IN_RUN)
 
 
 def _encoded(s: str) -> bool:
     """Whether a run of letters and digits is an encoded attachment or a digest rather than a word or number."""
-    return len(s) >= 16 and sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:])) >= 4 or len(s) >= 20 and sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:])) >= 6
+    return len(s) >= 16 and len(_DIGITS.findall(s)) > 4 or len(s) >= 20 and len(_CAPITALS.findall(s)) > 6
+
+
+def _found(near: re.Pattern, any_: regex.Pattern, text: str) -> list[str]:
+    return (near if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else any_).findall(text)
+
+
+def tokens(text: str) -> list[str]:
+    """The runs of letters and figures that are long enough to show a misreading."""
+    return _found(_NEAR_TOKEN, _TOKEN, text)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a page, none across a line end."""
+    return _found(_NEAR_WORD, _WORD, text)
 
 
 def _heads(table: Table) -> dict[str, list[int]]:
@@ -120,23 +177,27 @@ class _Codes:
     """Pages side by side as one array of codes with room between them."""
 
     def __init__(self, pages: list[str]):
-        parts = []
-        for p in pages:
-            c = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)
-            parts += [c, np.zeros(8, np.uint32)]
-        self.order = None
-        self.codes = np.minimum(np.concatenate([np.zeros(8, np.uint32), *parts]), 0xFFFF).astype(np.uint64)
-        self.ends = np.cumsum([8] + [len(c) for c in parts])[::2][1:] if parts else np.empty(0, np.int64)
-        self.starts = np.array([8] + [int(e) for e in self.ends[:-1]], np.int64) if parts else np.empty(0, np.int64)
-
-    def sites(self, read: str) -> np.ndarray:
-        """Where the characters of a misreading begin."""
-        if self.order is None:
-            self.order = np.argsort(self.codes.astype(np.uint16), kind="stable")  # radix sort
-            self.ordered = self.codes[self.order]
-        c = ord(read[0])
-        at = self.order[np.searchsorted(self.ordered, np.uint64(c)) : np.searchsorted(self.ordered, np.uint64(c), "right")]
-        return at if len(read) == 1 else at[self.codes[at + 1] == ord(read[1])]
+        room = "\0" * 8
+        self.codes = np.minimum(np.frombuffer((room + "".join([p + room for p in pages])).encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+        self.starts = 8 + np.cumsum([0, *(len(p) + 8 for p in pages)])[:-1]
+
+
+def _places(c: np.ndarray, texts: list[str]) -> dict[str, np.ndarray]:
+    """Where each of the texts, of one or two characters, begins."""
+    first = np.zeros(0x10000, bool)
+    first[[ord(t[0]) for t in texts if t[0] <= "\uffff"]] = True
+    at = np.flatnonzero(first[np.minimum(c, 0xFFFF)])
+    own = c[at].astype(np.uint16)
+    order = np.argsort(own, kind="stable")  # radix sort
+    at, own = at[order], own[order]
+    out = {}
+    for t in texts:
+        lo, hi = (np.searchsorted(own, np.uint16(ord(t[0])), side) for side in ("left", "right")) if t[0] <= "\uffff" else (0, 0)
+        out[t] = at[lo:hi]
+        if len(t) > 1:
+            inside = out[t][out[t] + 1 < len(c)]
+            out[t] = inside[c[inside + 1] == ord(t[1])]
+    return out
 
 
 def _allowed(c: np.ndarray, at: np.ndarray, pair: tuple[str, str]) -> np.ndarray:
@@ -144,27 +205,51 @@ def _allowed(c: np.ndarray, at: np.ndarray, pair: tuple[str, str]) -> np.ndarray
     printed, read = pair
     if not (printed.isascii() and len(printed) == len(read) == 1) or printed.isdigit() == read.isdigit():
         return np.ones(len(at), bool)
-    near = [_CLASS[c[at + k].astype(np.int64)] for k in ((-1, 1) if read.isdigit() else (-2, -1, 1, 2))]
+    near = [_CLASS[c[at + k]] for k in ((-1, 1) if read.isdigit() else (-2, -1, 1, 2))]
     return np.any([(n == 2) | (n == 3) | (n == 6) if read.isdigit() else n == 1 for n in near], axis=0)
 
 
-def _context(c: np.ndarray, at: np.ndarray, width: int, op: int) -> np.ndarray:
-    """Hashed features of an edit at the given places: (places, features)."""
-    l1, l2, l3, l4 = (c[at - k] for k in (1, 2, 3, 4))
-    r1, r2, r3, r4 = (c[at + width - 1 + k] for k in (1, 2, 3, 4))
-    k1, k2, k3 = (_CLASS[x.astype(np.int64)].astype(np.uint64) for x in (l1, l2, l3))
-    q1, q2, q3 = (_CLASS[x.astype(np.int64)].astype(np.uint64) for x in (r1, r2, r3))
+def _candidates(c: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(place, edit, context, features)``: the edits that may be made, which of the different contexts each is in, and theirs (contexts, features).
+
+    A context is hashed once, however often it occurs.
+    """
+    heads = _heads(table)
+    places = _places(c, [*heads])
+    at = [(places[read][_allowed(c, places[read], table[k])], k) for read, ops in heads.items() for k in ops]
+    where = np.concatenate([a for a, _ in at])
+    op = np.repeat(np.array([k for _, k in at]), [len(a) for a, _ in at])
+    last = where + np.array([len(read) - 1 for _, read in table])[op]
+    left, right = np.zeros(len(where), np.uint64), np.zeros(len(where), np.uint64)
+    for k in (1, 2, 3, 4):
+        left = left << np.uint64(16) | c[where - k]
+        right = right << np.uint64(16) | c[last + k]
+    mix = left * np.uint64(0x9E3779B97F4A7C15)
+    mix = (mix ^ (mix >> np.uint64(29)) ^ right) * np.uint64(0xBF58476D1CE4E5B9)
+    mix = (mix ^ (mix >> np.uint64(32)) ^ op.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    _, one, which = np.unique(mix, return_index=True, return_inverse=True)
+    if not all(np.array_equal(v, v[one][which]) for v in (left, right, op)):  # two contexts share a mix
+        one = which = np.arange(len(where))
+    return where, op, which, _context(c, where[one], last[one], op[one])
+
+
+def _context(c: np.ndarray, at: np.ndarray, last: np.ndarray, op: np.ndarray) -> np.ndarray:
+    """Hashed features of edits of the characters from ``at`` to ``last``: (places, features)."""
+    l1, l2, l3, l4 = (c[at - k].astype(np.uint64) for k in (1, 2, 3, 4))
+    r1, r2, r3, r4 = (c[last + k].astype(np.uint64) for k in (1, 2, 3, 4))
+    k1, k2, k3, q1, q2, q3 = (_CLASS[x.astype(np.int64)].astype(np.uint64) for x in (l1, l2, l3, r1, r2, r3))
     rows = [
         (), (k1, q1), (k2, k1, q1, q2), (k3, k2, k1, q1, q2, q3), (l1,), (r1,), (l1, r1), (l2, l1), (r1, r2), (l2, l1, r1), (l1, r1, r2), (l2, l1, r1, r2),
         (l3, l2, l1), (r1, r2, r3), (l3, l2, l1, r1), (l1, r1, r2, r3), (l4, l3, l2, l1), (r1, r2, r3, r4), (l3, l2, l1, r1, r2, r3),
     ]
-    out = np.empty((len(at), len(rows)), np.int32)
+    out, high = np.empty((len(at), len(rows)), np.int32), np.empty(len(at), np.uint64)
     for i, parts in enumerate(rows):
-        h = np.full(len(at), 1469598103934665603 ^ (op * 64 + i), np.uint64)
+        h = np.uint64(1469598103934665603) ^ (op * 64 + i).astype(np.uint64)
         for p in parts:
-            h = (h ^ p) * _PRIME
-            h ^= h >> np.uint64(31)
-        out[:, i] = h & np.uint64(SPACE - 1)
+            h ^= p
+            h *= _PRIME
+            h ^= np.right_shift(h, np.uint64(31), out=high)
+        out[:, i] = np.bitwise_and(h, np.uint64(SPACE - 1), out=high)
     return out
 
 
@@ -187,18 +272,15 @@ class Editor:
     def edits(self, pages: list[str]) -> list[list[tuple[int, int, str]]]:
         """Per flat page the edits ``(start, length, printed)`` in order, best first where they overlap."""
         codes = _Codes(pages)
-        found: list[tuple[int, int, float, int]] = []
-        for read, ops in _heads(self.table).items():
-            at = codes.sites(read)
-            if not len(at):
-                continue
-            best, which = np.zeros(len(at)), np.full(len(at), -1)
-            for k in ops:
-                score = np.where(_allowed(codes.codes, at, self.table[k]), self.weights[_context(codes.codes, at, len(read), k)].sum(1), -1.0)
-                better = score > np.maximum(best, MARGIN)
-                best[better], which[better] = score[better], k
-            for i in np.flatnonzero(which >= 0):
-                found.append((int(at[i]), len(read), float(best[i]), int(which[i])))
+        where, op, which, features = _candidates(codes.codes, self.table)
+        score = self.weights[features].sum(1)[which]
+        best: dict[tuple[int, str], tuple[float, int]] = {}  # of a place and what is read there
+        for i in np.flatnonzero(score > MARGIN).tolist():
+            k, own = int(op[i]), (float(score[i]), int(op[i]))
+            at = int(where[i]), self.table[k][1]
+            if at not in best or own[0] > best[at][0]:
+                best[at] = own
+        found = [(at, len(read), value, k) for (at, read), (value, k) in best.items()]
         out: list[list[tuple[int, int, str]]] = [[] for _ in pages]
         page = np.searchsorted(codes.starts, [f[0] for f in found], "right") - 1
         last: dict[int, int] = {}
@@ -221,7 +303,7 @@ class Editor:
 def line_ends(text: str) -> list[tuple[tuple[int, int, int], tuple[str, str, str]]]:
     """Of the signs at line ends the place, as in ``split_words``, and the part before, the sign, the part after."""
     out = []
-    for m in _HANGING.finditer(text):
+    for m in _HANGING.finditer(text) if _ENDS.search(text) else ():
         begin = m.start()
         while begin and (text[begin - 1].isalnum() or text[begin - 1] in "@†|-" or unicodedata.combining(text[begin - 1])):
             begin -= 1
@@ -243,7 +325,7 @@ def confusions(pages: list[str]) -> Table:
     runs: Counter[str] = Counter()
     chars: Counter[str] = Counter()
     for page in pages:
-        words.update(_TOKEN.findall(page))
+        words.update(tokens(page))
         chars.update(page)
         for m in _HAN.finditer(page):
             runs.update([m.group()[i : i + 3] for i in range(len(m.group()) - 2)])
@@ -285,33 +367,32 @@ def _misread(codes: np.ndarray, rng: np.random.Generator, table: Table) -> tuple
     printed: dict[str, list[int]] = {}
     for k, (p, _) in enumerate(table):
         printed.setdefault(p, []).append(k)
-    op = np.zeros(len(codes), np.int64)
+    op = np.zeros(len(codes), np.int16)
     taken = np.zeros(len(codes) + 1, bool)  # a place where two characters may have been read for one, and the place after one that was
+    places = _places(codes, [*printed])
+    paired = {c for p in printed if len(p) > 1 for c in p}
     for p, ops in sorted(printed.items(), key=lambda x: -len(x[0])):
-        at = np.flatnonzero(codes == ord(p[0]))
+        at = places[p]
         if len(p) > 1:
-            at = at[at + 1 < len(codes)]
-            at = at[codes[at + 1] == ord(p[1])]
             at = at[~taken[at] & ~taken[at + 1]]
             taken[at] = True
-        else:
+        elif p in paired:
             at = at[~taken[at]]
         at = at[rng.random(len(at)) < RATE]
         if len(p) > 1:
             taken[at + 1] = True
         op[at] = np.array(ops)[rng.integers(0, len(ops), len(at))] + 1
-    size = np.ones(len(codes), np.int64)
     at = np.flatnonzero(op)
-    pairs = [table[k - 1] for k in op[at].tolist()]
-    size[at] = [len(read) for _, read in pairs]
-    long = at[[len(p) > 1 for p, _ in pairs]] if pairs else at
-    size[long + 1] = 0
-    out, place = np.repeat(codes, size), np.cumsum(size) - size
-    truth = np.zeros(len(out), np.int64)
-    truth[place[at]] = op[at]
-    out[place[at]] = [ord(read[0]) for _, read in pairs]
-    two = np.array([len(read) > 1 for _, read in pairs], bool)
-    out[place[at[two]] + 1] = [ord(read[1]) for _, read in pairs if len(read) > 1]
+    own = op[at].astype(np.int64)
+    long, two = (np.array([False, *(len(pair[i]) > 1 for pair in table)])[own] for i in (0, 1))
+    grown = np.cumsum(two.astype(np.int64) - long)
+    place = at + grown - two + long  # in the text with look-alikes; two characters for two move nothing
+    inner, extra = at[long] + 1, at[two] + 1
+    out = np.delete(np.insert(codes, extra, 0), inner + np.searchsorted(extra, inner, "right"))
+    truth = np.zeros(len(out), np.int16)
+    truth[place] = own
+    out[place] = np.array([0, *(ord(read[0]) for _, read in table)], np.uint32)[own]
+    out[place[two] + 1] = np.array([0, *(ord(read[-1]) for _, read in table)], np.uint32)[own[two]]
     return out, truth
 
 
@@ -334,84 +415,122 @@ def _varied(page: str, rng: random.Random) -> str:
 def train(sample: list[str], seed: int = 3) -> Editor:
     """Editor from pages that are all at hand."""
     table = LOOKALIKES + confusions([flat(p) for p in sample])
-    return Editor(fit(sample, table, seed), *_lexicon(sample), table)
+    return Editor(fit(sample, table, seed), *_lexicon([words_of(p) for p in sample]), table)
 
 
 def fit(sample: list[str], table: Table, seed: int = 3) -> np.ndarray:
-    """Weights from some pages; what the first passes take for misread in them is left out of the later ones."""
+    """Weights from some pages."""
+    weights = np.zeros(SPACE + ENDS, np.float32)
+    for ids, own in fit_parts(sample, table, seed):
+        weights[ids] = own
+    return weights
+
+
+def fit_parts(sample: list[str], table: Table, seed: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The weights in use and their values, of characters, then of line ends; what the first passes take for misread in the pages is left out of the later ones."""
     rng, order_rng = random.Random(seed), np.random.default_rng(seed)
     codes = _Codes([_varied(flat(p), rng) for p in sample])
     misread, truth = _misread(codes.codes, order_rng, table)
-    codes.codes = np.minimum(misread, np.uint64(0xFFFF))
-    x, y = [], []
-    for read, ops in _heads(table).items():
-        at = codes.sites(read)
-        for k in ops:
-            may = at[_allowed(codes.codes, at, table[k])]
-            x.append(_context(codes.codes, may, len(read), k))
-            y.append(np.where(truth[may] == k + 1, 1, -1).astype(np.int8))
-    x, y = np.concatenate(x), np.concatenate(y)
-    w = np.zeros(SPACE, np.float32)
-    late = np.zeros(SPACE, np.float64)  # what the weights of earlier steps lack of their sum
+    where, op, which, features = _candidates(np.minimum(misread, 0xFFFF), table)
+    y = np.where(truth[where] == op + 1, np.float32(1), np.float32(-1))
+    ids, x = _numbered(features, SPACE)
+    w = np.zeros(len(ids), np.float32)
+    changed, when = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+    rows, indices, values = (np.empty((256, x.shape[1]), kind) for kind in (np.int32, np.int64, np.float32))
     live = np.arange(len(y))
     steps = kept = 0
     for epoch in range(EPOCHS):
         if epoch == 2:
-            live = live[~((y[live] < 0) & (w[x[live]].sum(1) > 0))]
+            live = live[~((y[live] < 0) & (w[x].sum(1)[which[live]] > 0))]
         order = order_rng.permutation(live)
+        inside, label = which[order], y[order]
         for s in range(0, len(order), 256):
-            own = order[s : s + 256]
-            score = w[x[own]].sum(1)
-            wrong = own[y[own] * score <= 1.0]
+            own = inside[s : s + 256]
+            at = indices[: len(own)]
+            at[:] = x.take(own, axis=0, out=rows[: len(own)], mode="clip")
+            wrong = np.flatnonzero(label[s : s + 256] * w.take(at, out=values[: len(own)], mode="clip").sum(1) <= 1.0)
             if len(wrong):
-                to, by = x[wrong].ravel(), np.repeat(y[wrong] * 0.2, x.shape[1]).astype(np.float32)
+                to, by = at[wrong].ravel(), np.repeat(label[s + wrong] * np.float32(0.2), x.shape[1])
                 np.add.at(w, to, by)
-                np.add.at(late, to, by * kept)
+                changed.append(to)
+                when.append(by * np.float32(kept))
             steps += 1
             kept += bool(epoch) and steps % 8 == 0
-    weights = ((w * float(kept) - late) / max(1, steps // 8)).astype(np.float32)
-    jx: list[np.ndarray] = []
+    late = np.bincount(np.concatenate(changed), np.concatenate(when), len(ids))  # what the weights of earlier steps lack of their sum
+    yield ids, ((w * float(kept) - late) / max(1, steps // 8)).astype(np.float32)
+    jx: list[list[int]] = []
     jy: list[int] = []
     half = len(sample) // 2
-    for known, own in ((sample[:half], sample[half:]), (sample[half:], sample[:half])):  # a page's words aren't known from itself
+    found = [words_of(t) for t in sample]
+    for known, own in ((found[:half], found[half:]), (found[half:], found[:half])):  # a page's words aren't known from itself
         words, compounds = _lexicon(known)
-        for text in own:
-            _line_ends(text, rng, words, compounds, jx, jy)
-    jw = np.zeros(SPACE + ENDS, np.float32)
-    jt = np.zeros(SPACE + ENDS, np.float64)
-    for _ in range(EPOCHS):
-        for i in order_rng.permutation(len(jy)):
-            at = jx[i]
-            if jy[i] * (own := jw[at]).sum() <= 1:
-                jw[at] = own = own + jy[i]
-            jt[at] += own
-    return np.concatenate([weights, (jt[SPACE:] / max(1, EPOCHS * len(jy))).astype(np.float32)])
-
-
-def _line_ends(text: str, rng: random.Random, words: set[str], compounds: set[str], jx: list[np.ndarray], jy: list[int]) -> None:
-    """Add a page's compounds and some of its words, as if they were split, to the examples."""
-    for w in _WORD.findall(text.replace("\n", " ")):
+        features_of = cache(partial(_join_features, words=words, compounds=compounds))
+        for page in own:
+            _line_ends(page, rng, features_of, jx, jy)
+    if jy:
+        ids, total = _fit_ends(np.array(jx), np.array(jy, np.float32), [order_rng.permutation(len(jy)) for _ in range(EPOCHS)])
+        yield ids, (total / (EPOCHS * len(jy))).astype(np.float32)
+
+
+def _numbered(features: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different features, and of each its number among them, so that the weights in use lie side by side."""
+    used = np.zeros(space, bool)
+    used[features] = True
+    ids = np.flatnonzero(used)
+    number = np.empty(space, np.int32)
+    number[ids] = np.arange(len(ids), dtype=np.int32)
+    return ids, number[features]
+
+
+def _fit_ends(features: np.ndarray, y: np.ndarray, orders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different features, and the sums of their weights over the examples that have them, one example after the other.
+
+    Examples up to the next one that changes weights are scored at once.
+    """
+    ids, x = _numbered(features - SPACE, ENDS)
+    x = x.astype(np.int64)
+    w, total = np.zeros(len(ids) + 1, np.float32), np.zeros(len(ids) + 1)
+    again = np.sort(x, 1)
+    counted = x.copy()  # a feature that an example has twice counts once in the sums
+    for i in np.flatnonzero((again[:, 1:] == again[:, :-1]).any(1)).tolist():
+        counted[i] = [f if f not in x[i, :j] else len(ids) for j, f in enumerate(x[i])]
+    for order in orders:
+        at, ahead = 0, 16
+        while at < len(order):
+            own = order[at : at + ahead]
+            wrong = np.flatnonzero(y[own] * w.take(x.take(own, axis=0)).sum(1) <= 1)
+            right = own[: wrong[0]] if len(wrong) else own
+            total += w * np.bincount(counted.take(right, axis=0).ravel(), minlength=len(w))
+            at += len(right)
+            if len(wrong):
+                i = own[len(right)]
+                w[x[i]] += y[i]
+                total[counted[i]] += w[counted[i]]
+                at, ahead = at + 1, max(16, ahead // 2)
+            else:
+                ahead = min(2 * ahead, 4096)
+    return SPACE + ids, total[:-1]
+
+
+def _line_ends(found: list[str], rng: random.Random, features_of: Callable[[str, str, str], list[int]], jx: list[list[int]], jy: list[int]) -> None:
+    """Add the compounds and some of the words found on a page, as if they were split, to the examples."""
+    for w in [w for w in found if len(w) >= 5 or "-" in w]:
         if "-" in w:
             for i, c in enumerate(w):
                 if c == "-":
-                    jx.append(np.array(_join_features(w[:i], rng.choice(HYPHENS) if rng.random() < 0.2 else "-", w[i + 1 :].split("-")[0], words, compounds)))
+                    jx.append(features_of(w[:i], rng.choice(HYPHENS) if rng.random() < 0.2 else "-", w[i + 1 :].split("-")[0]))
                     jy.append(-1)
-        elif len(w) >= 5 and rng.random() < 0.1:
+        elif rng.random() < 0.1:
             i = rng.randrange(2, len(w) - 1)
-            jx.append(np.array(_join_features(w[:i], rng.choice(HYPHENS), w[i:], words, compounds)))
+            jx.append(features_of(w[:i], rng.choice(HYPHENS), w[i:]))
             jy.append(1)
 
 
-def _lexicon(sample: list[str]) -> tuple[set[str], set[str]]:
-    words = {w.lower() for text in sample for w in set(written(text))}
+def _lexicon(own_words: list[list[str]]) -> tuple[set[str], set[str]]:
+    words = {w.lower() for w in set().union(*own_words)}
     return words, {c for w in words if "-" in w for c in runs_of_parts(w)}
 
 
-def written(text: str) -> list[str]:
-    """The words of a page, none across a hyphen at a line end."""
-    return _WORD.findall(_ENDS.sub("\n\n", text))
-
-
 def runs_of_parts(word: str) -> set[str]:
     """Of a compound the compounds that it begins with, and each two parts."""
     parts = word.split("-")
@@ -437,7 +556,10 @@ def is_number(token: str, page: int) -> bool:
 
 def page_line(line: str, page: int) -> bool:
     """Whether a line holds the page's own number and nothing else."""
-    m = _PAGE.match(line.strip())
+    line = line.strip()
+    if line[:1] in _NO_NUMBER or "一" <= line[:1] <= "鿿" and line[0] not in "頁页第":
+        return False
+    m = _PAGE.match(line)
     return bool(m) and is_number(m[1], page)
 
 
@@ -445,11 +567,11 @@ def title_line(line: str, page: int) -> tuple[str, bool]:
     """A line without its page number at either end (set off by a gap), in comparable form; whether one was there."""
     line = line.strip()
     own = False
-    for edge in _EDGES:
+    for edge in _EDGES if _GAP.search(line) else ():
         if (m := edge.match(line)) and is_number(m["n"], page):
             line, own = m["t"], True
             break
-    return regex.sub(r"[^\p{L}\p{N}@†|]+", "", line).lower(), own
+    return "".join(_found(_NEAR_SIGNS, _SIGNS, line)).lower(), own
 
 
 def _runs_on(line: str, after: str, width: int) -> bool:
@@ -459,11 +581,11 @@ def _runs_on(line: str, after: str, width: int) -> bool:
     chances to recur in a long report is no title.
     """
     bare, word = line.strip(), after.split(maxsplit=1)[:1]
-    if _WIDE.search(bare):
+    if not bare.isascii() and _WIDE.search(bare):
         return len(bare) >= 0.8 * width and "，" in bare
     if after:
-        return len(bare) + 1 + len(word[0] if word else "") > width and bool(regex.match(r"\p{Ll}|\d[\d,.]*[\p{Ll} ,]", after.strip()))
-    return len(bare) >= 0.8 * width and bool(regex.match(r"\p{Ll}{2}", bare))
+        return len(bare) + 1 + len(word[0] if word else "") > width and bool(_GOES_ON.match(after.strip()))
+    return len(bare) >= 0.8 * width and bool(_SMALL.match(bare))
 
 
 def edges(text: str, page: int | None) -> tuple[bool, list[tuple[str, bool]]]:
@@ -481,12 +603,14 @@ def edges(text: str, page: int | None) -> tuple[bool, list[tuple[str, bool]]]:
             if page_line(line, page):
                 number = True
                 continue
-            norm, own = title_line(line, page)
             bare = line.strip()
             width = max((len(lines[k].strip()) for k in near if k != i), default=0)
-            if _HEADING.match(bare) or _FIGURES.search(bare) or sum(map(str.isdigit, norm)) > sum(map(str.isalpha, norm)) or _runs_on(line, lines[i + 1].strip() if top and i + 1 < len(lines) else "", width):
+            if _runs_on(line, lines[i + 1].strip() if top and i + 1 < len(lines) else "", width) or _HEADING.match(bare) or ("\t" in bare or "|" in bare or "  " in bare) and _FIGURES.search(bare):
+                break
+            norm, own = title_line(line, page)
+            if not norm.isalpha() and sum(map(str.isdigit, norm)) > sum(map(str.isalpha, norm)):
                 break
-            if len(norm) >= 4 and not bare.startswith(("Sheet:", "|")) and not regex.search(r"[。；;！？]|[.,，、:：]$", bare):
+            if len(norm) >= 4 and not bare.startswith(("Sheet:", "|")) and bare[-1] not in ".,，、:：" and not _STOPPED.search(bare):
                 out.append((norm, own))
             break
     return number, out
@@ -564,11 +688,12 @@ def settled(read: DataFrame, editor: Editor, counts: DataFrame) -> DataFrame:
     uses = [F.coalesce(F.max(F.when(F.col("slot") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(4)]
     known = lookups.join(counts.where(F.col("kind").isin("w", "p")), ["kind", "word"], "left").groupBy("left", "sign", "right").agg(*uses)
     word, compound = ((F.col(a) > 0) & (F.col(a) * RATIO > F.col(b)) for a, b in (("n0", "n1"), ("n1", "n0")))  # far less used than the other: not a word of its own
-    weights = read.sparkSession.sparkContext.broadcast(editor.weights)  # of fixed size
+    weights = read.sparkSession.sparkContext.broadcast(editor.weights[SPACE:])  # of fixed size
 
     def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = weights.value
         for batch in batches:
-            hit = [bool(weights.value[_known_features(*x)].sum() > 0) for x in zip(*(c.to_pylist() for c in batch.columns))]
+            hit = [bool(own[[k - SPACE for k in _known_features(*x)]].sum() > 0) for x in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays(batch.columns[:3], ["left", "sign", "right"]).filter(pa.array(hit, pa.bool_()))
 
     yes = known.select("left", "sign", "right", word.alias("word"), compound.alias("compound"), F.col("n2") > 0, F.col("n3") > 0).mapInArrow(joins, "left string, sign string, right string")
@@ -681,18 +806,22 @@ def noise(read: DataFrame, tops: DataFrame | None = None) -> DataFrame:
 
 
 def count_words(pages: DataFrame) -> DataFrame:
-    """``kind, word, n``: uses in all pages of tokens (t), runs of three ideographs (h), ideographs (c), words (w) and compounds (p)."""
+    """``kind, word, n``: uses in all pages of tokens (t), runs of three ideographs (h), ideographs (c), words (w) and compounds (p), and all characters (s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             for at, end in _slices(texts, SHARE_CHARS):
                 plain = [flat(t) for t in texts[at:end]]
-                counts = {k: Counter() for k in "twp"} | _ideographs(plain)
+                counts = {k: Counter() for k in "twp"} | _ideographs(plain) | {"s": {"": sum(map(len, texts[at:end]))}}
                 for t in plain:
-                    counts["t"].update(_TOKEN.findall(t))
+                    counts["t"].update(tokens(t))
+                counts["t"] = {w: n for w, n in counts["t"].items() if not _UNLIKE_WORDS.search(w)}
+                own_words: Counter[str] = Counter()
                 for t in texts[at:end]:
-                    counts["w"].update(w.lower() for w in written(t))
+                    own_words.update(words_of(t))
+                for w, n in own_words.items():
+                    counts["w"][w.lower()] += n
                 for w, n in counts["w"].items():
                     if "-" in w:
                         counts["p"].update(dict.fromkeys(runs_of_parts(w), n))
@@ -749,11 +878,12 @@ def all_confusions(counts: DataFrame) -> Table:
     return tuple(sorted((r[0], r[1]) for r in latin.unionByName(wide).collect()))  # pairs of characters, however large the table
 
 
-def fit_all(pages: DataFrame, table: Table) -> np.ndarray:
+def fit_all(pages: DataFrame, table: Table, counts: DataFrame | None = None) -> np.ndarray:
     """Weights trained on all pages: the mean of those of shares of about ``SHARE_CHARS`` characters, dealt by hash."""
-    total = pages.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = (pages.agg(F.sum(F.length("text"))) if counts is None else counts.where("kind = 's'").agg(F.sum("n"))).first()[0] or 0
     shares = total // SHARE_CHARS + 1
-    pieces = pages.select(F.xxhash64("doc_id", "page", "text").alias("h"), F.posexplode(F.expr(f"regexp_extract_all(text, '(?s).{{1,{PIECE_CHARS}}}', 0)")).alias("i", "text"))
+    cut = F.expr(f"if(length(text) between 1 and {PIECE_CHARS}, array(text), regexp_extract_all(text, '(?s).{{1,{PIECE_CHARS}}}', 0))")
+    pieces = pages.select(F.xxhash64("doc_id", "page", "text").alias("h"), F.posexplode(cut).alias("i", "text"))
     dealt = pieces.withColumn("share", F.pmod(F.xxhash64("h", "i"), F.lit(shares)))
     tasks = min(shares, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = dealt.repartition(tasks, "share").sortWithinPartitions("share", "h", "i", "text").select("share", "text")
@@ -763,7 +893,8 @@ def fit_all(pages: DataFrame, table: Table) -> np.ndarray:
 
         def learn() -> int:
             if held:
-                sums[:] += np.rint(fit(held, table).astype(np.float64) * PART).astype(np.int64)
+                for ids, weights in fit_parts(held, table):
+                    sums[ids] += np.rint(weights.astype(np.float64) * PART).astype(np.int64)
             return bool(held)
 
         for batch in batches:
@@ -786,7 +917,7 @@ def read_all(pages: DataFrame, repair: bool = False) -> tuple[DataFrame, DataFra
     """``read_pages`` with an editor trained and words counted on these pages, all of them; settled, and as stored."""
     counts = stored(count_words(pages))
     table = LOOKALIKES + all_confusions(counts)
-    editor = Editor(fit_all(pages, table), None, None, table)
+    editor = Editor(fit_all(pages, table, counts), None, None, table)
     read = stored(read_pages(pages, editor, repair))
     return settled(read, editor, counts), read
 

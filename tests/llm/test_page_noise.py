@@ -236,3 +236,55 @@ def test_ends_are_settled_by_a_table(spark, make, editor):
         want = p.read_pages(pages, local, repair)
         assert got.columns == want.columns and key(got) == key(want)
     assert {r.page for r in got.collect() if r.hyphen} == {1, None}
+
+
+def test_a_context_is_hashed_once(editor, monkeypatch):
+    rows, plain = [], p._context
+    monkeypatch.setattr(p, "_context", lambda c, at, *rest: rows.append(len(at)) or plain(c, at, *rest))
+    page = p.flat(wrapped(prose(random.Random(1))))
+    one = editor.edits([page])
+    once, rows[:] = sum(rows), []
+    assert editor.edits([page] * 40) == one * 40
+    assert once and sum(rows) == once
+
+
+def test_contexts_that_share_a_mix(editor, monkeypatch):
+    pages = [p.flat(wrapped(prose(random.Random(k)))) for k in range(5)]
+    noisy = [p._corrupt(t, random.Random(2))[0] for t in pages]
+    want, unique = editor.edits(noisy), np.unique
+    monkeypatch.setattr(np, "unique", lambda mix, **k: unique(mix % np.uint64(50), **k))
+    assert any(want) and editor.edits(noisy) == want
+
+
+def test_line_ends_are_learned_as_one_by_one():
+    rng = np.random.default_rng(2)
+    x, y = p.SPACE + rng.integers(0, 40, (300, 9)), rng.choice([-1, 1], 300).astype(np.float32)  # some features twice in a row
+    orders = [rng.permutation(300) for _ in range(3)]
+    w, total = np.zeros(p.SPACE + 40), np.zeros(p.SPACE + 40)
+    for i in np.concatenate(orders):
+        if y[i] * (own := w[x[i]]).sum() <= 1:
+            w[x[i]] = own = own + y[i]
+        total[x[i]] += own
+    ids, sums = p._fit_ends(x, y, orders)
+    assert ids.tolist() == np.unique(x).tolist() and np.array_equal(sums, total[ids])
+
+
+def test_fast_patterns_match_the_same():
+    every = "".join(map(chr, range(0x110000)))
+    for text in (every, every[:0x10000]):
+        assert p.tokens(text) == p._TOKEN.findall(text) and p.words_of(text) == p._WORD.findall(text)
+    assert p._found(p._NEAR_SIGNS, p._SIGNS, every[:0x10000]) == p._SIGNS.findall(every[:0x10000])
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab年-¬ \t\n\n　\x1c\x85†éA1") for _ in range(rng.randrange(20)))
+        assert p.flat(text) == p._LINE.sub("", p._WRAP.sub(" ", p._BREAK.sub("", text))) and len(p._placed(text)) == len(p.flat(text))
+        text = "".join(rng.choice("aZ9+/=-年") for _ in range(rng.randrange(200)))
+        assert p._has_run(text) == bool(p._RUN.search(text))
+        assert p._encoded(text) == (len(text) >= 16 and sum(a.isdigit() != b.isdigit() for a, b in zip(text, text[1:])) >= 4 or len(text) >= 20 and sum(a.isupper() != b.isupper() for a, b in zip(text, text[1:])) >= 6)
+
+
+def test_a_text_is_read_once_for_its_size(spark, make, monkeypatch):
+    monkeypatch.setattr(p, "SHARE_CHARS", 20_000)
+    rng = random.Random(5)
+    pages = make([("r", n, wrapped(prose(rng))) for n in range(60)] + [("r", None, None), ("s", 1, ""), ("t", 1, "\U00020000 the procu-\nrement " * 300)], "doc_id string, page int, text string")
+    assert np.array_equal(p.fit_all(pages, p.LOOKALIKES, p.count_words(pages)), p.fit_all(pages, p.LOOKALIKES))
