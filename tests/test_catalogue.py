@@ -65,3 +65,23 @@ def test_only_core(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries() and not any(k[0] == "p" and k[1].isdigit() for k in entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+@pytest.mark.parametrize("error", [ModuleNotFoundError("No module named 'xxhash'", name="xxhash"), ImportError("numpy is broken"), ImportError("cannot import name 'catalogue' from 'quillon.llm'", name="quillon.llm")])
+def test_only_core_if_the_rest_is_missing(monkeypatch, error):
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def broken(name, *a, **k):
+        if name == "quillon.llm":
+            raise error
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", broken)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    with pytest.raises(ImportError) as raised:
+        importlib.import_module("__spark_entry__")
+    assert raised.value is error
